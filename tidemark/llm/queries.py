@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, mixture, simhash_dedup, toxicity
+from tidemark.llm import chat, class_lm, decontaminate, flac, html_text, mixture, simhash_dedup, toxicity, warc
 from tidemark.llm.common import id_bucket
 
 
@@ -15,15 +15,35 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixture.mix(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digests(chat.examples(turns))
+
+
+def op5_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.read_back(flac.store(_table(spark, sf_dir, "documents")))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return class_lm.score(class_lm.fit(docs), docs)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     scored = toxicity.fit(docs, _table(spark, sf_dir, "labels")).score(docs)
@@ -35,12 +55,21 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_text": op1_html_text,
         "op2_mix": op2_mix,
+        "op4_chat": op4_chat,
+        "op5_flac": op5_flac,
         "op6_decontaminate": op6_decontaminate,
+        "op7_class_lm": op7_class_lm,
         "op8_toxicity": op8_toxicity,
         "op9_simhash": op9_simhash,
+        "op10_warc": op10_warc,
     }
 
 
