@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, class_lm, decontaminate, flac, html_text, mixture, simhash_dedup, toxicity, warc
+from tidemark.llm import chat, class_lm, decontaminate, flac, html_text, license_scan, mixture, simhash_dedup, toxicity, warc
 from tidemark.llm.common import id_bucket
 
 
@@ -24,6 +24,11 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(license_scan.document_paths(_table(spark, sf_dir, "documents")))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -63,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_text": op1_html_text,
         "op2_mix": op2_mix,
+        "op3_licenses": op3_licenses,
         "op4_chat": op4_chat,
         "op5_flac": op5_flac,
         "op6_decontaminate": op6_decontaminate,
