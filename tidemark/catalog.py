@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+_PLANS = ("market",)
+
+
+def _plans():
+    return [importlib.import_module(f"tidemark.plans.{name}") for name in _PLANS]
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: query for plan in _plans() for name, query in plan.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for plan in _plans() for name, text in plan.SQL.items()}
