@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_PLANS = ("market",)
+_PLANS = ("market", "wallets", "liquidity")
 
 
 def _plans():
