@@ -7,11 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_PLANS = ("market", "wallets", "liquidity")
+_PLANS = ("plans.market", "plans.wallets", "plans.liquidity", "plans.research", "plans.integrity", "streaming.jobs")
 
 
 def _plans():
-    return [importlib.import_module(f"tidemark.plans.{name}") for name in _PLANS]
+    return [importlib.import_module(f"tidemark.{name}") for name in _PLANS]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,4 +1,4 @@
-"""Getting the package to the executors."""
+"""Getting the package to the executors, and tables that several readers share."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import os
 import shutil
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -24,3 +24,11 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", top, "tidemark"))
         _shipped.add(app)
     return spark
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once for several readers, in the folder that ``spark.checkpoint.dir`` names (a temporary one where unset)."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return df.checkpoint(eager=True)
