@@ -50,17 +50,22 @@ def sql(*names: str) -> str:
     return V.with_views(*names, more=MORE)
 
 
+def with_map(b: DataFrame, maps: DataFrame) -> DataFrame:
+    """Bars with the columns of the map believed when they became available; rebuilding a frame's map columns is this alone."""
+    m = maps.drop("mark").withColumnRenamed("t_ingest", "map_t")
+    b = asof(b, m, ["coin"], "available_at", "map_t", ["map_t", *SIDES], tie=["seq"])
+    shells = {f"{s}_shell{i}": F.when(F.col(f"{s}{i}").isNotNull(), F.greatest(F.lit(0.0), F.col(f"{s}{i}") - (F.col(f"{s}{i - 1}") if i > 1 else F.lit(0.0)))) for s in ("up", "down") for i in range(1, 5)}
+    mass = F.col("up4") + F.col("down4")
+    return b.withColumns(shells | {"imbalance": F.when(mass > 0, F.round((F.col("down4") - F.col("up4")) / mass, 9)).when(mass == 0, 0.0), "map_age_s": (F.col("available_at") - F.col("map_t")) / 1e9}).drop("map_t")
+
+
 def frame_of(spark: SparkSession, d: str) -> DataFrame:
     """One row a bar with all FEATURES, joined as of the moment the bar became available; all coins in one job."""
     b = B.with_sigma(B.ratios(B.bars(V.prints(spark, d)))).drop("lr")
     c = market.ctx_features(spark, d).join(V.contexts(spark, d).select("coin", "seq", "t_ingest", "mark", "funding"), ["coin", "seq"])
     take = ["mark", "premium", "funding", "oi_notional", "premium_z", "funding_z", "oi_z"]
     b = asof(b, c, ["coin"], "available_at", "t_ingest", take, tie=["seq"])
-    m = V.map_rows(spark, d).drop("mark").withColumnRenamed("t_ingest", "map_t")
-    b = asof(b, m, ["coin"], "available_at", "map_t", ["map_t", *SIDES], tie=["seq"])
-    shells = {f"{s}_shell{i}": F.when(F.col(f"{s}{i}").isNotNull(), F.greatest(F.lit(0.0), F.col(f"{s}{i}") - (F.col(f"{s}{i - 1}") if i > 1 else F.lit(0.0)))) for s in ("up", "down") for i in range(1, 5)}
-    mass = F.col("up4") + F.col("down4")
-    b = b.withColumns(shells | {"imbalance": F.when(mass > 0, F.round((F.col("down4") - F.col("up4")) / mass, 9)).when(mass == 0, 0.0), "map_age_s": (F.col("available_at") - F.col("map_t")) / 1e9})
+    b = with_map(b, V.map_rows(spark, d))
     b = b.join(market.event_feats(spark, d), ["coin", "t_open"], "left")
     out = b.select("coin", "t_open", "t_close", "available_at", *FEATURES)
     undeclared = set(out.columns) - set(FEATURES) - {"coin", "t_open", "t_close", "available_at"}
@@ -74,6 +79,13 @@ def frame(spark: SparkSession, d: str) -> DataFrame:
     return f.withColumns({"funding": F.round("funding", 9)})
 
 
+def frame_rebuild(spark: SparkSession, d: str) -> DataFrame:
+    """The frame with its map columns rebuilt from another history: every second snapshot."""
+    own = [n for n, (source, _) in FEATURES.items() if source == "map"]
+    again = with_map(frame(spark, d).drop(*own), V.map_rows(spark, d).where("seq % 40 = 0"))
+    return again.select("coin", "t_open", "close", "sigma", *own)
+
+
 def frame_stats(spark: SparkSession, d: str) -> DataFrame:
     return frame_of(spark, d).groupBy("coin").agg(F.count("*").alias("rows"), F.count("up4").alias("with_map"), F.count("mark").alias("with_context"), F.count("sigma").alias("with_sigma"))
 
@@ -296,7 +308,7 @@ def gbt_expert(spark: SparkSession, d: str) -> DataFrame:
     return model.transform(x.where(F.col("t0") >= split)).select("coin", "t_open", F.col("label").cast("int").alias("y"), vector_to_array("probability")[1].alias("p"))
 
 
-QUERIES = {f.__name__: f for f in (frame, frame_stats, spec_lookback, ablation_cols, triple_barrier, race, fade, uniqueness_weights, sample_weights, label_stats, labelled, alpha_score, baseline_score, eval_metrics, wfo, wfo_coverage, walk_forward, isotonic, permute, placebo, decide, gbt_expert)}
+QUERIES = {f.__name__: f for f in (frame, frame_rebuild, frame_stats, spec_lookback, ablation_cols, triple_barrier, race, fade, uniqueness_weights, sample_weights, label_stats, labelled, alpha_score, baseline_score, eval_metrics, wfo, wfo_coverage, walk_forward, isotonic, permute, placebo, decide, gbt_expert)}
 
 _W1 = [1 / x for x in DISTANCES]
 _UPK = " + ".join(f"{m} * {k!r}::DOUBLE" for m, k in zip(_SHELL[:4], _W1, strict=True))
@@ -321,6 +333,7 @@ _FW = sql("sigmas", "ctxf", "map_rows", "liquidations")
 
 SQL = {
     "frame": _FW + _FRAME,
+    "frame_rebuild": _FW.replace("seq % 20 = 0", "seq % 40 = 0") + "SELECT coin, t_open, close, sigma, " + ", ".join(n for n, (s, _) in FEATURES.items() if s == "map") + f" FROM ({_FRAME})",
     "frame_stats": _FW + f"SELECT coin, count(*) AS rows, count(up4) AS with_map, count(mark) AS with_context, count(sigma) AS with_sigma FROM ({_FRAME}) GROUP BY 1",
     "ablation_cols": _FW + "SELECT coin, t_open, " + ", ".join(n for n, (s, _) in FEATURES.items() if s == "bars") + f" FROM ({_FRAME})",
     "spec_lookback": "SELECT source, count(*) AS columns, max(lookback) AS lookback FROM (VALUES " + ", ".join(f"('{s}', {k})" for s, k in FEATURES.values()) + ") v(source, lookback) GROUP BY 1",

@@ -22,13 +22,17 @@ def sql(*names: str) -> str:
     return V.with_views(*names, more=MORE)
 
 
-def legs_of(spark: SparkSession, d: str) -> DataFrame:
+def legs(prints: DataFrame) -> DataFrame:
     """Both sides of every print with their signed size; the buyer's leg is first."""
     sides = F.array(F.struct(F.col("buyer").alias("address"), F.lit(0).alias("leg")), F.struct(F.col("seller").alias("address"), F.lit(1).alias("leg")))
-    p = V.prints(spark, d).select("coin", "seq", "t_event", "t_ingest", "px", F.col("sz").cast("decimal(12,3)").alias("sz"), F.explode(sides).alias("s"))
+    p = prints.select("coin", "seq", "t_event", "t_ingest", "px", F.col("sz").cast("decimal(12,3)").alias("sz"), F.explode(sides).alias("s"))
     return p.select("s.address", "coin", "seq", "t_event", "t_ingest", "s.leg", F.when(F.col("s.leg") == 0, F.col("sz")).otherwise(-F.col("sz")).alias("signed"), "px")
 
 
+def legs_of(spark: SparkSession, d: str) -> DataFrame:
+    return legs(V.prints(spark, d))
+
+
 def deltas_of(legs: DataFrame) -> DataFrame:
     """Net size, gross notional, last price and fills by (address, coin)."""
     notional = F.sum((F.abs("signed") * F.col("px").cast("decimal(20,6)")).cast("decimal(34,9)")).cast("decimal(38,9)")

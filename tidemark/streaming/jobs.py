@@ -60,8 +60,24 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     return _run(twice.withWatermark("at", "1 day").dropDuplicatesWithinWatermark(["tid"]), at).select("coin", "tid", "px", "sz")
 
 
-QUERIES = {f.__name__: f for f in (stream_ingest, stream_bars, stream_dedup)}
+def stream_replay(spark: SparkSession, d: str) -> DataFrame:
+    """Position flows replayed batch by batch; a batch that runs again replaces its own folder, so nothing counts twice."""
+    from tidemark.plans.wallets import legs
+
+    stream, at = _landed(spark, d)
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        flows = legs(batch).groupBy("address", "coin").agg(F.sum("signed").cast("decimal(22,3)").alias("delta"), F.count("*").alias("fills"))
+        flows.write.mode("overwrite").parquet(f"{at}/flows/batch={batch_id}")
+
+    stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema("address string, coin string, delta decimal(22,3), fills long").parquet(f"{at}/flows/*")
+    return found.groupBy("address", "coin").agg(F.sum("delta").cast("double").alias("delta"), F.sum("fills").alias("fills"))
+
+
+QUERIES = {f.__name__: f for f in (stream_ingest, stream_bars, stream_dedup, stream_replay)}
 SQL = {
     "stream_ingest": V.with_views("prints") + "SELECT * FROM prints",
+    "stream_replay": V.with_views("prints") + "SELECT address, coin, CAST(sum(s) AS DOUBLE) AS delta, count(*) AS fills FROM (SELECT buyer AS address, coin, CAST(sz AS DECIMAL(12,3)) AS s FROM prints UNION ALL SELECT seller, coin, -CAST(sz AS DECIMAL(12,3)) FROM prints) GROUP BY 1, 2",
     "stream_dedup": V.with_views("prints") + "SELECT coin, tid, px, sz FROM prints",
 }
