@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from tidemark.llm.common import cut, fits, free_name, raw_texts
 
@@ -51,46 +52,46 @@ _NUMBER = re.compile(r"[+-]?(\d[\d,]*(\.\d+)?|\.\d+)")
 _TOKEN = re.compile(rb"[^\x20\x09-\x0D]+|\n")
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _NUM, _UNIT, _NAME = 1, 2, 3
+_REAL, _IS_NUMBER, _CAPITAL, _ENDS, _UNIT_WORD, _SIGNED = 1, 2, 4, 8, 16, 32
 
 
-class _Words:
-    """Each word's canonical form as numbers, kept in arrays that tokens index; emptied when full."""
+class _Words(dict):
+    """Each token's canonical form, as flags and a hash in arrays that the dict's values index; emptied when full."""
 
-    def __init__(self, at_most: int = 500_000):
+    def __init__(self, at_most: int = 400_000):
         self.at_most = at_most
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.rows: list[tuple] = []
-        self.values: list[str] = []
-        self.table = np.zeros((0, 4), np.int64)
-        self.hashes = np.zeros(0, np.uint64)
-
-    def add(self, token: bytes) -> int:
-        from xxhash import xxh64_intdigest
+        self.values_: list[str] = []
+        self.flags = np.zeros(1 << 12, np.uint8)
+        self.hashes = np.zeros(1 << 12, np.uint64)
 
+    def __missing__(self, token: bytes) -> int:
         raw = token.decode("utf-8", "replace")
-        bare = _EDGE.sub("", raw)
-        number = bool(_NUMBER.fullmatch(bare)) if bare else False
-        capital = bare[:1].isupper() and any(map(str.islower, bare))
-        ends = token == b"\n" or raw.rstrip("\"')]}»”*#&%$").endswith((".", "!", "?", ":", ";"))
-        signed = number and (raw[0] in SIGNS or raw.rstrip(".,;:!?")[-1:] in tuple(SIGNS))
-        self.rows.append((bool(bare), number, capital, ends, bare.lower() in UNITS, signed, xxh64_intdigest(bare.lower().encode(), 0)))
-        self.values.append(bare.lower())
-        at = self.index[token] = len(self.rows) - 1
+        word = raw.isalpha()
+        bare = raw if word else _EDGE.sub("", raw)
+        low = bare.lower()
+        flags = _REAL if bare else _ENDS * (token == b"\n")
+        if bare and not word and _NUMBER.fullmatch(bare):
+            flags |= _IS_NUMBER | _SIGNED * (raw[0] in SIGNS or raw.rstrip(".,;:!?")[-1:] in tuple(SIGNS))
+        if low != bare and bare[0].isupper() and not bare.isupper():
+            flags |= _CAPITAL
+        if not word and raw.rstrip("\"')]}»”*#&%$").endswith((".", "!", "?", ":", ";")):
+            flags |= _ENDS
+        if low in UNITS:
+            flags |= _UNIT_WORD
+        at = self[token] = len(self.values_)
+        if at == len(self.flags):
+            self.flags = np.r_[self.flags, np.zeros_like(self.flags)]
+            self.hashes = np.r_[self.hashes, np.zeros_like(self.hashes)]
+        self.values_.append(low)
+        self.flags[at] = flags
+        self.hashes[at] = xxh64_intdigest(low.encode(), 0)
         return at
 
     def look(self, tokens: list[bytes]) -> np.ndarray:
-        if len(self.index) > self.at_most:
+        if len(self) > self.at_most:
             self.clear()
-        index, add = self.index, self.add
-        ids = np.fromiter((index[t] if t in index else add(t) for t in tokens), np.int64, len(tokens))
-        if len(self.rows) > len(self.table):
-            new = self.rows[len(self.table) :]
-            self.hashes = np.r_[self.hashes, np.array([r[6] for r in new], np.uint64)]
-            self.table = np.r_[self.table.reshape(-1, 6), np.array([r[:6] for r in new], np.int64).reshape(-1, 6)] if len(self.table) else np.array([r[:6] for r in new], np.int64)
-        return ids
+            self.values_ = []
+        return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
 
 
 def _hashes(codes: np.ndarray, size: int, salt: int) -> np.ndarray:
@@ -107,16 +108,20 @@ def _hashes(codes: np.ndarray, size: int, salt: int) -> np.ndarray:
 def canonical(text: bytes | None, cache: _Words) -> tuple[np.ndarray, np.ndarray, list, np.ndarray]:
     """A text's words: their plain codes, their template codes, their values (empty without slots), their slot kinds."""
     ids = cache.look(_TOKEN.findall(text or b""))
-    t = cache.table[ids] if len(ids) else np.zeros((0, 6), np.int64)
-    opens = np.r_[True, t[:, 3] == 1][: len(ids)]
-    real = t[:, 0] == 1
-    opens[1:] |= ~real[:-1] & opens[:-1]  # a sentence also opens behind signs without a word
-    ids, t, opens = ids[real], t[real], opens[real]
-    number = t[:, 1] == 1
-    unit = np.r_[False, number[:-1] & (t[:-1, 5] == 0)][: len(ids)] & (t[:, 4] == 1)
-    kind = np.where(number, _NUM, np.where(unit, _UNIT, np.where((t[:, 2] == 1) & ~opens, _NAME, 0)))
+    flags = cache.flags[ids]
+    opens = np.r_[True, flags & _ENDS > 0][: len(ids)]
+    real = flags & _REAL > 0
+    if not real.all():
+        opens[1:] |= ~real[:-1] & opens[:-1]  # a sentence also opens behind signs without a word
+        ids, flags, opens = ids[real], flags[real], opens[real]
     plain = cache.hashes[ids]
-    values = cache.values
+    name = (flags & _CAPITAL > 0) & ~opens
+    number = flags & _IS_NUMBER > 0
+    if not (number.any() or name.any()):
+        return plain, plain, [], np.zeros(len(ids), np.int64)
+    unit = np.r_[False, number[:-1] & (flags[:-1] & _SIGNED == 0)][: len(ids)] & (flags & _UNIT_WORD > 0)
+    kind = np.where(number, _NUM, np.where(unit, _UNIT, np.where(name, _NAME, 0)))
+    values = cache.values_
     return plain, np.where(kind > 0, kind.astype(np.uint64), plain), [values[i] for i in ids] if kind.any() else [], kind
 
 
@@ -245,8 +250,8 @@ def _found(text: bytes | None, cache: _Words, lengths: list[int], sieve: np.ndar
     for n in lengths:
         if n > len(kind):
             continue
-        for is_templ, codes in ((False, plain), (True, templ)):
-            hashes = _hashes(codes, n, n)
+        own = _hashes(plain, n, n)
+        for is_templ, hashes in ((False, own), (True, own if templ is plain else _hashes(templ, n, n))):
             at = np.arange(len(hashes)) if sieve is None else np.flatnonzero(sieve[(hashes >> np.uint64(42)).astype(np.int64)])
             signed = hashes.view(np.int64)
             for i in at.tolist():
