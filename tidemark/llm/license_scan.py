@@ -14,8 +14,8 @@ cosine, then the first name). A file without one of its own inherits from the
 nearest ancestor directory that has one: distinct directories are exploded to
 their ancestors and equi-joined by path, and files join their directory.
 
-Scale: texts are read once; what is kept of them are the candidate lines and
-the template terms they hold. Null texts have no terms, null paths inherit
+Scale: texts are read twice, once for the counts of template terms and once for
+the candidate lines, which are all that is kept of them. Null texts have no terms, null paths inherit
 nothing, repeated rows are rows of their own, an empty table gives an empty one.
 """
 
@@ -49,7 +49,7 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
-#: Template words too common to mark a candidate line.
+#: Template words that are common words of some language (mit: German), so they mark no candidate line.
 _COMMON = "a and any are copy code file files for form in is may met no not of or person provided purpose source subject terms that the this to under use v version with without work you".split()
 TOKEN = r"[a-z0-9]+(?:[.][0-9]+)*"
 #: Names of licence files, without their endings.
@@ -81,14 +81,14 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", id_co
     parts = F.split(F.col("path"), "/")
     slim = files.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(path_col).cast("string").alias("path"),
-        F.array_intersect(_terms(text), F.array(*map(F.lit, vocabulary))).alias("held"),
         F.when(text.rlike(mark), F.filter(F.split(text, "\n"), lambda x: x.rlike(mark))).otherwise(F.array().cast("array<string>")).alias("lines"),
     )
     slim = slim.withColumn("dir", F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), "/")).withColumn("named", F.element_at(parts, -1).rlike(_LICENSE_FILE))
     slim = cut(slim)
     n = slim.count()
     rarest = F.log(F.lit(float(n + 1))) + 1.0
-    df = slim.select(F.explode("held").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    # Only counts leave this pass over the texts; the terms that each file holds are not kept.
+    df = files.select(F.explode(F.array_intersect(_terms(text), F.array(*map(F.lit, vocabulary)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     idf = terms.select("term").distinct().join(df, "term", "left").select("term", (F.log((n + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0).alias("idf"))
     idf = cut(idf)
     weighted = terms.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
@@ -102,7 +102,7 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", id_co
     dots = vector.join(index, "term").groupBy("row", "unit", "template", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
     cosines = dots.join(length, ["row", "unit"]).select("row", "license", F.round(F.col("dot") / F.col("length"), 6).alias("score")).where(F.col("score") >= similarity)
     best = cosines.groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("neg"), "license")).alias("b")).select(F.col("row").alias("r"), F.col("b.license").alias("own_license"), (-F.col("b.neg")).alias("own_score"))
-    owned = cut(slim.drop("held", "lines").join(best, F.col("row") == F.col("r"), "left").drop("r"))
+    owned = cut(slim.drop("lines").join(best, F.col("row") == F.col("r"), "left").drop("r"))
     name = F.element_at(F.split("path", "/"), -1)
     given = owned.where(F.col("named") & F.col("own_license").isNotNull()).groupBy(F.col("dir").alias("licensed_dir")).agg(F.min(F.struct((-F.col("own_score")).alias("neg"), name.alias("name"), F.col("own_license").alias("license"))).alias("g"))
     given = given.select("licensed_dir", F.col("g.license").alias("dir_license"))
