@@ -41,8 +41,9 @@ def expected(rows, least=0):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("split,least", [("128m", 0), ("200b", 0), ("1k", 11)])
-def test_round_trip(spark, tmp_path, split, least):
+@pytest.mark.parametrize("split,least,bound", [("128m", 0, 200_000), ("200b", 0, 0), ("1k", 11, 200_000)])
+def test_round_trip(spark, tmp_path, monkeypatch, split, least, bound):
+    monkeypatch.setattr(op, "BROADCAST_ROWS", bound)
     df = spark.createDataFrame(ROWS, "page_id long, url string, html string").selectExpr("*", "1 AS at", "2 AS bytes").repartition(2)
     path = str(tmp_path / "archives")
     old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")

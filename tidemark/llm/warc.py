@@ -17,7 +17,8 @@ in a split. Payloads that hold a magic are joined again from their pieces, and
 every payload is held against its record's digest.
 
 Skew: equal payloads meet in a max() with a partial aggregate; only ids and
-digests are shuffled, payloads pass from scan to file. Null payloads are empty,
+digests are shuffled, and payloads pass from scan to file unless more than
+BROADCAST_ROWS digests repeat: then they are shuffled by digest. Null payloads are empty,
 null URLs are ``urn:none``, null ids are written as such and come back null.
 Repeated rows of the largest id are all responses. Empty tables write an
 archive without records.
@@ -30,13 +31,15 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, shared_dir
+from tidemark.llm.common import cut, fits, shared_dir
 
 MAGIC = "WARC/1.1\r\n"
 _CLOSE = "\r\n\r\n"
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Fixed value: the date of all records, so that equal inputs give equal archives.
 DATE = "2024-01-01T00:00:00Z"
+#: Up to this many rows (about 100 bytes each) of repeated digests or of pieces to join meet the payloads without a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def base32_sha1(content: Column) -> Column:
@@ -46,6 +49,11 @@ def base32_sha1(content: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", _ALPHABET)
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` marked for a broadcast join if it has at most BROADCAST_ROWS rows (counted), else as it is for a shuffle join."""
+    return F.broadcast(df) if fits(df, BROADCAST_ROWS) else df
+
+
 def _record_id(page: Column) -> Column:
     """A stable URN of the record of an id."""
     h = F.md5(F.concat(F.lit("tidemark:"), F.coalesce(page.cast("string"), F.lit("null"))))
@@ -58,7 +66,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     rows = pages.select(F.col(id_col).cast("long").alias("page"), F.coalesce(F.col(url_col).cast("string"), F.lit("urn:none")).alias("url"), body.alias("body"))
     rows = rows.withColumns({"bytes": F.octet_length("body").cast("long"), "digest": base32_sha1(F.col("body").cast("binary"))})
     firsts = rows.where(F.col("bytes") >= least).groupBy("digest").agg(F.max("page").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("d"), "first")
-    known = rows.join(firsts, F.col("digest") == F.col("d"), "left")
+    known = rows.join(_small(cut(firsts)), F.col("digest") == F.col("d"), "left")
     revisit = F.col("first").isNotNull() & ~F.col("page").eqNullSafe(F.col("first"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(_CLOSE))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("body")))
@@ -174,7 +182,7 @@ def _joined(found: DataFrame, known: DataFrame, broken: DataFrame) -> DataFrame:
     tagged = offsets.join(spans.select("file").distinct(), "file", "left_semi").select("file", "piece_at", F.lit(1).alias("mark"), "split", "k", F.lit(None).cast("struct<at:bigint,next:bigint>").alias("own"))
     placed = marks.unionByName(tagged).withColumn("own", F.last("own", ignorenulls=True).over(owner)).where("mark = 1 and own.at <= piece_at and piece_at < own.next")
     wanted = cut(placed.select("file", "split", "k", "piece_at", F.col("own.at").alias("at")))
-    texts = found.join(wanted, ["file", "split", "k"]).groupBy("file", "at").agg(F.array_sort(F.collect_list(F.struct("piece_at", "piece"))).alias("parts"))
+    texts = found.join(_small(wanted), ["file", "split", "k"]).groupBy("file", "at").agg(F.array_sort(F.collect_list(F.struct("piece_at", "piece"))).alias("parts"))
     content = F.aggregate("parts", F.lit(b""), lambda acc, x: F.concat(acc, F.when(F.octet_length(acc) > 0, F.lit(MAGIC.encode())).otherwise(F.lit(b"")), x["piece"]))
     whole = texts.select("file", "at", content.alias("content")).join(spans, ["file", "at"])
     block = F.col("content").substr(F.col("head").cast("int") + 5, F.col("length").cast("int"))
