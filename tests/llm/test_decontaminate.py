@@ -52,3 +52,35 @@ def test_empty_tables(spark):
     for bound in (2_000_000, 0):
         assert op.contaminated(docs, none, broadcast_windows=bound).count() == 0
     assert op.contaminated(docs.limit(0), spark.createDataFrame(ITEMS, "item_id long, text string")).count() == 0
+
+
+SOLD = "{0} sold clips to {1} of her friends in April. {0} sold half as many clips in May. How many clips did {0} sell altogether in April and May?"
+OPENED = [
+    (SOLD.format("Natalia", 48), SOLD.format("Marcus", 72)),
+    (SOLD.format("Natalia", 48), SOLD.format("MARCUS", 72)),
+    (SOLD.format("NATALIA", 48), SOLD.format("Marcus", 72)),
+    (SOLD.format("Natalia", "forty-eight"), SOLD.format("Marcus", "seven")),
+    (SOLD.format("Natalia", "eight"), SOLD.format("Marcus", 72)),
+    ("Ann ran home. Bob sat down. Ann ate five figs. Bob ate two figs. How many figs did Ann and Bob eat?", "Zoe ran home. Max sat down. Zoe ate nine figs. Max ate three figs. How many figs did Zoe and Max eat?"),
+]
+
+
+def found(spark, texts, items, bound):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id): (round(r.containment, 6), r.exact) for r in op.contaminated(docs, table, broadcast_windows=bound).collect()}
+
+
+@pytest.mark.parametrize("bound", [2_000_000, 0])
+def test_names_that_open_sentences_capitals_and_number_words(spark, bound):
+    got = found(spark, [f"Read this first. {copy} And then this." for _, copy in OPENED], [item for item, _ in OPENED], bound)
+    assert {(i, i): got.get((i, i)) for i in range(len(OPENED))} == {(i, i): (1.0, False) for i in range(len(OPENED))}
+
+
+@pytest.mark.parametrize("bound", [2_000_000, 0])
+def test_openers_must_agree_and_capitals_are_not_all_names(spark, bound):
+    item = SOLD.format("Natalia", 48)
+    mixed = "Marcus sold clips to 72 of her friends in April. Peter sold half as many clips in May. How many clips did Susan sell altogether in April and May?"
+    capitals = "WE CAME TO THIS TOWN BY BOAT AND SAW ITS OLD STONE WALLS BEFORE NIGHT FELL OVER US"
+    other = "NO DOG MAY RUN OFF INTO WET LAND UNLESS HIS KEEPER GOES THERE FIRST AND LEADS THEM"
+    assert found(spark, [mixed, other], [item, capitals], bound) == {}

@@ -1,14 +1,21 @@
 """Benchmark decontamination by template windows with slot consistency.
 
 Texts are canonicalised word by word: punctuation around a word and case are
-dropped; a number becomes ``<num>``, a unit behind a number ``<unit>``, and a
-capitalised word inside a sentence ``<name>``. A template is a run of ``WINDOW``
-canonical words. A document's windows are hash-joined to the items' windows;
-where both have slots, the values of the document must follow from the item's
-by one one-to-one replacement for the whole item (slot consistency), else the
-window does not count. An item is in a document if ``SIMILARITY`` or more of
-its distinct windows are. Windows of the plain words (no placeholders) count
-too, so that a copy in lower case is found as well.
+dropped; a number, in digits or as an English number word, becomes ``<num>``, a
+unit behind a number ``<unit>``, and a capitalised word inside a sentence
+``<name>``. A template is a run of ``WINDOW`` canonical words. A capitalised word
+that opens a sentence and a word all in capitals may be a name or not: a window
+with such words has a second template where they are ``<name>`` too, unless
+nothing but slots would be left of it, and is found by either. A document's
+windows are hash-joined to the items' windows; where both have slots, the values
+of the document must follow from the item's by one one-to-one replacement for
+the whole item (slot consistency), else the window does not count. Replacements
+are read off aligned places: hits with the same difference of document and item
+position are bound together, the pairs of values with most windows first; then
+the item's other windows join from the nearest place that agrees, and the best
+place counts. An item is in a document if ``SIMILARITY`` or more of its distinct
+windows are. Windows of the plain words (no placeholders) count too, so that a
+copy in lower case is found as well.
 
 The items' windows are joined inside the tasks that read the documents as long
 as there are at most ``BROADCAST_WINDOWS`` of them (counted first); beyond, the
@@ -21,8 +28,9 @@ their id; rows with a null id are judged too and carry the null.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +52,12 @@ UNITS = frozenset(
     "kmh km/h mph m/s hz khz mhz ghz v volt volts w kw watt watts j kj joule joules cal kcal n pa kpa bar k c f degree degrees percent "
     "dollar dollars cent cents euro euros usd eur gbp".split()
 )
+_ONES, _TENS = "one two three four five six seven eight nine".split(), "twenty thirty forty fifty sixty seventy eighty ninety".split()
+#: English number words.
+NUMBER_WORDS = frozenset(
+    [*_ONES, *_TENS, *(f"{t}-{o}" for t in _TENS for o in _ONES)]
+    + "zero ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen dozen hundred thousand million billion".split()
+)
 #: Signs that are a number's unit when they stand at it.
 SIGNS = "$€£%°"
 
@@ -52,7 +66,7 @@ _NUMBER = re.compile(r"[+-]?(\d[\d,]*(\.\d+)?|\.\d+)")
 _TOKEN = re.compile(rb"[^\x20\x09-\x0D]+|\n")
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _NUM, _UNIT, _NAME = 1, 2, 3
-_REAL, _IS_NUMBER, _CAPITAL, _ENDS, _UNIT_WORD, _SIGNED = 1, 2, 4, 8, 16, 32
+_REAL, _IS_NUMBER, _CAPITAL, _ENDS, _UNIT_WORD, _SIGNED, _ALL_CAPITAL = 1, 2, 4, 8, 16, 32, 64
 
 
 class _Words(dict):
@@ -72,8 +86,10 @@ class _Words(dict):
         flags = _REAL if bare else _ENDS * (token == b"\n")
         if bare and not word and _NUMBER.fullmatch(bare):
             flags |= _IS_NUMBER | _SIGNED * (raw[0] in SIGNS or raw.rstrip(".,;:!?")[-1:] in tuple(SIGNS))
-        if low != bare and bare[0].isupper() and not bare.isupper():
-            flags |= _CAPITAL
+        if low in NUMBER_WORDS:
+            flags |= _IS_NUMBER
+        elif low != bare and bare[0].isupper():
+            flags |= _ALL_CAPITAL if bare.isupper() else _CAPITAL
         if not word and raw.rstrip("\"')]}»”*#&%$").endswith((".", "!", "?", ":", ";")):
             flags |= _ENDS
         if low in UNITS:
@@ -94,96 +110,193 @@ class _Words(dict):
         return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
 
 
-def _hashes(codes: np.ndarray, size: int, salt: int) -> np.ndarray:
-    """A hash for each window of ``size`` codes."""
+def _hashes(codes: np.ndarray, size: int, salt: int, at: np.ndarray | None = None) -> np.ndarray:
+    """A hash for each window of ``size`` codes, or only for the windows at ``at``."""
     n = len(codes) - size + 1
     with np.errstate(over="ignore"):
-        h = np.full(n, np.uint64(salt))
+        h = np.full(n if at is None else len(at), np.uint64(salt))
         for j in range(size):
-            h = (h ^ codes[j : j + n]) * _P1
+            h = (h ^ (codes[j : j + n] if at is None else codes[at + j])) * _P1
             h ^= h >> np.uint64(29)
         return (h * _P2) ^ (h >> np.uint64(32))
 
 
-def canonical(text: bytes | None, cache: _Words) -> tuple[np.ndarray, np.ndarray, list, np.ndarray]:
-    """A text's words: their plain codes, their template codes, their values (empty without slots), their slot kinds."""
-    ids = cache.look(_TOKEN.findall(text or b""))
-    flags = cache.flags[ids]
-    opens = np.r_[True, flags & _ENDS > 0][: len(ids)]
-    real = flags & _REAL > 0
-    if not real.all():
-        opens[1:] |= ~real[:-1] & opens[:-1]  # a sentence also opens behind signs without a word
-        ids, flags, opens = ids[real], flags[real], opens[real]
-    plain = cache.hashes[ids]
-    name = (flags & _CAPITAL > 0) & ~opens
-    number = flags & _IS_NUMBER > 0
-    if not (number.any() or name.any()):
-        return plain, plain, [], np.zeros(len(ids), np.int64)
-    unit = np.r_[False, number[:-1] & (flags[:-1] & _SIGNED == 0)][: len(ids)] & (flags & _UNIT_WORD > 0)
-    kind = np.where(number, _NUM, np.where(unit, _UNIT, np.where(name, _NAME, 0)))
-    values = cache.values_
-    return plain, np.where(kind > 0, kind.astype(np.uint64), plain), [values[i] for i in ids] if kind.any() else [], kind
+class Words:
+    """A text's words: their plain codes, template codes, values (empty without slots) and slot kinds,
+    and where words may be names as well: the codes and kinds with these as names."""
+
+    __slots__ = ("plain", "templ", "values", "kind", "maybe", "templ2", "kind2")
+
+    def __init__(self, text: bytes | None, cache: _Words):
+        ids = cache.look(_TOKEN.findall(text or b""))
+        flags = cache.flags[ids]
+        opens = np.r_[True, flags & _ENDS > 0][: len(ids)]
+        real = flags & _REAL > 0
+        if not real.all():
+            opens[1:] |= ~real[:-1] & opens[:-1]  # a sentence also opens behind signs without a word
+            ids, flags, opens = ids[real], flags[real], opens[real]
+        self.plain = self.templ = plain = cache.hashes[ids]
+        capital = flags & _CAPITAL > 0
+        number = flags & _IS_NUMBER > 0
+        unit = np.r_[False, number[:-1] & (flags[:-1] & _SIGNED == 0)][: len(ids)] & (flags & _UNIT_WORD > 0)
+        self.kind = kind = np.where(number, _NUM, np.where(unit, _UNIT, np.where(capital & ~opens, _NAME, 0)))
+        self.maybe = (kind == 0) & (capital | (flags & _ALL_CAPITAL > 0))
+        slots, unsure = kind.any(), self.maybe.any()
+        values = cache.values_
+        self.values = [values[i] for i in ids] if slots or unsure else []
+        if slots:
+            self.templ = np.where(kind > 0, kind.astype(np.uint64), plain)
+        self.templ2, self.kind2 = (np.where(self.maybe, np.uint64(_NAME), self.templ), np.where(self.maybe, _NAME, kind)) if unsure else (self.templ, kind)
+
+    def second(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the windows with second templates."""
+        n = len(self.kind) - size + 1
+        sums = np.r_[0, np.cumsum(self.maybe)]
+        at = np.flatnonzero(sums[size:] > sums[:-size])
+        if len(at):
+            sums = np.r_[0, np.cumsum(self.kind2 == 0)]
+            at = at[sums[at + size] > sums[at]]
+        return at, _hashes(self.templ2, size, size, at if len(at) < n else None)
+
+    def slots(self, i: int, n: int, second: bool = False) -> tuple:
+        kind = self.kind2 if second else self.kind
+        return tuple(f"{kind[k]}:{self.values[k]}" for k in range(i, i + n) if kind[k]) if self.values else ()
 
 
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
-    """``(item, h, template, slots, n)``: the distinct windows of every item, plain and template, and their length."""
+    """``(item, h, template, slots, n, key, at)``: the distinct windows of every item, plain and template, and their length.
+
+    ``key`` tells an item's windows apart and is the same for both templates of one; ``at`` is a template's place.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Words()
         for batch in batches:
             out: list[tuple] = []
             for item, text in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
-                plain, templ, values, kind = canonical(text, cache)
-                n = min(size, len(kind))
+                words = Words(text, cache)
+                n = min(size, len(words.kind))
                 if not n:
                     continue
-                plain, templ = _hashes(plain, n, n), _hashes(templ, n, n)
-                out += [(item, int(h), False, [], n) for h in np.unique(plain).view(np.int64)]
-                slots = [tuple((int(kind[k]), values[k]) for k in range(i, i + n) if kind[k]) if values else () for i in range(len(templ))]
-                seen = {(int(h), s) for h, s in zip(templ.view(np.int64), slots, strict=True)}
-                out += [(item, h, True, [f"{k}:{v}" for k, v in s], n) for h, s in sorted(seen)]
-            cols = list(zip(*out, strict=True)) if out else [(), (), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.bool_()), pa.array(cols[3], pa.list_(pa.string())), pa.array(cols[4], pa.int32())], ["item", "h", "template", "slots", "n"])
+                plain, templ = _hashes(words.plain, n, n), _hashes(words.templ, n, n).view(np.int64)
+                out += [(item, int(h), False, (), n, int(h), 0) for h in np.unique(plain).view(np.int64)]
+                first = [(int(h), words.slots(i, n)) for i, h in enumerate(templ)]
+                keys = [xxh64_intdigest(repr(w).encode(), 0) - (1 << 63) for w in first]
+                out += [(item, h, True, slots, n, keys[i], i) for i, (h, slots) in enumerate(first)]
+                at, second = words.second(n)
+                out += [(item, int(h), True, words.slots(i, n, True), n, keys[i], i) for i, h in zip(at.tolist(), second.view(np.int64), strict=True)]
+            cols = list(zip(*out, strict=True)) if out else [()] * 7
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.string()), pa.int32(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["item", "h", "template", "slots", "n", "key", "at"])
 
     slim = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(run, "item long, h long, template boolean, slots array<string>, n int").distinct()
-
-
-def _consistent(pairs: list[tuple[tuple, tuple]]) -> tuple[int, bool]:
+    return slim.mapInArrow(run, "item long, h long, template boolean, slots array<string>, n int, key long, at int").distinct()
+
+
+class _Replacement:
+    """A one-to-one replacement of slot values that grows."""
+
+    def __init__(self):
+        self.there: dict[str, str] = {}
+        self.back: dict[str, str] = {}
+
+    def take(self, mine: Iterable[str], theirs: Iterable[str]) -> bool:
+        """Whether the values agree with the replacement; if so they join it."""
+        there: dict[str, str] = {}
+        back: dict[str, str] = {}
+        for a, b in zip(mine, theirs, strict=True):
+            if self.there.get(a, there.get(a, b)) != b or self.back.get(b, back.get(b, a)) != a or a[:2] != b[:2]:
+                return False
+            there[a], back[b] = b, a
+        self.there |= there
+        self.back |= back
+        return True
+
+
+def _nearest(places: list[tuple], middle: int) -> Iterator[tuple]:
+    """Sorted (shift, ...) tuples by their distance from ``middle``."""
+    right = bisect_left(places, (middle,))
+    left = right - 1
+    while left >= 0 or right < len(places):
+        if right == len(places) or left >= 0 and middle - places[left][0] < places[right][0] - middle:
+            yield places[left]
+            left -= 1
+        else:
+            yield places[right]
+            right += 1
+
+
+def _consistent(pairs: list[tuple], most: int) -> tuple[int, bool]:
     """Of one item's template windows found in one document: how many fit one
-    one-to-one replacement of slot values (the windows in order, each kept if it
-    agrees with those kept before), and whether all values are the item's own.
+    one-to-one replacement of slot values, and whether all values are the item's own.
 
-    ``pairs`` holds (window key, item's slots, document's slots) and starts with
-    the most literal windows, so exact copies are judged by themselves.
+    ``pairs`` holds (key, item's place, item's slots, document's slots, document's places).
+    Every shift between places is tried as the start, those with most windows first.
     """
-    there: dict[str, str] = {}
-    back: dict[str, str] = {}
-    kept, same = set(), True
-    for key, mine, theirs in pairs:
-        if key in kept or len(mine) != len(theirs):
+    free = {key for key, _, mine, _, _ in pairs if not mine}  # without slots a window always fits
+    runs: dict[int, list[tuple]] = defaultdict(list)
+    of: dict[tuple, set] = defaultdict(set)  # an item's window, with or without a pair of values: its places
+    forms: dict[int, set] = defaultdict(set)
+    for key, at, mine, theirs, places in pairs:
+        if key in free or len(mine) != len(theirs):
             continue
-        if all(there.get(a, b) == b and back.get(b, a) == a and a[:2] == b[:2] for a, b in zip(mine, theirs, strict=True)):
-            there.update(zip(mine, theirs, strict=True))
-            back.update(zip(theirs, mine, strict=True))
-            kept.add(key)
-            same &= tuple(mine) == tuple(theirs)
-    return len(kept), same
-
-
-def _verdict(hits: dict[tuple, set], totals: tuple[int, int], similarity: float) -> tuple[float, bool, int] | None:
+        forms[key].add((len(mine), mine))
+        for j in places:
+            runs[j - at].append((at, key, mine, theirs))
+            of[key, mine].add((j - at, theirs))
+            for pair in zip(mine, theirs, strict=True):
+                of[key, mine, pair].add((j - at, theirs))
+    listed: dict[tuple, list] = {}
+
+    def places_of(*what) -> list[tuple]:
+        if what not in listed:
+            listed[what] = sorted(of.get(what, ()))
+        return listed[what]
+
+    best, tried = (len(free), True), []
+    for shift in sorted(runs, key=lambda d: (-len({key for _, key, *_ in runs[d]}), d)):
+        run = sorted(runs[shift], key=lambda p: (p[0], len(p[2]), p[1:]))
+        votes: Counter = Counter()
+        for _, _, mine, theirs in run:
+            votes.update(set(zip(mine, theirs, strict=True)))
+        bound = _Replacement()
+        for (a, b), _ in sorted(votes.items(), key=lambda v: (-v[1], v[0])):
+            bound.take((a,), (b,))
+        if any(bound.there.items() <= old.items() for old in tried):
+            continue
+        kept = {}
+        for _, key, mine, theirs in run:
+            if key not in kept and all(bound.there.get(a) == b for a, b in zip(mine, theirs, strict=True)):
+                kept[key] = mine == theirs
+        # Values of windows that lost the vote are no part of the replacement.
+        used = _Replacement()
+        for _, key, mine, theirs in run:
+            if key in kept and all(bound.there.get(a) == b for a, b in zip(mine, theirs, strict=True)):
+                used.take(mine, theirs)
+        rest = sorted((min(abs(next(_nearest(places_of(key, mine), shift))[0] - shift) for _, mine in forms[key]), key) for key in forms if key not in kept)
+        for _, key in rest:
+            for _, mine in sorted(forms[key]):
+                known = [places_of(key, mine, (a, used.there[a])) for a in mine if a in used.there]
+                found = next((theirs for _, theirs in _nearest(min(known, key=len) if known else places_of(key, mine), shift) if used.take(mine, theirs)), None)
+                if found is not None:
+                    kept[key] = mine == found
+                    break
+        tried.append(used.there)
+        best = max(best, (len(free) + len(kept), all(kept.values())))
+        if best == (most, True):
+            break
+    return best
+
+
+def _verdict(plain: int, pairs: list[tuple], totals: tuple[int, int], similarity: float) -> tuple[float, bool, int] | None:
     """Containment, exactness and matched windows of one (document, item), or None if too few."""
-    plain = len({h for (templ, h, _) in hits if not templ})
     if totals[0] and plain / totals[0] >= similarity:
         return plain / totals[0], True, plain
-    pairs = [((h, mine), mine, theirs) for (templ, h, mine), found in hits.items() if templ for theirs in found]
-    pairs.sort(key=lambda p: (tuple(p[1]) != tuple(p[2]), p))
-    n, same = _consistent(pairs)
-    # A replacement that starts from a chance agreement may lose; start once without literal values first.
-    if totals[1] and n / totals[1] < similarity:
-        again = sorted(pairs, key=lambda p: (tuple(p[1]) == tuple(p[2]), p))
-        n, same = max((n, same), _consistent(again))
-    return (n / totals[1], same, n) if totals[1] and n / totals[1] >= similarity else None
+    most = len({p[0] for p in pairs})
+    if not totals[1] or most / totals[1] < similarity:
+        return None
+    n, same = _consistent(pairs, most)
+    return (n / totals[1], same, n) if n / totals[1] >= similarity else None
 
 
 _RESULT = "doc_id long, item_id long, containment double, exact boolean, windows long"
@@ -195,10 +308,6 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "containment", "exact", "windows"])
 
 
-def _doc_slots(i: int, n: int, values: list, kind: np.ndarray) -> tuple:
-    return tuple(f"{kind[k]}:{values[k]}" for k in range(i, i + n) if kind[k]) if values else ()
-
-
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, similarity: float = SIMILARITY, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """``(doc_id, item_id, containment, exact, windows)`` for every item found in a document.
 
@@ -213,14 +322,16 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 def _by_broadcast(slim: DataFrame, table: DataFrame, lengths: list[int], similarity: float) -> DataFrame:
     rows = table.collect()  # at most broadcast_windows rows of the benchmark
-    shared = slim.sparkSession.sparkContext.broadcast([(r.item, r.h, r.template, tuple(r.slots)) for r in rows])
+    shared = slim.sparkSession.sparkContext.broadcast([(r.item, r.h, r.template, tuple(r.slots), r.key, r.at) for r in rows])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[tuple[bool, int], list] = defaultdict(list)
-        count: dict[int, list[int]] = defaultdict(lambda: [0, 0])
-        for item, h, templ, slots in shared.value:
-            by[templ, h].append((item, slots))
-            count[item][templ] += 1
+        distinct: dict[int, tuple[set, set]] = defaultdict(lambda: (set(), set()))
+        for item, h, templ, slots, key, at in shared.value:
+            by[templ, h].append((item, key, at, slots))
+            distinct[item][templ].add(key)
+        count = {item: (len(a), len(b)) for item, (a, b) in distinct.items()}
+        distinct.clear()
         known = np.array(sorted({h for _, h in by}), np.int64).view(np.uint64)
         sieve = np.zeros(1 << 22, bool)
         sieve[(known >> np.uint64(42)).astype(np.int64)] = True
@@ -228,36 +339,50 @@ def _by_broadcast(slim: DataFrame, table: DataFrame, lengths: list[int], similar
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
-                hits: dict[int, dict[tuple, set]] = defaultdict(lambda: defaultdict(set))
-                for templ, i, h, n, values, kind in _found(text, cache, lengths, sieve, by):
-                    theirs = _doc_slots(i, n, values, kind) if templ else ()
-                    for item, slots in by[templ, h]:
-                        hits[item][templ, h, slots].add(theirs)
-                for item in sorted(hits):
-                    if verdict := _verdict(hits[item], count[item], similarity):
+                found = _found(text, cache, lengths, sieve, by)
+                plain: Counter = Counter()
+                keys: dict[int, set] = defaultdict(set)
+                for templ, h in found:
+                    for item, key, _, _ in by[templ, h]:
+                        if templ:
+                            keys[item].add(key)
+                        else:
+                            plain[item] += 1
+                likely = {i for i, k in plain.items() if k / count[i][0] >= similarity} | {i for i, k in keys.items() if len(k) / count[i][1] >= similarity}
+                pairs: dict[int, list] = defaultdict(list)
+                for (templ, h), at_slots in found.items() if likely else ():
+                    for item, key, at, mine in by[templ, h] if templ else ():
+                        if item in likely:
+                            pairs[item] += [(key, at, mine, theirs, places) for theirs, places in at_slots.items()]
+                for item in sorted(likely):
+                    if verdict := _verdict(plain[item], pairs[item], count[item], similarity):
                         out.append((doc, item, *verdict))
             yield _rows(out)
 
     return slim.mapInArrow(run, _RESULT)
 
 
-def _found(text: bytes | None, cache: _Words, lengths: list[int], sieve: np.ndarray | None, by: dict | None) -> Iterator[tuple]:
-    """A document's windows (template?, place, hash, words, values, kinds); with ``sieve`` and ``by`` only those of items.
+def _found(text: bytes | None, cache: _Words, lengths: list[int], sieve: np.ndarray | None, by: dict | None) -> dict[tuple[bool, int], dict[tuple, list[int]]]:
+    """A document's windows (template?, hash): their slots, and where these are; with ``sieve`` and ``by`` only those of items.
 
     Items shorter than a window have windows of their own length, told apart by the hash's salt.
     """
-    plain, templ, values, kind = canonical(text, cache)
+    words = Words(text, cache)
+    found: dict[tuple[bool, int], dict[tuple, list[int]]] = defaultdict(lambda: defaultdict(list))
     for n in lengths:
-        if n > len(kind):
+        if n > len(words.kind):
             continue
-        own = _hashes(plain, n, n)
-        for is_templ, hashes in ((False, own), (True, own if templ is plain else _hashes(templ, n, n))):
-            at = np.arange(len(hashes)) if sieve is None else np.flatnonzero(sieve[(hashes >> np.uint64(42)).astype(np.int64)])
-            signed = hashes.view(np.int64)
-            for i in at.tolist():
-                h = int(signed[i])
+        own = _hashes(words.plain, n, n)
+        every = np.arange(len(own))
+        some, second = words.second(n)
+        for is_templ, is_second, where, hashes in ((False, False, every, own), (True, False, every, own if words.templ is words.plain else _hashes(words.templ, n, n)), (True, True, some, second)):
+            if sieve is not None:
+                near = np.flatnonzero(sieve[(hashes >> np.uint64(42)).astype(np.int64)])
+                where, hashes = where[near], hashes[near]
+            for i, h in zip(where.tolist(), hashes.view(np.int64).tolist(), strict=True):
                 if by is None or (is_templ, h) in by:
-                    yield is_templ, i, h, n, values, kind
+                    found[is_templ, h][words.slots(i, n, is_second) if is_templ else ()].append(i)
+    return found
 
 
 def _by_shuffle(slim: DataFrame, table: DataFrame, lengths: list[int], similarity: float) -> DataFrame:
@@ -265,26 +390,27 @@ def _by_shuffle(slim: DataFrame, table: DataFrame, lengths: list[int], similarit
         cache = _Words()
         for batch in batches:
             for row, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw_texts(batch.column(2)), strict=True):
-                seen = {(templ, h, _doc_slots(i, n, values, kind) if templ else ()) for templ, i, h, n, values, kind in _found(text, cache, lengths, None, None)}
-                cols = list(zip(*seen, strict=True)) if seen else [(), (), ()]
+                found = _found(text, cache, lengths, None, None)
+                seen = [(templ, h, slots, places if templ else []) for (templ, h), at_slots in found.items() for slots, places in at_slots.items()]
+                cols = list(zip(*seen, strict=True)) if seen else [(), (), (), ()]
                 k = len(seen)
-                yield pa.RecordBatch.from_arrays([pa.array([row] * k, pa.int64()), pa.array([doc] * k, pa.int64()), pa.array(cols[0], pa.bool_()), pa.array(cols[1], pa.int64()), pa.array([list(s) for s in cols[2]], pa.list_(pa.string()))], ["row", "id", "template", "h", "theirs"])
+                arrays = [pa.array([row] * k, pa.int64()), pa.array([doc] * k, pa.int64()), pa.array(cols[0], pa.bool_()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.string())), pa.array(cols[3], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(arrays, ["row", "id", "template", "h", "theirs", "places"])
 
     def judge(pdf):
         import pandas as pd
 
-        hits: dict[tuple, set] = defaultdict(set)
-        for templ, h, mine, theirs in zip(pdf.template, pdf.h, pdf.slots, pdf.theirs, strict=True):
-            hits[bool(templ), int(h), tuple(mine)].add(tuple(theirs))
+        plain = len(set(pdf.key[~pdf.template]))
+        pairs = [(int(key), int(at), tuple(mine), tuple(theirs), [int(j) for j in places]) for templ, key, at, mine, theirs, places in zip(pdf.template, pdf.key, pdf["at"], pdf.slots, pdf.theirs, pdf.places, strict=True) if templ]
         first = pdf.iloc[0]
-        verdict = _verdict(hits, (int(first.n_plain), int(first.n_templ)), similarity)
+        verdict = _verdict(plain, pairs, (int(first.n_plain), int(first.n_templ)), similarity)
         doc = None if pd.isna(first.id) else int(first.id)
         row = [(doc, int(first["item"]), *verdict)] if verdict else []
         return pd.DataFrame(row, columns=["doc_id", "item_id", "containment", "exact", "windows"]).astype({"doc_id": "Int64"})
 
     rows = cut(slim.withColumn("row", F.monotonically_increasing_id()).select("row", "id", "text"))
-    spread_rows = rows.mapInArrow(spread, "row long, id long, template boolean, h long, theirs array<string>")
-    totals = table.groupBy("item").agg(F.sum((~F.col("template")).cast("int")).alias("n_plain"), F.sum(F.col("template").cast("int")).alias("n_templ"))
+    spread_rows = rows.mapInArrow(spread, "row long, id long, template boolean, h long, theirs array<string>, places array<int>")
+    totals = table.select("item", "template", "key").distinct().groupBy("item").agg(F.sum((~F.col("template")).cast("int")).alias("n_plain"), F.sum(F.col("template").cast("int")).alias("n_templ"))
     found = spread_rows.join(table, ["template", "h"]).join(totals, "item")
     return found.groupBy("row", "item").applyInPandas(judge, _RESULT)
 
