@@ -84,3 +84,24 @@ def test_openers_must_agree_and_capitals_are_not_all_names(spark, bound):
     capitals = "WE CAME TO THIS TOWN BY BOAT AND SAW ITS OLD STONE WALLS BEFORE NIGHT FELL OVER US"
     other = "NO DOG MAY RUN OFF INTO WET LAND UNLESS HIS KEEPER GOES THERE FIRST AND LEADS THEM"
     assert found(spark, [mixed, other], [item, capitals], bound) == {}
+
+
+@pytest.mark.parametrize("bound", [2_000_000, 0])
+def test_other_passages_and_variants_do_not_hide_a_copy(spark, bound):
+    words = "melons grapes plums pears limes dates nuts figs kiwis beans peas leeks yams oats beets corn rice kale chard okra".split()
+    item = "we know that {} has {} {} and gives {} to {} while keeping {} for a friend who visits that farm each day".format
+    items = [item("Ann", 15, w, 4, "Bob", 11, w) for w in words]
+    copies = [item("Zed", 25, w, 6, "Eve", 19, w) for w in words]
+    decoys = [f"they say that Ann has 30 {w} and gives 9 to nobody" for w in words]
+    docs = [f"{d}. So {c}, he said." for d, c in zip(decoys, copies, strict=True)]
+    variants = [" and ".join(item(n, a, w, b, m, c) for n, a, b, m, c in (("Joe", 90, 50, "Kim", 40), ("Kim", 50, 40, "Joe", 10), ("Lou", 33, 3, "Max", 30))) for w in words]
+    got = found(spark, docs + variants, items, bound)
+    n = len(words)
+    assert {k: got.get(k) for k in [(i, i % n) for i in range(2 * n)]} == {(i, i % n): (1.0, False) for i in range(2 * n)}
+
+
+def test_a_copy_with_a_sentence_put_in_is_bound_from_both_sides(spark):
+    item = "first Joe walks 5 km down that long road to see his aunt and buys 7 red hats for her children then Joe rides a bus back over that bridge with 3 bags while it rains all day"
+    copy = item.replace("Joe", "Tim").replace(" 5 ", " 8 ").replace(" 7 ", " 9 ").replace(" 3 ", " 4 ").replace("children then", "children (all of them are small) then")
+    got = found(spark, [copy], [item], 2_000_000)
+    assert got[0, 0][0] > 0.8 and not got[0, 0][1]
