@@ -56,3 +56,28 @@ def test_hostile_markup_is_read_in_linear_time():
     for page in ("<a " * 20_000, "<p title='" * 20_000, "<div>" * 20_000, "<!--" * 20_000, "<script>" * 2000):
         op.main_text(page)
     assert time.time() - began < 30
+
+
+ROOMS = [
+    f'<article class="post category-social"><h1>T</h1><p>{LONG}</p></article>',
+    f'<div class="content no-sidebar"><h1>T</h1><p>{LONG}</p></div>',
+    f'<div id="has-sidebar" class="tag-search"><h1>T</h1><p>{LONG}</p></div><div class="sidebar">x</div>',
+    f'<article><header class="entry-header"><h1>T</h1></header><p>{LONG}</p><div class="post-comments">me</div></article>',
+    f'<div class="widget"><h1>T</h1><p>{LONG}</p><div class="social">x</div></div>',
+    f'<div class="search-result"><h1>T</h1><p>{LONG}</p></div><div class="search">x</div>',
+    f"<div><h1>T</h1></div><div><p>{LONG}</p></div>",
+    f'<nav><a href=x>a</a></nav><article><h1>T</h1><p>{LONG}</p></article><article class="ad">buy</article><div class="main-nav">x</div><div class="cookie-banner">y</div>',
+]
+
+
+@pytest.mark.parametrize("page", ROOMS)
+def test_class_words_strip_no_main_text(page):
+    assert op.main_text(page) == f"T\n{LONG}"
+
+
+def test_class_words_still_strip_other_things():
+    comments = f'<ol id="comments" class="comment-list">{f"<li><article class=comment-body><p>{LONG}</p></article></li>" * 9}</ol>'
+    assert op.main_text(f"<article><p>short</p></article>{comments}") == "short"
+    assert op.main_text(f'<div class="cookie-notice"><p>{LONG}</p></div>') == ""
+    assert op.main_text(f'<div class="post-content">{LONG}</div><div class="post-share">{LONG}</div>') == LONG
+    assert op.main_text(f"<div hidden><h1>T</h1>{LONG}</div>") == ""

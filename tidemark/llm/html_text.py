@@ -11,7 +11,15 @@ while no stretch is open; a dive is the first line from which a whole window is
 empty. Lines between surge and dive are the text, apart from the stripped ones,
 however short they are. In a page with an <article> or <main> any weight makes a
 surge; in others the threshold is ``THRESHOLD`` characters or a quarter of the
-page's largest window, whichever is less.
+page's largest window, whichever is less. Short lines before a surge and behind
+a dive join them if no more than ``NEAR`` lines without text lie between.
+
+Class words are read token by token. Tokens that deny something (no-sidebar),
+tell of the layout (has-sidebar) or of a subject (category-social, tag-search)
+mark nothing, nor do headers of entries and search results. Class words do not
+strip a page's outermost <article>, unless one is the whole token, nor an element
+with at least half of the page's text that holds its <h1> or <main>, or an
+<article> where no text would be left.
 
 Null, empty and text-free pages give an empty text. Whole pages are read; tags
 that are never closed, closed twice or cut off at the end are tolerated.
@@ -22,7 +30,9 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +40,7 @@ from pyspark.sql import functions as F
 
 WINDOW = 3
 THRESHOLD = 80
+NEAR = 2 * WINDOW
 
 #: Tags whose content is never text.
 _RAW = frozenset("script style noscript template svg math head iframe object canvas audio video map select textarea button datalist".split())
@@ -48,6 +59,8 @@ _MARKED = re.compile(
     r"|cookies?|consent|notices?|alerts?|popups?|modals?|overlays?|newsletter|subscribe|signup|login|comments?|comment-?list|respond|replies|disqus|discussion"
     r"|share|sharing|social|related|recommended|widgets?|pagination|pager|skip-?link|contentinfo|complementary|search)(?:$|[^a-z])"
 )
+#: Class tokens with a marked word that mark nothing.
+_UNMARKED = re.compile(r"(?:no|not|non|without|with|has|hide|hidden|is|category|cat|tag|tags|tax|taxonomy|topic|subject|format|post-tag|post-category|post-format)-.*|(?:.*-)?(?:entry|post|article|story|content)-header|(?:.*-)?search-results?(?:-.*)?")
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]{0,5000}\"|'[^']{0,5000}'){0,5000}+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<!--.*?(?:-->|\Z)|<[!?][^>]*>", re.S)
 _OPEN_COMMENT = re.compile(r"<!--.*", re.S)
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
@@ -63,19 +76,31 @@ class Line:
         self.text, self.linked, self.aside, self.inside = text, linked, aside, inside
 
 
-def _marked(attributes: str) -> bool:
+def _hidden(attributes: str) -> bool:
     for name, *values in _NAMED.findall(attributes):
-        value = "".join(values).lower()
-        name = name.lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name in ("class", "id", "role") and _MARKED.search(value.replace("_", "-")):
+        if name.lower() == "hidden" or name.lower() == "aria-hidden" and "".join(values).lower() == "true":
             return True
     return False
 
 
+def _marked(attributes: str, whole: bool = False) -> bool:
+    """Whether a class, id or role has a marked word; with ``whole`` only those that are one."""
+    for name, *values in _NAMED.findall(attributes):
+        if name.lower() in ("class", "id", "role"):
+            for token in "".join(values).lower().replace("_", "-").split():
+                found = _MARKED.fullmatch(token) if whole else _MARKED.search(token)
+                if found and not _UNMARKED.fullmatch(token):
+                    return True
+    return False
+
+
 def lines(page: str) -> list[Line]:
     """The page's lines, those without text included: they separate blocks."""
     out: list[Line] = []
-    stack: list[tuple[str, bool, bool]] = []  # open tag, makes aside, makes inside
+    stack: list[tuple[str, bool, bool, int | None]] = []  # open tag, makes aside, makes inside, number of the marked element
+    marked: list[list[int]] = []  # the first line of each element with class words, and the line behind it
+    heads: list[int] = []
+    articles: list[int] = []
     text: list[str] = []
     linked: list[str] = []
     link = asides = insides = 0
@@ -87,6 +112,13 @@ def lines(page: str) -> list[Line]:
         text.clear()
         linked.clear()
 
+    def close(gone: list[tuple]) -> None:
+        nonlocal asides, insides
+        for _, a, b, mark in gone:
+            asides, insides = asides - a, insides - b
+            if mark is not None:
+                marked[mark][1] = len(out)
+
     at, n = 0, len(page)
     last = page.rfind(">")  # behind it there is no whole tag
     while at < n:
@@ -122,25 +154,59 @@ def lines(page: str) -> list[Line]:
         if closing:
             place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if place is not None and not (tag == "p" and any(s[0] != "p" for s in stack[place + 1 :])):
-                for _, a, b in stack[place:]:
-                    asides, insides = asides - a, insides - b
+                close(stack[place:])
                 del stack[place:]
             continue
         if tag in ("p", "li", "dd", "dt", "td", "th", "tr", "option") and stack and stack[-1][0] == tag:
-            _, a, b = stack.pop()  # such a tag ends the one before it
-            asides, insides = asides - a, insides - b
+            close([stack.pop()])  # such a tag ends the one before it
         inside = tag in ("article", "main")
-        if inside and asides and not any(s[2] for s in stack) and not any(s[1] and s[0] in ("div", "section", "li", "ul", "ol") for s in stack):
-            asides = 0  # a menu or header that was never closed
-            stack = [(t, False, b) for t, _, b in stack]
-        aside = tag in _ASIDE or tag == "header" and not insides or _marked(attributes) and tag not in ("html", "body", "main")
-        stack.append((tag, aside, inside))
+        if inside and not insides and (asides or any(s[3] is not None for s in stack)) and not any((s[1] or s[3] is not None) and s[0] in ("div", "section", "li", "ul", "ol") for s in stack):
+            close([(t, a, False, mark) for t, a, _, mark in stack])  # a menu or header that was never closed
+            stack = [(t, False, b, None) for t, _, b, _ in stack]
+        if tag in ("h1", "main"):
+            heads.append(len(out))
+        elif tag == "article":
+            articles.append(len(out))
+        free = tag in ("html", "body", "main")
+        aside = tag in _ASIDE or tag == "header" and not insides or not free and _hidden(attributes)
+        mark = None
+        if not aside and not free and _marked(attributes, whole=tag == "article" and not insides):
+            mark = len(marked)
+            marked.append([len(out), -1])
+        stack.append((tag, aside, inside, mark))
         asides, insides = asides + aside, insides + inside
     end_line()
+    _strip(out, [(a, len(out) if b < 0 else b) for a, b in marked], heads, articles)
     return out
 
 
-def main_text(page: str | None, window: int = WINDOW, threshold: int = THRESHOLD) -> str:
+def _strip(found: list[Line], marked: list[tuple[int, int]], heads: list[int], articles: list[int]) -> None:
+    """Set aside the lines of elements with class words, but not of one that holds the page's text and its head."""
+    if not marked:
+        return
+    sizes = [0, *accumulate(len(x.text) for x in found)]
+
+    def holds(span: tuple[int, int], places: list[int]) -> bool:
+        return bisect_left(places, span[0]) < bisect_left(places, span[1])
+
+    def covered(spared: set[tuple[int, int]]) -> list[bool]:
+        steps = [0] * (len(found) + 1)
+        for span in marked:
+            if span not in spared:
+                steps[span[0]] += 1
+                steps[span[1]] -= 1
+        return [depth > 0 for depth in accumulate(steps[:-1])]
+
+    most = [span for span in marked if 2 * (sizes[span[1]] - sizes[span[0]]) >= sizes[-1] > 0]
+    spared = {span for span in most if holds(span, heads)}
+    under = covered(spared)
+    if not any(x.text and not x.aside and not u for x, u in zip(found, under, strict=True)):
+        under = covered(spared | {span for span in most if holds(span, articles)})
+    for x, u in zip(found, under, strict=True):
+        x.aside |= u
+
+
+def main_text(page: str | None, window: int = WINDOW, threshold: int = THRESHOLD, near: int = NEAR) -> str:
     """The text between surges and dives of the page's line-block distribution."""
     found = lines(page or "")
     semantic = any(x.inside and not x.aside and x.text for x in found)
@@ -151,15 +217,21 @@ def main_text(page: str | None, window: int = WINDOW, threshold: int = THRESHOLD
         sums[i + 1] = sums[i] + w
     block = [sums[min(n, i + window)] - sums[i] for i in range(n)]
     least = 1 if semantic else min(threshold, max(block, default=0) / 4) or 1
-    kept: list[str] = []
+    surges = [False] * n
     surged = False
-    for i, x in enumerate(found):
+    for i in range(n):
         if not surged and weight[i] and block[i] >= least:
             surged = True
         elif surged and not block[i]:
             surged = False
-        if surged and x.text and not x.aside and (not semantic or x.inside) and (weight[i] or not x.linked):
-            kept.append(x.text)
+        surges[i] = surged
+    for way in () if semantic else (range(n), range(n - 1, -1, -1)):
+        last = None  # the nearest line of text that is kept; none behind one that is left out
+        for i in way:
+            if found[i].text:
+                surges[i] |= weight[i] > 0 and last is not None and abs(i - last) <= near + 1
+                last = i if surges[i] and weight[i] else None
+    kept = [x.text for i, x in enumerate(found) if surges[i] and x.text and not x.aside and (not semantic or x.inside) and (weight[i] or not x.linked)]
     return "\n".join(kept)
 
 
