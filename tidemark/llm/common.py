@@ -64,6 +64,15 @@ def fits(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+#: Up to this many rows (ids, digests, paths: some hundred bytes each) a join's side is broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for a broadcast join if it has at most ``rows`` rows (counted), else as it is for a shuffle join."""
+    return F.broadcast(df) if fits(df, rows) else df
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have, in any case."""
     taken = {c.lower() for c in df.columns}
