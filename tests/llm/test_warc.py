@@ -18,7 +18,7 @@ ROWS = [
     (8, "u", "WARC/1.1\r\n"),
     (9, "u", "WARC/1.1\r\nWARC/1.1\r\n" * 3 + "x\r\n\r\nWARC/1.1"),
     (10, "u", "é\r\n\r\n" * 400),
-    (11, "u", "long " * 100_000),
+    (11, "u", "long " * 4_000),
     (12, "u", "\r\n\r\n"),
     (None, "u", "no id"),
     (20, "u", "twice"),
@@ -41,7 +41,7 @@ def expected(rows, least=0):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("split,least,bound", [("128m", 0, 200_000), ("200b", 0, 0), ("1k", 11, 200_000)])
+@pytest.mark.parametrize("split,least,bound", [("128m", 0, 200_000), ("400b", 0, 0), ("3k", 11, 200_000)])
 def test_round_trip(spark, tmp_path, monkeypatch, split, least, bound):
     monkeypatch.setattr(op, "BROADCAST_ROWS", bound)
     df = spark.createDataFrame(ROWS, "page_id long, url string, html string").selectExpr("*", "1 AS at", "2 AS bytes").repartition(2)
@@ -73,7 +73,31 @@ def test_empty_table(spark, tmp_path):
     assert op.round_trip(df, str(tmp_path / "none")).count() == 0
 
 
+def test_two_reads_with_other_splits_agree(spark, tmp_path):
+    path = str(tmp_path / "archives")
+    op.write(spark.createDataFrame(ROWS, "page_id long, url string, html string").coalesce(1), path)
+    name, old, got = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes"), []
+    try:
+        for split in ("64m", "1k", "7k"):
+            spark.conf.set(name, split)
+            got.append(sorted(tuple(r) for r in op.read(spark, path).select("at", "bytes", "computed", "type").collect()))
+    finally:
+        spark.conf.set(name, old)
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(ROWS)
+
+
+def test_a_broken_chain_raises(spark, tmp_path):
+    path = tmp_path / "archives"
+    path.mkdir()
+    op.write(spark.createDataFrame(ROWS[:4], "page_id long, url string, html string").coalesce(1), str(path / "whole"))
+    whole = b"".join(open(f, "rb").read() for f in glob.glob(f"{path}/whole/part-*"))
+    (path / "torn").mkdir()
+    (path / "torn" / "part-0").write_bytes(whole.replace(b"Content-Length: 89", b"Content-Length: 88", 1) if b"Content-Length: 89" in whole else whole[:-9])
+    with pytest.raises(ValueError, match="stops at"):
+        op.read(spark, str(path / "torn"))
+
+
 def test_pointer_jumping_follows_long_chains(spark):
-    links = [("f", 3 * i, 3 * i + 3) for i in range(100)] + [("f", 3 * i + 1, 3 * i + 4) for i in range(50)] + [("g", 1, 2), ("g", 0, 5)]
-    got = {tuple(r) for r in op.reachable(spark.createDataFrame(links, "file string, at long, next long")).collect()}
-    assert got == {("f", 3 * i) for i in range(100)} | {("g", 0)}
+    links = [("f", 3 * i, 3 * i + 3 if i < 99 else None, 3 * i + 3) for i in range(100)] + [("f", 3 * i + 1, 3 * i + 4, 3 * i + 5) for i in range(50)] + [("g", 1, None, None), ("g", 0, None, None)]
+    got = {tuple(r) for r in op.reachable(spark.createDataFrame(links, "file string, node long, to long, to_entry long")).collect()}
+    assert got == {("f", 3 * i, 3 * i) for i in range(100)} | {("g", 0, 0)}
