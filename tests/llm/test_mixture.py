@@ -37,7 +37,7 @@ def test_targets_and_taken(spark, seed, buckets):
     rows = rows_of(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 AS size", "2 AS src")
     got = op.mix(df, buckets=buckets).collect()
-    again = op.mix(df.repartition(3), buckets=64).collect()
+    again = op.mix(df.repartition(3), buckets=64, range_rows=5).collect()
     size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, _ in rows}
     sums = {}
     for i, _, s in rows:
@@ -74,3 +74,15 @@ def test_empty_table_and_empty_texts(spark):
     assert op.mix(spark.createDataFrame([], schema)).count() == 0
     got = op.mix(spark.createDataFrame([(1, None, "a"), (2, "", None), (2, "", None)], schema)).collect()
     assert len(got) == 3 and all(r.taken == 0 for r in got)
+
+
+def test_hot_ranges_are_cut_until_few_rows_are_sorted(spark):
+    """Numbers have the least weight, so nearly all keys lie in the last ranges; repeated rows share one key."""
+    rows = [(i, "1234567 " * (i % 9), "hot") for i in range(3000)] + [(None, "99 " * 7, "hot")] * 500 + [(5, "7 " * 3, "cold")] * 400
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    key = lambda r: str((r.doc_id, r.source, r["size"], r.taken))
+    few, many = (sorted(op.mix(df, weights=(1, 3), buckets=b, range_rows=n).collect(), key=key) for b, n in ((16, 3), (4096, 10**6)))
+    assert few == many and len(few) == len(rows)
+    for source in ("hot", "cold"):
+        got = [r for r in few if r.source == source]
+        assert abs(sum(r.taken for r in got) - got[0].target) <= 4.5

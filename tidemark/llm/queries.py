@@ -95,5 +95,5 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL of the queries that it can express: the others use trained models, XXH64 or formats and are tested by brute force."""
-    return {"op3_licenses": license_scan.oracle_sql(), "op4_chat": _CHAT, "op10_warc": _WARC}
+    """SQL of the queries that it can express: the others use trained models, XXH64 or binary formats and are tested by brute force."""
+    return {"op2_mix": mixture.ORACLE_SQL, "op3_licenses": license_scan.oracle_sql(), "op4_chat": _CHAT, "op10_warc": _WARC}
