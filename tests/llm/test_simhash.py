@@ -92,6 +92,7 @@ def test_empty_and_keep_one(spark):
     df = spark.createDataFrame([(3, "a b c d"), (2, "A b c d"), (2, "A b c d"), (5, "x y z q w"), (None, "t")], "doc_id long, text string")
     kept = op.keep_one(df)
     assert kept.columns == ["doc_id", "text"]
+    assert op.keep_one(empty).count() == 0
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [2, 5]
     assert kept.count() == 3
 
@@ -104,3 +105,31 @@ def test_components_of_a_long_chain_and_a_hub(spark):
     assert all(got[i] == 100 for i in range(100, 161))
     assert all(got[i] == 500 for i in range(500, 560))
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_keep_one_with_clashing_names_and_repeated_ids(spark):
+    rows = [(1, "a b c d", 1), (1, "a b c d", 2), (1, "other words stand in here", 3), (2, "a b c d", 4), (3, "other words stand in here", 5), (4, None, 6), (5, "", 7), (None, "a b c d", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __out int").selectExpr("*", "1 AS __keep", "2 AS __n", "3 AS fp", "4 AS id")
+    got = op.keep_one(df)
+    assert got.columns == df.columns
+    kept = sorted((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in got.collect())
+    # Both groups that id 1 is in have it as their least id, so a row of id 1 stands for each.
+    assert [k for k in kept if k[0] != 1] == [(-1, "a b c d"), (4, "")]
+    assert sum(k[0] == 1 for k in kept) == 1 and {r.doc_id for r in op.keep_one(df.repartition(3)).collect()} == {r.doc_id for r in got.collect()}
+
+
+def test_trees_of_one_shard_find_every_link():
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    fps = rnd.integers(0, 1 << 63, 300, np.uint64)
+    flips = np.uint64(1) << rnd.integers(0, 64, (3, 300)).astype(np.uint64)
+    fps = np.unique(np.concatenate([fps, fps ^ flips[0], fps ^ flips[0] ^ flips[1] ^ flips[2], np.uint64(7) ^ (np.uint64(1) << np.arange(64, dtype=np.uint64))]))
+    rnd.shuffle(fps)
+    label = np.arange(len(fps))
+    for a, b in op._tree_links(fps, np.arange(len(fps)), 3):
+        for x, y in zip(a, b, strict=True):
+            assert bin(int(fps[x]) ^ int(fps[y])).count("1") <= 3
+            label[label == max(label[x], label[y])] = min(label[x], label[y])
+    slow = slow_components(list(enumerate(map(int, fps))))
+    assert {i: int(label[i]) for i in range(len(fps))} == slow
