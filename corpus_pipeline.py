@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and reread as the next stage's documents. All but the last return
 the columns of ``documents``; each works on all that its predecessor kept.
+
+Every stage takes empty tables, null ids and null or empty texts (they are kept
+by the filters and mixed with nothing), repeated rows (each is judged; of a group
+of near copies, repeated rows included, one row with an id stays), very long texts
+and extra columns of any name, which pass through. No filter shuffles texts: two
+judge and filter in the pass that reads, one joins a broadcast of counted ids.
 """
 
 from __future__ import annotations
@@ -13,25 +19,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, mixture, simhash_dedup, toxicity
-from tidemark.llm.common import free_name, shared_dir
+from tidemark.llm.common import shared_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the calibrated trees do not call toxic; rows without an id stay if one of their kind would."""
+    """The rows that the calibrated trees do not call toxic; without labels all of them."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    bad = model.score(docs).where("predicted = 1 and doc_id is not null").select("doc_id").distinct()
-    name = free_name(docs, "__toxic")
-    bad = bad.withColumnRenamed("doc_id", name)
-    return docs.join(bad, docs.doc_id == bad[name], "left_anti")
+    return model.drop_toxic(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose SimHash fingerprints are linked."""
+    """One document of each group whose SimHash fingerprints are linked: that with the least id; rows without an id stay."""
     return simhash_dedup.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, literal or re-parameterised."""
+    """The rows that hold no benchmark item, literal or re-parameterised."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -47,7 +50,7 @@ STAGES = [
     ("mix_to_targets", mix_sources),
 ]
 
-#: SQL cannot express trained trees; tests hold the pipeline against brute force.
+#: SQL cannot express trained trees; tests/llm/test_pipeline.py holds the stages against slow versions.
 ORACLE_SQL = None
 
 

@@ -32,7 +32,7 @@ def test_copies_reparameterised_and_clean(spark, bound):
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.item_id, r.exact) for r in op.contaminated(docs, items, broadcast_windows=bound).collect())
     assert got == [(-1, 3, True), (10, 1, True), (11, 1, False), (13, 3, True), (13, 3, True), (15, 2, True), (18, 1, True), (19, 3, True)]
     kept = op.decontaminate(docs, items, broadcast_windows=bound)
-    assert kept.columns == docs.columns
+    assert kept.columns == docs.columns and all(r.doc_id is not None for r in kept.collect())
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [12, 14, 16, 17]
 
 

@@ -20,14 +20,22 @@ copy in lower case is found as well.
 The items' windows are joined inside the tasks that read the documents as long
 as there are at most ``BROADCAST_WINDOWS`` of them (counted first); beyond, the
 documents' windows are shuffled to them on the window's hash, with equal
-results. Items shorter than a window are one window. Null and empty texts have
-no windows; items without words match nothing. Repeated rows each count for
-their id; rows with a null id are judged too and carry the null.
+results. Items shorter than a window are one window. `decontaminate` judges and
+filters in the pass that reads the documents, so that no text is shuffled on the
+first way; on the second, ids of windows are.
+
+Null and empty texts have no windows; items without words match nothing.
+Repeated rows each count for their id; rows with a null id are judged too and
+carry the null. A very long text is one task's arrays of words and the windows
+that items have. Empty tables find nothing and leave all documents. Extra
+columns, whatever their names, are ignored by `contaminated` and kept by
+`decontaminate`.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
@@ -42,8 +50,8 @@ from tidemark.llm.common import cut, fits, free_name, raw_texts
 
 WINDOW = 5
 SIMILARITY = 0.8
-#: Above this many item windows the join is a shuffle join.
-BROADCAST_WINDOWS = 2_000_000
+#: Above this many item windows (about 150 bytes each where they are held, once a worker) the join is a shuffle join.
+BROADCAST_WINDOWS = 500_000
 
 #: Units that become a slot behind a number.
 UNITS = frozenset(
@@ -313,50 +321,81 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
     ``exact`` is false where only the template matches: a re-parameterised item.
     """
-    table = cut(item_windows(items, size=size))
+    table, lengths = _windows(items, size)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    lengths = sorted((r.n for r in table.select("n").distinct().collect()), reverse=True)  # at most ``size`` numbers
     join = _by_broadcast if fits(table, broadcast_windows) else _by_shuffle
     return join(slim, table, lengths, similarity)
 
 
-def _by_broadcast(slim: DataFrame, table: DataFrame, lengths: list[int], similarity: float) -> DataFrame:
-    rows = table.collect()  # at most broadcast_windows rows of the benchmark
-    shared = slim.sparkSession.sparkContext.broadcast([(r.item, r.h, r.template, tuple(r.slots), r.key, r.at) for r in rows])
+def _windows(items: DataFrame, size: int) -> tuple[DataFrame, list[int]]:
+    """The items' windows, and their different lengths, longest first: at most ``size`` numbers."""
+    table = cut(item_windows(items, size=size))
+    return table, sorted((r.n for r in table.select("n").distinct().collect()), reverse=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[tuple[bool, int], list] = defaultdict(list)
+
+class _Items:
+    """The items' windows as a task looks them up; built once for each worker."""
+
+    built: dict[str, "_Items"] = {}
+
+    def __init__(self, table: pa.Table):
+        self.by: dict[tuple[bool, int], list] = defaultdict(list)
         distinct: dict[int, tuple[set, set]] = defaultdict(lambda: (set(), set()))
-        for item, h, templ, slots, key, at in shared.value:
-            by[templ, h].append((item, key, at, slots))
+        for item, h, templ, slots, key, at in zip(*(table[c].to_pylist() for c in ("item", "h", "template", "slots", "key", "at")), strict=True):
+            self.by[templ, h].append((item, key, at, tuple(slots)))
             distinct[item][templ].add(key)
-        count = {item: (len(a), len(b)) for item, (a, b) in distinct.items()}
-        distinct.clear()
-        known = np.array(sorted({h for _, h in by}), np.int64).view(np.uint64)
-        sieve = np.zeros(1 << 22, bool)
-        sieve[(known >> np.uint64(42)).astype(np.int64)] = True
-        cache = _Words()
+        self.count = {item: (len(a), len(b)) for item, (a, b) in distinct.items()}
+        known = np.array(sorted({h for _, h in self.by}), np.int64).view(np.uint64)
+        self.sieve = np.zeros(1 << 22, bool)
+        self.sieve[(known >> np.uint64(42)).astype(np.int64)] = True
+
+    @classmethod
+    def of(cls, name: str, packed: bytes) -> "_Items":
+        if name not in cls.built:
+            cls.built.clear()
+            cls.built[name] = cls(pa.ipc.open_stream(packed).read_all())
+        return cls.built[name]
+
+    def verdicts(self, text: bytes | None, cache: _Words, lengths: list[int], similarity: float) -> Iterator[tuple]:
+        """``(item, containment, exact, windows)`` of the items that a text holds."""
+        found = _found(text, cache, lengths, self.sieve, self.by)
+        plain: Counter = Counter()
+        keys: dict[int, set] = defaultdict(set)
+        for templ, h in found:
+            for item, key, _, _ in self.by[templ, h]:
+                if templ:
+                    keys[item].add(key)
+                else:
+                    plain[item] += 1
+        likely = {i for i, k in plain.items() if k / self.count[i][0] >= similarity} | {i for i, k in keys.items() if len(k) / self.count[i][1] >= similarity}
+        pairs: dict[int, list] = defaultdict(list)
+        for (templ, h), at_slots in found.items() if likely else ():
+            for item, key, at, mine in self.by[templ, h] if templ else ():
+                if item in likely:
+                    pairs[item] += [(key, at, mine, theirs, places) for theirs, places in at_slots.items()]
+        for item in sorted(likely):
+            if verdict := _verdict(plain[item], pairs[item], self.count[item], similarity):
+                yield (item, *verdict)
+
+
+def _shared(table: DataFrame):
+    """The items' windows as a broadcast, and a name for them; at most ``broadcast_windows`` rows of the benchmark."""
+    found = table.toArrow()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, found.schema) as out:
+        out.write_table(found)
+    return table.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes()), uuid.uuid4().hex
+
+
+def _by_broadcast(slim: DataFrame, table: DataFrame, lengths: list[int], similarity: float) -> DataFrame:
+    shared, name = _shared(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, cache = _Items.of(name, shared.value), _Words()
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
-                found = _found(text, cache, lengths, sieve, by)
-                plain: Counter = Counter()
-                keys: dict[int, set] = defaultdict(set)
-                for templ, h in found:
-                    for item, key, _, _ in by[templ, h]:
-                        if templ:
-                            keys[item].add(key)
-                        else:
-                            plain[item] += 1
-                likely = {i for i, k in plain.items() if k / count[i][0] >= similarity} | {i for i, k in keys.items() if len(k) / count[i][1] >= similarity}
-                pairs: dict[int, list] = defaultdict(list)
-                for (templ, h), at_slots in found.items() if likely else ():
-                    for item, key, at, mine in by[templ, h] if templ else ():
-                        if item in likely:
-                            pairs[item] += [(key, at, mine, theirs, places) for theirs, places in at_slots.items()]
-                for item in sorted(likely):
-                    if verdict := _verdict(plain[item], pairs[item], count[item], similarity):
-                        out.append((doc, item, *verdict))
+                out += [(doc, *v) for v in items.verdicts(text, cache, lengths, similarity)]
             yield _rows(out)
 
     return slim.mapInArrow(run, _RESULT)
@@ -415,9 +454,22 @@ def _by_shuffle(slim: DataFrame, table: DataFrame, lengths: list[int], similarit
     return found.groupBy("row", "item").applyInPandas(judge, _RESULT)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; rows with a null id stay."""
-    found = contaminated(docs, items, id_col, text_col, **how).where("doc_id is not null").select("doc_id").distinct()
-    name = free_name(docs, "__contaminated")
-    found = found.withColumnRenamed("doc_id", name)
-    return docs.join(found, docs[id_col].cast("long") == found[name], "left_anti")
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, similarity: float = SIMILARITY, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item; rows with a null id are judged by their text like all others."""
+    table, lengths = _windows(items, size)
+    if not fits(table, broadcast_windows):
+        # Beyond the bound rows are numbered, judged by the number, and joined with the verdicts.
+        name = free_name(docs, "__row")
+        numbered = cut(docs.withColumn(name, F.monotonically_increasing_id()))
+        found = _by_shuffle(numbered.select(F.col(name).alias("id"), F.col(text_col).cast("string").alias("text")), table, lengths, similarity)
+        return numbered.join(found.select(F.col("doc_id").alias(name)).distinct(), name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    shared, name = _shared(table)
+    text_at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows, cache = _Items.of(name, shared.value), _Words()
+        for batch in batches:
+            clean = [next(windows.verdicts(text, cache, lengths, similarity), None) is None for text in raw_texts(batch.column(text_at))]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

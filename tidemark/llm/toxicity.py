@@ -4,18 +4,21 @@ Training, on labelled rows only, at most ``MAX_TRAIN`` of them (chosen by a hash
 of the id; the bound is a parameter):
 
 * A lexicon is learned: words and word beginnings whose share among toxic texts
-  is significantly higher than among others (log-odds with a z-score). No word
-  list is fixed, so it follows the labels' languages.
+  is significantly higher than among others (log-odds with a z-score), all of
+  them. No word list is fixed, so it follows the labels' languages.
 * A row's features come from a lexicon that its own fold did not help to
   learn, so that the trees see densities as they are on unseen texts.
 * ``pyspark.ml`` fits the trees on most of these rows and the isotonic
-  calibration on the rest.
+  calibration on the rest, where rows of equal raw scores are one weighted row.
 
 Scoring reads every whole text once, in Arrow batches, and looks each word up
 in a bounded cache. Null and empty texts have all features zero. Labels, ids,
 languages and sources are never features. Without labelled rows of both kinds
 the score is the (smoothed) share of toxic labels, or 0 without labels.
-Repeated labels of an id count as toxic if one of them does.
+Repeated labels of an id count as toxic if one of them does; repeated rows are
+scored each. An empty table gives an empty one. A very long text is described in
+chunks. Extra columns, whatever their names, are ignored by scores and kept by
+`drop_toxic`.
 """
 
 from __future__ import annotations
@@ -36,8 +39,8 @@ from tidemark.llm.common import cut, id_bucket, raw_texts, unit_hash
 
 #: Documented bound on the labelled rows that training reads.
 MAX_TRAIN = 20_000
-#: Bound on the lexicon's entries.
-MAX_LEXICON = 4_000
+#: A lexicon's entries from this quantile of their z-scores on are strong ones.
+STRONG = 0.75
 FOLDS = 3
 THRESHOLD = 0.3
 HELD_OUT = (4, 2)
@@ -81,7 +84,7 @@ def _known(cache: dict, word: bytes, make) -> object:
     return found
 
 
-def learn_lexicon(train: DataFrame, min_z: float = 2.5, min_odds: float = 1.4, at_most: int = MAX_LEXICON) -> list[dict[str, float]]:
+def learn_lexicon(train: DataFrame, min_z: float = 2.5, min_odds: float = 1.4) -> list[dict[str, float]]:
     """Lexicons ``gram -> z`` from ``train (text, toxic, fold)``: one without each fold, then one of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,12 +119,16 @@ def learn_lexicon(train: DataFrame, min_z: float = 2.5, min_odds: float = 1.4, a
         odds = F.log((a + 0.5) / (toxic + 1.0)) - F.log((b + 0.5) / (clean + 1.0))
         z = odds / F.sqrt(1.0 / (a + 0.5) + 1.0 / (b + 0.5))
         best = counts.select("gram", z.alias("z"), odds.alias("odds")).where((F.col("z") >= min_z) & (F.col("odds") >= min_odds))
-        out.append({r.gram: r.z for r in best.orderBy(F.desc("z"), "gram").limit(at_most).collect()})
+        out.append({r.gram: r.z for r in best.collect()})  # of at most MAX_TRAIN texts
     return out
 
 
-def features(docs: DataFrame, lexicons: list[dict[str, float]], id_col: str = "doc_id", text_col: str = "text", fold_col: str | None = None, strong_z: float = 4.0) -> DataFrame:
-    """``(id, x: array<double>)``: FEATURES of every row; ``fold_col`` says which lexicon a row gets (the last by default)."""
+def features(docs: DataFrame, lexicons: list[dict[str, float]], id_col: str = "doc_id", text_col: str = "text", fold_col: str | None = None, whole_rows: bool = False) -> DataFrame:
+    """``(id, x: array<double>)``: FEATURES of every row; ``fold_col`` says which lexicon a row gets (the last by default).
+
+    With ``whole_rows``, ``id`` is a struct of all columns of ``docs`` instead, under the name ``row``.
+    """
+    strong_of = [float(np.quantile(list(x.values()), STRONG)) if x else 0.0 for x in lexicons]
 
     def describe(lexicon: dict[str, float]):
         def make(raw: bytes) -> tuple:
@@ -135,7 +142,7 @@ def features(docs: DataFrame, lexicons: list[dict[str, float]], id_col: str = "d
 
         return make
 
-    def vector(raw: bytes | None, cache: dict, make) -> list[float]:
+    def vector(raw: bytes | None, cache: dict, make, strong_z: float) -> list[float]:
         tokens = (raw or b"").split()
         if not tokens:
             return [0.0] * len(FEATURES)
@@ -166,12 +173,18 @@ def features(docs: DataFrame, lexicons: list[dict[str, float]], id_col: str = "d
         ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        makers = [(dict(), describe(x)) for x in lexicons]
+        makers = [(dict(), describe(x), z) for x, z in zip(lexicons, strong_of, strict=True)]
         for batch in batches:
-            folds = batch.column(2).to_pylist()
-            x = [vector(t, *makers[f]) for t, f in zip(raw_texts(batch.column(1)), folds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["id", "x"])
-
+            row = batch.column(0)
+            texts = row.field(text_at) if whole_rows else batch.column(1)
+            folds = [len(makers) - 1] * batch.num_rows if whole_rows else batch.column(2).to_pylist()
+            x = [vector(t, *makers[f]) for t, f in zip(raw_texts(texts), folds, strict=True)]
+            yield pa.RecordBatch.from_arrays([row, pa.array(x, pa.list_(pa.float64()))], ["row" if whole_rows else "id", "x"])
+
+    if whole_rows:
+        text_at = docs.columns.index(text_col)
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+        return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, x array<double>")
     fold = F.col(fold_col) if fold_col else F.lit(len(lexicons) - 1)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), fold.cast("int").alias("fold"))
     return slim.mapInArrow(run, "id long, x array<double>")
@@ -183,17 +196,23 @@ class ToxicityModel:
     def __init__(self, lexicon: dict[str, float], trees, calibration, prior: float):
         self.lexicon, self.trees, self.calibration, self.prior = lexicon, trees, calibration, prior
 
+    def _scored(self, found: DataFrame, key: str) -> DataFrame:
+        """``(key, score)`` of rows ``found (key, x)``."""
+        if self.trees is None:
+            return found.select(key, F.lit(self.prior).alias("score"))
+        raw = self.trees.transform(found.select(key, array_to_vector("x").alias("features"))).select(key, vector_to_array("probability")[1].alias("p"))
+        return self.calibration.transform(raw).select(key, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("prediction"))).alias("score"))
+
     def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """``(doc_id, score, predicted)`` of every row; score is in [0, 1]."""
-        found = features(docs, [self.lexicon], id_col, text_col)
-        if self.trees is None:
-            scored = found.select(F.col("id").alias("doc_id"), F.lit(self.prior).alias("score"))
-        else:
-            raw = self.trees.transform(found.select("id", array_to_vector("x").alias("features")))
-            raw = raw.select("id", vector_to_array("probability")[1].alias("p"))
-            scored = self.calibration.transform(raw).select(F.col("id").alias("doc_id"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("prediction"))).alias("score"))
+        scored = self._scored(features(docs, [self.lexicon], id_col, text_col), "id").withColumnRenamed("id", "doc_id")
         return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
+    def drop_toxic(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
+        """The rows of ``docs`` that score below THRESHOLD, judged in the pass that reads them: no join, rows without an id included."""
+        found = features(docs, [self.lexicon], text_col=text_col, whole_rows=True)
+        return self._scored(found, "row").where(F.col("score") < THRESHOLD).select("row.*")
+
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN, seed: int = 7) -> ToxicityModel:
     """Fit on the labelled rows of ``docs`` outside the held-out ids (crc32 of the id mod 4 is 2)."""
@@ -219,5 +238,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     trees = GBTClassifier(maxDepth=3, maxIter=16, stepSize=0.3, minInstancesPerNode=3, maxBins=32, seed=seed).fit(table.where("not later").coalesce(2))
     small = not (n.get((True, 0), 0) >= 20 and n.get((True, 1), 0) >= 20)
     raw = trees.transform(table if small else table.where("later")).select("label", vector_to_array("probability")[1].alias("p"))
-    calibration = IsotonicRegression(featuresCol="p", labelCol="label").fit(raw)
+    distinct = raw.groupBy("p").agg(F.avg("label").alias("label"), F.count("*").cast("double").alias("w"))
+    calibration = IsotonicRegression(featuresCol="p", labelCol="label", weightCol="w").fit(distinct)
     return ToxicityModel(lexicons[-1], trees, calibration, prior)
