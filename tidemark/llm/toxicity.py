@@ -78,7 +78,7 @@ def _known(cache: dict, word: bytes, make) -> object:
     """``cache[word]``, made if missing; the cache is emptied before it grows beyond its bound."""
     found = cache.get(word)
     if found is None:
-        if len(cache) > 400_000:
+        if len(cache) > 150_000:
             cache.clear()
         found = cache[word] = make(word)
     return found
