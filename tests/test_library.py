@@ -5,6 +5,7 @@ import sys
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SF = "/root/testdata/sf0.001"
@@ -111,3 +112,81 @@ def test_entry_module_works_without_the_optional_parts(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); o = e.oracle_sql(); assert len(q) > 90 and not any(n.startswith('op') and n[2].isdigit() for n in q) and 'pipeline' not in q; print(len(q), len(o))"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
     assert done.returncode == 0, done.stderr
+
+
+def test_rolling_in_blocks_is_rolling_over_all_rows(spark):
+    from tidemark.operators.ordered import rolling
+
+    rows = [(c, t, float((7 * t + len(c)) % 11)) for c in ("a", "hot") for t in range(40 if c == "a" else 200)]
+    df = spark.createDataFrame(rows, "coin string, t long, x double")
+    found = {}
+    for size in (7, 10_000):
+        found[size] = sorted(tuple(r) for r in rolling(df, ["coin"], "t", [], 5, lambda w: {"s": F.sum("x").over(w), "n": F.count("x").over(w)}, size).collect())
+    assert found[7] == found[10_000] and len(found[7]) == len(rows)
+    by = {(c, t): x for c, t, x in rows}
+    for c, t, _, s, n in found[7]:
+        last = [by[c, k] for k in range(max(0, t - 4), t + 1)]
+        assert (s, n) == (sum(last), len(last))
+
+
+def test_attack_ratio_by_hand(spark):
+    from math import sqrt
+
+    from tidemark.plans.integrity import attack_of
+
+    held = [("w1", "c", 101.0, 100.0, 10.0, "isolated"), ("w2", "c", 110.0, 100.0, 40.0, "cross"), ("w3", "c", 110.0, 100.0, 1.0, "isolated"), ("w4", "c", 95.0, 100.0, -3.0, "isolated"), ("w5", "c", 100.0, 100.0, 5.0, "isolated"), ("w6", "d", 101.0, 100.0, 1.0, "isolated"), ("w7", "c", None, 100.0, 9.0, "isolated")]
+    p = spark.createDataFrame(held, "address string, coin string, price double, mark double, szi double, margin_type string")
+    stats = spark.createDataFrame([("c", 0.05, 1000.0), ("d", None, 1000.0)], "coin string, daily_sigma double, day_volume double")
+    got = {(r.coin, r.side): r for r in attack_of(p, stats).collect()}
+    psi = lambda mass, x: 0.05 * sqrt(mass / 1000) / (0.5 * x + 0.001)
+    up = got["c", "up"]
+    assert up.psi == round(psi(1000, 0.01), 9) and up.distance == 0.01 and up.positions == 1 and up.mass == 1000 and up.jackknife == 0
+    assert got["c", "down"].psi == round(psi(300, 0.05), 9) and got["c", "down"].distance == -0.05
+    assert got["d", "up"].psi is None and got["d", "up"].jackknife is None
+    wide = attack_of(p, stats, cost=1.0).where("coin = 'c' and side = 'up'").first()  # with a high cost the far cluster wins
+    low = lambda mass, x: 0.05 * sqrt(mass / 1000) / (0.5 * x + 1.0)
+    assert wide.psi == round(low(3100, 0.1), 9) and wide.positions == 3 and wide.jackknife == round(low(1100, 0.1), 9)
+
+
+def test_clusters_are_scored_in_the_tightest_band(spark):
+    from tidemark.plans.liquidity import score_clusters
+
+    minute = 60_000_000_000
+    maps = (100.0, 0.0, 5.0, 9.0, 9.0, 7.0, 7.0, 7.0, 7.0)
+    rows = [  # event time, map time, distance
+        ("c", 100 * minute, 99 * minute, 0.004, 1, *maps),  # up1 0 against down1 7: no hit
+        ("c", 100 * minute, 99 * minute, -0.004, 1, *maps),  # down1 7 against up1 0: both hits
+        ("c", 100 * minute, 99 * minute, 0.015, 1, *maps),  # up3 9 against 7: both hits
+        ("c", 100 * minute, 99 * minute, 0.2, 1, *maps),
+        ("c", 100 * minute, 90 * minute, 0.004, 1, *maps),
+        ("c", 100 * minute, None, None, 1, *[None] * 9),
+        ("n", 100 * minute, None, None, None, *[None] * 9),
+    ]
+    sides = ", ".join(f"{s}{i} double" for s in ("up", "down") for i in range(1, 5))
+    df = spark.createDataFrame(rows, f"coin string, t_event long, map_t long, dist double, first_t long, mark double, {sides}")
+    got = {r.coin: r for r in score_clusters(df).collect()}
+    c = got["c"]
+    assert (c.events, c.scored, c.side_hits, c.band_hits, c.outside_span, c.stale_map, c.pre_map, c.median_distance) == (6, 3, 2, 2, 1, 1, 1, 0.004)
+    assert got["n"].no_map == 1 and got["n"].scored == 0 and got["n"].z is None
+
+
+def test_experts_declare_what_they_read_and_meet_their_baseline(spark):
+    from tidemark.plans import experts
+
+    with pytest.raises(TypeError, match="undeclared"):
+        type("Odd", (experts.Expert,), {"features": ("nothing",)})
+    assert experts.Kernel().describe() == {"name": "kernel", "features": list(experts.Kernel.features), "lookback": 1, "baseline": "imbalance"}
+    rows = [("c", f, 10 * f + i, i % 2, 1.0, part, *[float(10 + i)] * 8) for f in (1, 2) for part, k in (("train", 30 if f == 1 else 3), ("test", 4)) for i in range(k)]
+    sides = ", ".join(f"{s}{i} double" for s in ("up", "down") for i in range(1, 5))
+    folds = spark.createDataFrame(rows, f"coin string, fold int, t_open long, y int, weight double, part string, {sides}")
+    got = {r.expert: r for r in experts.evaluate(folds, [experts.Coin, experts.Kernel]).collect()}
+    assert (got["rate"].n, got["rate"].unfit) == (8, 4)  # three rows are too few to fit on
+    assert got["rate"].log_loss == got["rate"].base_loss == pytest.approx(0.693147)
+    assert got["kernel"].unfit == 0 and got["kernel"].log_loss == pytest.approx(0.693147)
+
+
+def test_entry_lives_without_what_the_llm_operators_import(tmp_path):
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; q = e.queries(); assert 'frame' in q and 'op9_simhash' not in q and 'pipeline' not in q"
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": top})
+    assert done.returncode == 0, done.stderr

@@ -61,6 +61,25 @@ def previous(df: DataFrame, keys: list[str], time: str, order: list[str], column
     return found.select(*df.columns, *[F.col("__p")[c].alias(f"prev_{c}") for c in columns])
 
 
+def blocks(df: DataFrame, keys: list[str], time: str, order: list[str], n: int, size: int = 100_000) -> DataFrame:
+    """``df`` dealt into blocks of ``size`` rows of a key, with the ``n - 1`` rows before each block in front of it.
+
+    Windows over the last ``n`` rows by (*keys, __block) in the order ``__i`` are
+    exact on rows with ``__own``; the others are only there for them.
+    """
+    numbered = running_sum(df, keys, time, order, F.lit(1).cast("long"), "__i")
+    own = F.floor((F.col("__i") - 1) / size)
+    late = (F.col("__i") - 1) % size >= size - (n - 1)
+    dealt = numbered.select("*", F.posexplode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))).alias("__p", "__block"))
+    return dealt.withColumn("__own", F.col("__p") == 0).drop("__p")
+
+
+def rolling(df: DataFrame, keys: list[str], time: str, order: list[str], n: int, columns, size: int = 100_000) -> DataFrame:
+    """``df`` with ``columns(window)``, a dict of Columns over each row and the ``n - 1`` before it, in blocks."""
+    over = Window.partitionBy(*keys, "__block").orderBy("__i").rowsBetween(-(n - 1), Window.currentRow)
+    return blocks(df, keys, time, order, n, size).withColumns(columns(over)).where("__own").drop("__i", "__block", "__own")
+
+
 def kth(column: Column, value: str, k: Column) -> Column:
     """The element at place ``k`` (from 0) of a group's sorted values."""
     return F.element_at(F.sort_array(F.collect_list(value)), k + 1)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import DAY, HOUR, previous
+from tidemark.operators.ordered import DAY, HOUR, previous, running_sum
 from tidemark.plans import liquidity, market
 from tidemark.sources import views as V
 
@@ -156,7 +156,7 @@ def pair_digest(spark: SparkSession, d: str) -> DataFrame:
 
 def gate_ladder(spark: SparkSession, d: str) -> DataFrame:
     """Refusal reasons of the map gate in their order: too few events, low coverage, no side information."""
-    c = liquidity.cluster_score(spark, d).select("coin", "scored", "z")
+    c = liquidity.cluster_score_cadence(spark, d).select("coin", "scored", "z")
     s = liquidity.map_snapshot(spark, d).select("coin", "coverage")
     j = s.join(c, "coin", "left")
     return j.select("coin", F.when(F.coalesce("scored", F.lit(0)) < 20, "too few events").when(F.col("coverage") < 0.25, "low coverage").when(F.coalesce("z", F.lit(0.0)) < 3, "side not informative").otherwise("pass").alias("state"))
@@ -185,25 +185,61 @@ def page_events(spark: SparkSession, d: str) -> DataFrame:
     return p.select("page_id", F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("host"), links.alias("target")).groupBy("page_id", "host").agg(F.count("*").alias("links"), F.min("target").alias("first_target"))
 
 
-def attack(spark: SparkSession, d: str) -> DataFrame:
-    """Per side, the largest ratio of cumulated mass over distance, and where it is reached.
+#: Of the attack ratio: A, kappa, the weight of cross positions, and the round trip's cost as a share.
+A, KAPPA, OMEGA_CROSS, COST = 1.0, 0.5, 0.5, 0.001
+#: Of the signal: barrier half-width in sigmas and horizon in days.
+BARRIER, HORIZON_DAYS = 2.0, 4 / 24
+
+
+def attack_of(p: DataFrame, stats: DataFrame, a: float = A, kappa: float = KAPPA, omega: float = OMEGA_CROSS, cost: float = COST) -> DataFrame:
+    """``(coin, side, psi, jackknife, distance, mass, positions)``: per side the supremum of A sigma sqrt(R(d)/V) / (kappa d + cost).
 
-    Mass of cross positions counts half. The running sum is over a coin's
-    buckets of equal distance, a table of bounded size.
+    R steps up only at positions and the denominator grows, so the supremum is
+    taken at one: a running sum over positions, in two levels by distance, and a
+    minimum. The jackknife is the supremum without the heaviest position within
+    the winning distance (of equal ones the nearest), 0 where that is the only one.
+    Coins without a positive sigma and volume have null ratios. ``stats (coin,
+    daily_sigma, day_volume)`` has a row a coin.
     """
-    p = liquidity.placed(liquidity._p(spark, d)).where("dist <> 0")
-    mass = F.when(F.col("margin_type") == "cross", F.col("notional") * 0.5).otherwise(F.col("notional")).cast("decimal(24,6)")
-    rows = p.select("coin", F.when(F.col("dist") > 0, "up").otherwise("down").alias("side"), F.round(F.abs("dist"), 3).alias("x"), mass.alias("m")).groupBy("coin", "side", "x").agg(F.sum("m").alias("m"))
-    w = Window.partitionBy("coin", "side").orderBy("x")
-    psi = F.round(F.sqrt(F.sum("m").over(w).cast("double")) / (1 + 100 * F.col("x")), 6)
-    best = rows.withColumn("psi", psi).groupBy("coin", "side").agg(F.min(F.struct((-F.col("psi")).alias("neg"), "x")).alias("b"))
-    return best.select("coin", "side", (-F.col("b.neg")).alias("psi"), F.col("b.x").alias("at"))
+    if cost < 0 or kappa < 0 or not (kappa or cost):
+        raise ValueError("without a cost floor the ratio has no supremum")
+    d = (F.col("price") - F.col("mark")) / F.col("mark")
+    weight = F.when(F.col("margin_type") == "cross", F.lit(omega)).otherwise(F.lit(1.0)).cast("decimal(3,2)")
+    mass = F.round(F.abs("szi") * F.col("mark"), 6).cast("decimal(24,6)") * weight
+    rows = p.where("price > 0 and szi <> 0").select("coin", "address", d.alias("d"), mass.alias("m")).where("d <> 0")
+    rows = rows.select("coin", F.when(F.col("d") > 0, "up").otherwise("down").alias("side"), F.abs("d").alias("x"), "m", "address").withColumn("nano", F.floor(F.col("x") * 1e9))
+    walked = running_sum(rows, ["coin", "side"], "nano", ["x", "m", "address"], F.col("m"), "upto", chunk=10_000_000)
+    good = (F.col("daily_sigma") > 0) & (F.col("day_volume") > 0)
+    psi = lambda upto: F.when(good, F.round(a * F.col("daily_sigma") * F.sqrt(upto.cast("double") / F.col("day_volume")) / (kappa * F.col("x") + cost), 9))
+    walked = walked.join(stats.select("coin", "daily_sigma", "day_volume"), "coin", "left").withColumn("psi", psi(F.col("upto")))
+    key = ["coin", "side"]
+    place = F.struct("x", "m", "address")
+    best = walked.groupBy(*key).agg(F.min(F.struct((-F.col("psi")).alias("neg"), place.alias("at"), "upto")).alias("b"))
+    inside = walked.join(best, key).where(F.col("x") <= F.col("b.at.x"))
+    heavy = inside.groupBy(*key).agg(F.count("*").alias("within"), F.sum((place <= F.col("b.at")).cast("int")).alias("positions"), F.min(F.struct((-F.col("m")).alias("neg"), "x", "address")).alias("h"))
+    others = walked.join(heavy, key).where(~((F.col("x") == F.col("h.x")) & (F.col("address") == F.col("h.address"))))
+    behind = F.struct("x", "m", "address") > F.struct(F.col("h.x"), -F.col("h.neg"), F.col("h.address"))
+    again = others.where("within > 1").groupBy(*key).agg(F.max(psi(F.when(behind, F.col("upto") + F.col("h.neg")).otherwise(F.col("upto")))).alias("jackknife"))
+    out = best.join(heavy, key).join(again, key, "left")
+    sign = F.when(F.col("side") == "up", 1).otherwise(-1)
+    return out.select(*key, (-F.col("b.neg")).alias("psi"), F.when(F.col("b.neg").isNotNull(), F.coalesce("jackknife", F.lit(0.0))).alias("jackknife"), F.round(sign * F.col("b.at.x"), 9).alias("distance"), F.round(F.col("b.upto").cast("double"), 3).alias("mass"), "positions")
+
+
+def attack(spark: SparkSession, d: str) -> DataFrame:
+    with V.one_tape(spark, d):
+        stats = market.daily_sigma(spark, d).join(V.marks(spark, d).select("coin", "day_volume"), "coin")
+        return attack_of(liquidity._p(spark, d), stats)
 
 
 def attack_signal(spark: SparkSession, d: str) -> DataFrame:
-    """The difference of the sides' ratios; abstains where both exceed 30."""
-    a = attack(spark, d).groupBy("coin").pivot("side", ["up", "down"]).agg(F.max("psi"))
-    return a.select("coin", F.when((F.col("up") > 30) & (F.col("down") > 30), F.lit(None).cast("double")).otherwise(F.round(F.coalesce("up", F.lit(0.0)) - F.coalesce("down", F.lit(0.0)), 6)).alias("signal"))
+    """The hinged difference of the sides' ratios, positive upward, and its first-passage logit; ``abstain`` where both sides exceed 1."""
+    with V.one_tape(spark, d):
+        sigma = market.daily_sigma(spark, d).select("coin", "daily_sigma")
+        a = attack(spark, d).groupBy("coin").pivot("side", ["up", "down"]).agg(F.max("psi"))
+    hinge = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(0.0)) - 1, F.lit(0.0))
+    a = a.join(sigma, "coin").withColumn("drift", F.when(F.col("daily_sigma") > 0, F.round(hinge("up") - hinge("down"), 9)))
+    both = F.coalesce((F.col("up") > 1) & (F.col("down") > 1), F.lit(False))
+    return a.select("coin", "drift", F.round(2 * BARRIER * (HORIZON_DAYS**0.5) * F.col("drift") / F.col("daily_sigma"), 6).alias("logit"), both.alias("abstain"))
 
 
 def file_audit(spark: SparkSession, d: str) -> DataFrame:
@@ -219,8 +255,16 @@ def file_audit(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (gate_flips, gate_status, gate_require, ledger_latest, observations, actions, tape_compare, raw_missing, chain_verify, event_dedup, event_counts, events_ahead, failure_reasons, sweep_guard, stream_age, pair_digest, gate_ladder, liq_parse, page_events, attack, attack_signal, file_audit)}
 
 _STATUS = "(SELECT gate, arg_max(verdict, t_event) AS verdict, max(t_event) AS at, count(*) AS runs, count(*) FILTER (verdict = 'pass') AS passes FROM verdicts GROUP BY 1)"
-_ATTACK = """(SELECT coin, side, max(psi) AS psi, arg_min(x, struct_pack(a := -psi, b := x)) AS at FROM (SELECT *, round(sqrt(CAST(sum(m) OVER (PARTITION BY coin, side ORDER BY x) AS DOUBLE)) / (1 + 100 * x), 6) AS psi
-    FROM (SELECT coin, side, x, sum(m) AS m FROM (SELECT coin, CASE WHEN dist > 0 THEN 'up' ELSE 'down' END AS side, round(abs(dist), 3) AS x, CAST(CASE WHEN margin_type = 'cross' THEN notional * 0.5 ELSE notional END AS DECIMAL(24,6)) AS m FROM placed WHERE dist <> 0) GROUP BY 1, 2, 3)) GROUP BY 1, 2)"""
+_DAILY = market.SQL["daily_sigma"]
+_ATTACK = V.with_views("priced", "bars", more=liquidity.MORE | market.MORE).rstrip() + f""", stats AS (SELECT s.coin, daily_sigma, day_volume FROM ({_DAILY[_DAILY.rindex("SELECT coin, count(*) AS closes") :]}) s JOIN marks m ON s.coin = m.coin),
+    held AS (SELECT coin, CASE WHEN dd > 0 THEN 'up' ELSE 'down' END AS side, abs(dd) AS x, CAST(round(abs(szi) * mark, 6) AS DECIMAL(24,6)) * CAST(CASE margin_type WHEN 'cross' THEN {OMEGA_CROSS} ELSE 1.0 END AS DECIMAL(3,2)) AS m, address FROM (SELECT *, (price - mark) / mark AS dd FROM priced WHERE price > 0) WHERE dd <> 0),
+    walked AS (SELECT *, row_number() OVER o AS i, CASE WHEN daily_sigma > 0 AND day_volume > 0 THEN round({A}::DOUBLE * daily_sigma * sqrt(CAST(sum(m) OVER o AS DOUBLE) / day_volume) / ({KAPPA}::DOUBLE * x + {COST}::DOUBLE), 9) END AS psi, sum(m) OVER o AS upto
+        FROM held LEFT JOIN stats USING (coin) WINDOW o AS (PARTITION BY coin, side ORDER BY x, m, address)),
+    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY coin, side ORDER BY psi DESC, i) AS r FROM walked) WHERE r = 1),
+    heavy AS (SELECT * FROM (SELECT w.coin, w.side, w.i, count(*) OVER (PARTITION BY w.coin, w.side) AS within, row_number() OVER (PARTITION BY w.coin, w.side ORDER BY w.m DESC, w.x, w.address) AS r FROM walked w JOIN best b ON w.coin = b.coin AND w.side = b.side AND w.x <= b.x) WHERE r = 1),
+    rest AS (SELECT w.coin, w.side, max(p2) AS jackknife FROM (SELECT w.*, round({A}::DOUBLE * daily_sigma * sqrt(CAST(sum(m) OVER (PARTITION BY w.coin, w.side ORDER BY w.i) AS DOUBLE) / day_volume) / ({KAPPA}::DOUBLE * x + {COST}::DOUBLE), 9) AS p2 FROM walked w JOIN heavy h ON w.coin = h.coin AND w.side = h.side AND w.i <> h.i AND h.within > 1) w GROUP BY 1, 2),
+    attacked AS (SELECT b.coin, b.side, psi, coalesce(jackknife, 0.0) AS jackknife, round(CASE WHEN b.side = 'up' THEN x ELSE -x END, 9) AS distance, round(CAST(upto AS DOUBLE), 3) AS mass, b.i AS positions FROM best b LEFT JOIN rest r ON b.coin = r.coin AND b.side = r.side)
+"""
 SQL = {
     "gate_flips": sql("verdicts") + "SELECT gate, seq, was, verdict FROM (SELECT *, lag(verdict) OVER (PARTITION BY gate ORDER BY seq) AS was FROM verdicts) WHERE was <> verdict",
     "gate_status": sql("verdicts") + f"SELECT * FROM {_STATUS}",
@@ -230,7 +274,8 @@ SQL = {
     "actions": sql("tape") + "SELECT seq, t_ingest, 'L' || CAST(k % 4 AS VARCHAR) AS level, coin AS kind FROM tape WHERE t_ingest >= 1705276800000000000 AND k % 4 >= 2",
     "tape_compare": sql("tape") + """SELECT coalesce(o.coin, t.coin) AS coin, coalesce(o.hour, t.hour) AS hour, a, b, CASE WHEN b IS NULL THEN 'only_ours' WHEN a IS NULL THEN 'only_theirs' WHEN abs(a - b) <= 0.1 * greatest(a, b) THEN 'same' ELSE 'differ' END AS state
         FROM (SELECT coin, t_ingest // 3600000000000 AS hour, count(*) AS a FROM tape GROUP BY 1, 2) o FULL JOIN (SELECT coin, t_ingest // 3600000000000 AS hour, count(*) AS b FROM tape WHERE seq % 7 <> 0 GROUP BY 1, 2) t ON o.coin = t.coin AND o.hour = t.hour""",
-    "raw_missing": sql("manifest") + "SELECT coin, hour, 'missing' AS state FROM manifest WHERE hour % 11 = 0 UNION ALL SELECT coin, hour + 100000, 'orphan' FROM manifest WHERE hour % 13 = 0",
+    "raw_missing": sql("manifest").rstrip() + """, disk AS (SELECT coin, hour FROM manifest WHERE hour % 11 <> 0 UNION ALL SELECT coin, hour + 100000 FROM manifest WHERE hour % 13 = 0)
+        SELECT coin, hour, 'missing' AS state FROM manifest m ANTI JOIN disk USING (coin, hour) UNION ALL SELECT coin, hour, 'orphan' FROM disk ANTI JOIN manifest USING (coin, hour)""",
     "chain_verify": sql("tape") + "SELECT coin, count(*) AS entries, min(seq) FILTER (seq % 331 = 5 AND coin <> 'view') AS first_break, min(seq) FILTER (seq % 331 = 5 AND coin <> 'view') IS NULL AS intact FROM tape GROUP BY 1",
     "event_dedup": sql("calendar") + "SELECT event_id, source, receipt_ts FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY receipt_ts, seq) AS rn FROM calendar) WHERE rn = 1",
     "event_counts": sql("calendar") + "SELECT source, class, count(*) AS n, max(receipt_ts) AS newest FROM calendar GROUP BY 1, 2",
@@ -239,9 +284,10 @@ SQL = {
     "sweep_guard": sql("tape") + "SELECT *, CASE WHEN holders = 0 THEN 'nothing succeeded' WHEN errors > 0.5 * wallets THEN 'too many errors' END AS refusal FROM (SELECT coin, count(*) AS wallets, count(*) FILTER (k % 2 = 0) AS holders, count(*) FILTER (k < 49) AS errors FROM tape GROUP BY 1)",
     "stream_age": sql("tape") + f"SELECT coin, max(t_ingest) AS newest, round(({NOW + DAY} - max(t_ingest)) / 1e9, 3) AS age_s, {NOW + DAY} - max(t_ingest) > 3600000000000 AS gap FROM tape GROUP BY 1",
     "pair_digest": sql("positions", "liquidations", "bars") + "SELECT m.coin, m.mark, coalesce(h, 0) AS holders, coalesce(e, 0) AS events, coalesce(b, 0) AS bars FROM marks m LEFT JOIN (SELECT coin, count(*) AS h FROM positions GROUP BY 1) p ON m.coin = p.coin LEFT JOIN (SELECT coin, count(*) AS e FROM liquidations GROUP BY 1) q ON m.coin = q.coin LEFT JOIN (SELECT coin, count(*) AS b FROM bars GROUP BY 1) x ON m.coin = x.coin",
-    "gate_ladder": V.with_views("placed", "matched", more=liquidity.MORE) + "SELECT s.coin, CASE WHEN coalesce(scored, 0) < 20 THEN 'too few events' WHEN coverage < 0.25 THEN 'low coverage' WHEN coalesce(z, 0) < 3 THEN 'side not informative' ELSE 'pass' END AS state FROM (" + liquidity.SQL["map_snapshot"][liquidity.SQL["map_snapshot"].rindex("SELECT b.coin") :] + ") s LEFT JOIN (" + liquidity.SQL["cluster_score"][liquidity.SQL["cluster_score"].rindex("SELECT *, CASE WHEN scored") :] + ") c ON s.coin = c.coin",
+    "gate_ladder": V.with_views("placed", "matched", more=liquidity.MORE) + "SELECT s.coin, CASE WHEN coalesce(scored, 0) < 20 THEN 'too few events' WHEN coverage < 0.25 THEN 'low coverage' WHEN coalesce(z, 0) < 3 THEN 'side not informative' ELSE 'pass' END AS state FROM (" + liquidity.SQL["map_snapshot"][liquidity.SQL["map_snapshot"].rindex("SELECT b.coin") :] + ") s LEFT JOIN (" + liquidity.SQL["cluster_score_cadence"][liquidity.SQL["cluster_score_cadence"].rindex("SELECT *, CASE WHEN scored") :] + ") c ON s.coin = c.coin",
     "liq_parse": sql("tape") + "SELECT tid, coin, CASE WHEN seq % 50 = 7 THEN buyer ELSE seller END AS user, CASE WHEN seq % 50 = 7 THEN 'counterparty' ELSE 'self' END AS source, px, sz FROM tape WHERE seq % 10 = 7 AND k > 0 AND (seq % 50 = 7 OR seq % 4 = 3)",
     "page_events": "SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, count(*) AS links, min(target) AS first_target FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1)) AS target FROM pages) GROUP BY 1, 2",
-    "attack": V.with_views("placed", more=liquidity.MORE) + f"SELECT * FROM {_ATTACK}",
-    "attack_signal": V.with_views("placed", more=liquidity.MORE) + f"SELECT coin, CASE WHEN up > 30 AND down > 30 THEN NULL ELSE round(coalesce(up, 0) - coalesce(down, 0), 6) END AS signal FROM (SELECT coin, max(psi) FILTER (side = 'up') AS up, max(psi) FILTER (side = 'down') AS down FROM {_ATTACK} GROUP BY 1)",
+    "attack": _ATTACK + "SELECT * FROM attacked",
+    "attack_signal": _ATTACK + f"""SELECT coin, drift, round(2 * {BARRIER} * {HORIZON_DAYS**0.5!r}::DOUBLE * drift / daily_sigma, 6) AS logit, abstain FROM (SELECT a.coin, daily_sigma, coalesce(up > 1 AND down > 1, FALSE) AS abstain,
+        round(greatest(coalesce(up, 0) - 1, 0.0) - greatest(coalesce(down, 0) - 1, 0.0), 9) AS drift FROM (SELECT coin, max(psi) FILTER (side = 'up') AS up, max(psi) FILTER (side = 'down') AS down FROM attacked GROUP BY 1) a JOIN stats s ON a.coin = s.coin)""",
 }

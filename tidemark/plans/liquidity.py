@@ -217,23 +217,44 @@ def _slot(dist: str = "dist") -> Column:
     return F.when(a <= BANDS[0], 0).when(a <= BANDS[1], 1).when(a <= BANDS[2], 2).when(a <= BANDS[3], 3)
 
 
+#: How old a map may be to score an event: the tightest band is 0.5% wide, so a stale mark measures elapsed movement.
+MAX_MAP_AGE = 300_000_000_000
 _STATUS_SQL = f"CASE WHEN first_t IS NULL THEN 'no_map' WHEN map_t IS NULL THEN 'pre_map' WHEN t_event - map_t > {STALE} THEN 'stale_map' WHEN abs(dist) > 0.05 THEN 'outside_span' ELSE 'scored' END"
 _SLOT_SQL = "CASE WHEN abs(dist) <= 0.005 THEN 0 WHEN abs(dist) <= 0.01 THEN 1 WHEN abs(dist) <= 0.02 THEN 2 WHEN abs(dist) <= 0.05 THEN 3 END"
 
 
-def _status() -> Column:
-    return F.when(F.col("first_t").isNull(), "no_map").when(F.col("map_t").isNull(), "pre_map").when(F.col("t_event") - F.col("map_t") > STALE, "stale_map").when(F.abs("dist") > BANDS[-1], "outside_span").otherwise("scored")
+def _status(stale: int = STALE) -> Column:
+    return F.when(F.col("first_t").isNull(), "no_map").when(F.col("map_t").isNull(), "pre_map").when(F.col("t_event") - F.col("map_t") > stale, "stale_map").when(F.abs("dist") > BANDS[-1], "outside_span").otherwise("scored")
 
 
 def cluster_score(spark: SparkSession, d: str) -> DataFrame:
-    """Whether events fell where the map had mass; set-aside reasons counted, by coin."""
-    m = matched(spark, d).withColumn("status", _status())
-    near = F.when(F.col("dist") >= 0, F.col("up4")).otherwise(F.col("down4"))
-    far = F.when(F.col("dist") >= 0, F.col("down4")).otherwise(F.col("up4"))
+    """The score with maps of at most five minutes; these tables' maps come hours apart, so most events are set aside as stale."""
+    return score_clusters(matched(spark, d), MAX_MAP_AGE)
+
+
+def cluster_score_cadence(spark: SparkSession, d: str) -> DataFrame:
+    """The score with maps up to the age that these tables' cadence has."""
+    return score_clusters(matched(spark, d), STALE)
+
+
+def score_clusters(found: DataFrame, max_age: int = MAX_MAP_AGE, least: float = 0.0) -> DataFrame:
+    """Whether events fell where the map had mass, in the tightest band that holds their distance; reasons to set aside counted, by coin.
+
+    A side hit has more mass on the event's side of that band than on the other.
+    The median is the upper one of distances rounded to 1e-6, read off their counts.
+    """
+    m = found.withColumn("status", _status(max_age)).withColumn("slot", _slot() + 1)
+    at = lambda side: F.element_at(F.array(*[F.col(f"{side}{i}") for i in range(1, 5)]), F.coalesce("slot", F.lit(1)))
+    near = F.when(F.col("dist") >= 0, at("up")).otherwise(at("down"))
+    far = F.when(F.col("dist") >= 0, at("down")).otherwise(at("up"))
+    counts = m.where("status = 'scored'").groupBy("coin", F.round(F.abs("dist"), 6).alias("x")).agg(F.count("*").alias("c"))
+    upto = counts.withColumn("upto", F.sum("c").over(Window.partitionBy("coin").orderBy("x"))).withColumn("n", F.sum("c").over(Window.partitionBy("coin")))
+    median = upto.where(F.col("upto") > F.floor(F.col("n") / 2)).groupBy("coin").agg(F.min("x").alias("median_distance"))
     scored = F.col("status") == "scored"
     count = lambda c: F.sum(c.cast("int"))
-    rows = m.groupBy("coin").agg(count(F.col("status") == "pre_map").alias("pre_map"), count(F.col("status") == "stale_map").alias("stale_map"), count(F.col("status") == "outside_span").alias("outside_span"), count(scored).alias("scored"), count(scored & (near > far)).alias("side_hits"), count(scored & (near > 0)).alias("band_hits"))
-    return rows.withColumn("z", F.when(F.col("scored") > 0, F.round((F.col("side_hits") / F.col("scored") - 0.5) / F.sqrt(0.25 / F.col("scored")), 6)))
+    rows = m.groupBy("coin").agg(count(F.col("status") == "pre_map").alias("pre_map"), count(F.col("status") == "stale_map").alias("stale_map"), count(F.col("status") == "outside_span").alias("outside_span"), count(scored).alias("scored"), count(scored & (near > far)).alias("side_hits"), count(scored & (near > least)).alias("band_hits"), count(F.col("status") == "no_map").alias("no_map"), F.count("*").alias("events"))
+    rows = rows.withColumn("stderr", F.when(F.col("scored") > 0, F.round(F.sqrt(0.25 / F.col("scored")), 9)).otherwise(0.0)).join(median, "coin", "left")
+    return rows.withColumn("median_distance", F.coalesce("median_distance", F.lit(0.0))).withColumn("z", F.when(F.col("scored") > 0, F.round((F.col("side_hits") / F.col("scored") - 0.5) / F.sqrt(0.25 / F.col("scored")), 6)))
 
 
 def accrual(spark: SparkSession, d: str) -> DataFrame:
@@ -248,7 +269,7 @@ def _masses() -> Column:
     return F.array(*own)
 
 
-def band_null(spark: SparkSession, d: str, reps: int = 50) -> DataFrame:
+def band_null(spark: SparkSession, d: str, reps: int = 1000) -> DataFrame:
     """Band hits against maps whose eight masses are shuffled, once for each snapshot and replication.
 
     The permutation is the order of a hash, so other engines reproduce it.
@@ -267,7 +288,7 @@ def band_null(spark: SparkSession, d: str, reps: int = 50) -> DataFrame:
     return real.join(null, "coin").withColumn("informative", F.col("null_sd") > 0)
 
 
-QUERIES = {f.__name__: f for f in (liq_price, liqmap_buckets, liqmap_bands, map_snapshot, nearest, sparse, map_visible, wide_map, map_epoch, derive_fidelity, liq_dedupe, liq_method, liq_append, liq_minutes, liq_recent, scan_stats, score_positions, population, cluster_score, accrual, band_null)}
+QUERIES = {f.__name__: f for f in (liq_price, liqmap_buckets, liqmap_bands, map_snapshot, nearest, sparse, map_visible, wide_map, map_epoch, derive_fidelity, liq_dedupe, liq_method, liq_append, liq_minutes, liq_recent, scan_stats, score_positions, population, cluster_score, cluster_score_cadence, accrual, band_null)}
 
 _N = "CAST(notional AS DECIMAL(24,6))"
 _BANDS = ", ".join([f"CAST(coalesce(sum({_N}) FILTER (dist > 0 AND dist <= {b}), 0) AS DOUBLE) AS up{i}" for i, b in enumerate(BANDS, 1)] + [f"CAST(coalesce(sum({_N}) FILTER (dist < 0 AND dist >= -{b}), 0) AS DOUBLE) AS down{i}" for i, b in enumerate(BANDS, 1)])
@@ -276,6 +297,13 @@ _BANDED = f"""(SELECT *, CASE WHEN up4 + down4 <> 0 THEN round((down4 - up4) / (
 _V = "CAST(px AS DECIMAL(20,6)) * CAST(sz AS DECIMAL(12,3))"
 _MASS = "[" + ", ".join(f"greatest(0.0, {s}{i}{f' - {s}{i - 1}' if i > 1 else ''})" for s in ("up", "down") for i in range(1, 5)) + "]"
 
+_PICK = "[{side}1, {side}2, {side}3, {side}4][slot + 1]"
+_CLUSTERS = sql("matched") + f"""SELECT *, CASE WHEN scored > 0 THEN round(sqrt(0.25 / scored), 9) ELSE 0.0 END AS stderr, CASE WHEN scored > 0 THEN round((side_hits / scored::DOUBLE - 0.5) / sqrt(0.25 / scored), 6) END AS z FROM
+    (SELECT coin, count(*) AS events, count(*) FILTER (st = 'no_map') AS no_map, count(*) FILTER (st = 'pre_map') AS pre_map, count(*) FILTER (st = 'stale_map') AS stale_map, count(*) FILTER (st = 'outside_span') AS outside_span, count(*) FILTER (st = 'scored') AS scored,
+    count(*) FILTER (st = 'scored' AND near > far) AS side_hits, count(*) FILTER (st = 'scored' AND near > 0) AS band_hits, coalesce(list_sort(list(round(abs(dist), 6)) FILTER (st = 'scored'))[count(*) FILTER (st = 'scored') // 2 + 1], 0.0) AS median_distance
+    FROM (SELECT *, CASE WHEN dist >= 0 THEN {_PICK.format(side="up")} ELSE {_PICK.format(side="down")} END AS near, CASE WHEN dist >= 0 THEN {_PICK.format(side="down")} ELSE {_PICK.format(side="up")} END AS far
+    FROM (SELECT *, {_STATUS_SQL} AS st, {_SLOT_SQL} AS slot FROM matched)) GROUP BY 1)"""
+
 SQL = {
     "liq_price": sql("priced") + "SELECT address, coin, round(derived, 6) AS derived, round(price, 6) AS price, src AS source FROM priced",
     "liqmap_buckets": sql("buckets") + "SELECT * FROM buckets",
@@ -297,12 +325,12 @@ SQL = {
     "score_positions": sql("liquidations", "priced") + "SELECT q.coin, count(*) AS events, count(*) FILTER (p.price IS NOT NULL) AS scored, count(*) FILTER (abs(mark_px / p.price - 1) <= 0.02) AS hits, count(*) FILTER (p.price IS NULL) AS unmatched FROM liquidations q LEFT JOIN (SELECT * FROM priced WHERE price IS NOT NULL) p ON q.liquidated_user = p.address AND q.coin = p.coin GROUP BY 1",
     "population": sql("liquidations", "wallets", "positions") + """SELECT CAST(sum(n) AS BIGINT) AS events, count(*) AS wallets, count(*) FILTER (r) AS registered, count(*) FILTER (m) AS mapped FROM (SELECT liquidated_user, count(*) AS n, bool_or(liquidated_user IN (SELECT address FROM wallets)) AS r,
         bool_or((liquidated_user || '/' || coin) IN (SELECT address || '/' || coin FROM positions)) AS m FROM liquidations GROUP BY 1)""",
-    "cluster_score": sql("matched") + f"""SELECT *, CASE WHEN scored > 0 THEN round((side_hits / scored::DOUBLE - 0.5) / sqrt(0.25 / scored), 6) END AS z FROM (SELECT coin, count(*) FILTER (st = 'pre_map') AS pre_map, count(*) FILTER (st = 'stale_map') AS stale_map, count(*) FILTER (st = 'outside_span') AS outside_span, count(*) FILTER (st = 'scored') AS scored,
-        count(*) FILTER (st = 'scored' AND near > far) AS side_hits, count(*) FILTER (st = 'scored' AND near > 0) AS band_hits FROM (SELECT *, {_STATUS_SQL} AS st, CASE WHEN dist >= 0 THEN up4 ELSE down4 END AS near, CASE WHEN dist >= 0 THEN down4 ELSE up4 END AS far FROM matched) GROUP BY 1)""",
+    "cluster_score": _CLUSTERS.replace(f"> {STALE}", f"> {MAX_MAP_AGE}"),
+    "cluster_score_cadence": _CLUSTERS,
     "accrual": sql("matched") + f"SELECT count(*) AS events, count(DISTINCT t_event // 86400000000000) AS days FROM matched WHERE {_STATUS_SQL} = 'scored' AND t_event >= 1705276800000000000",
     "band_null": sql("matched") + f""", hit AS (SELECT coin, map_seq, slot, count(*) AS events FROM (SELECT *, CASE WHEN dist >= 0 THEN {_SLOT_SQL} ELSE {_SLOT_SQL} + 4 END AS slot FROM matched WHERE {_STATUS_SQL} = 'scored') GROUP BY 1, 2, 3),
         slots AS (SELECT coin, map_seq, i AS from_slot, masses[i + 1] AS mass FROM (SELECT DISTINCT coin, map_seq, {_MASS} AS masses FROM matched WHERE {_STATUS_SQL} = 'scored'), generate_series(0, 7) g(i)),
-        moved AS (SELECT *, row_number() OVER (PARTITION BY rep, map_seq ORDER BY md5('7-' || rep || '-' || map_seq || '-' || from_slot)) - 1 AS slot FROM slots, generate_series(0, 49) r(rep)),
+        moved AS (SELECT *, row_number() OVER (PARTITION BY rep, map_seq ORDER BY md5('7-' || rep || '-' || map_seq || '-' || from_slot)) - 1 AS slot FROM slots, generate_series(0, 999) r(rep)),
         per AS (SELECT m.coin, rep, sum(CASE WHEN mass > 0 THEN events ELSE 0 END) AS hits FROM moved m JOIN hit h ON m.coin = h.coin AND m.map_seq = h.map_seq AND m.slot = h.slot GROUP BY 1, 2),
         real AS (SELECT s.coin, CAST(sum(CASE WHEN mass > 0 THEN events ELSE 0 END) AS BIGINT) AS observed FROM slots s JOIN hit h ON s.coin = h.coin AND s.map_seq = h.map_seq AND s.from_slot = h.slot GROUP BY 1)
         SELECT r.coin, observed, round(avg(hits), 6) AS null_mean, round(stddev_pop(hits), 6) AS null_sd, round(stddev_pop(hits), 6) > 0 AS informative FROM real r JOIN per p ON r.coin = p.coin GROUP BY 1, 2""",

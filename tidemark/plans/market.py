@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import bars as B
-from tidemark.operators.ordered import DAY, HOUR, asof, previous, running_sum
+from tidemark.operators.ordered import DAY, HOUR, asof, previous, rolling, running_sum
 from tidemark.sources import views as V
 
 MINUTE = 60_000_000_000
+#: A silence: no arrival of a coin for this long.
+QUIET = 90 * MINUTE
 #: Views that several queries read, with what they read themselves.
 MORE = {
     "bars": (["prints"], """bars AS (SELECT coin, t_open, t_open + 3600000000000 AS t_close, arg_min(px, t_event) AS open, max(px) AS high, min(px) AS low, arg_max(px, t_event) AS close,
@@ -90,17 +92,20 @@ def latest_ctx(spark: SparkSession, d: str) -> DataFrame:
 
 def ctx_features(spark: SparkSession, d: str, n: int = 20) -> DataFrame:
     """Premium, notional of open interest and rolling z-scores of each context."""
-    c = V.contexts(spark, d)
-    over = B.rows_back(["coin"], ["t_ingest", "seq"], n)
+    return context_features(V.contexts(spark, d), n).select("coin", "seq", "premium", "oi_notional", "premium_z", "funding_z", "oi_z")
+
+
+def context_features(c: DataFrame, n: int = 20) -> DataFrame:
+    """Contexts with their features; the windows run in blocks, so a hot coin lies in many tasks."""
     premium = F.when(F.col("oracle") != 0, F.round((F.col("mark") - F.col("oracle")) / F.col("oracle"), 12)).otherwise(0.0)
-    c = c.withColumn("premium", premium)
-    z = lambda name: F.round(B.rolling_z(F.col(name), over, n), 6)
-    return c.select("coin", "seq", F.round("premium", 9).alias("premium"), F.round(F.col("open_interest") * F.col("mark"), 6).alias("oi_notional"), z("premium").alias("premium_z"), z("funding").alias("funding_z"), z("open_interest").alias("oi_z"))
+    z = lambda name, over: F.round(B.rolling_z(F.col(name), over, n), 6)
+    c = rolling(c.withColumn("premium", premium), ["coin"], "t_ingest", ["seq"], n, lambda w: {"premium_z": z("premium", w), "funding_z": z("funding", w), "oi_z": z("open_interest", w)})
+    return c.withColumns({"premium": F.round("premium", 9), "oi_notional": F.round(F.col("open_interest") * F.col("mark"), 6)})
 
 
 def rolling_z(spark: SparkSession, d: str, n: int = 20) -> DataFrame:
-    c = V.contexts(spark, d)
-    return c.select("coin", "seq", F.round(B.rolling_z(F.col("open_interest"), B.rows_back(["coin"], ["t_ingest", "seq"], n), n), 6).alias("z"))
+    c = rolling(V.contexts(spark, d), ["coin"], "t_ingest", ["seq"], n, lambda w: {"z": F.round(B.rolling_z(F.col("open_interest"), w, n), 6)})
+    return c.select("coin", "seq", "z")
 
 
 def finite(spark: SparkSession, d: str) -> DataFrame:
@@ -111,6 +116,11 @@ def finite(spark: SparkSession, d: str) -> DataFrame:
 
 def asof_context(spark: SparkSession, d: str) -> DataFrame:
     """Each bar with the last context that had arrived when the bar was available."""
+    with V.one_tape(spark, d):
+        return _asof_context(spark, d)
+
+
+def _asof_context(spark: SparkSession, d: str) -> DataFrame:
     b = B.bars(V.prints(spark, d)).select("coin", "t_open", "available_at")
     c = V.contexts(spark, d).select("coin", "seq", "t_ingest", "mark", "open_interest")
     return asof(b, c, ["coin"], "available_at", "t_ingest", ["seq", "mark", "open_interest"], tie=["seq"])
@@ -139,10 +149,16 @@ def shells(spark: SparkSession, d: str) -> DataFrame:
 
 def event_feats(spark: SparkSession, d: str) -> DataFrame:
     """Per bar: whole bars since the last liquidation, and their notional since the open of the bar 29 rows back."""
-    b = B.bars(V.prints(spark, d)).select("coin", "t_open", "t_close")
+    with V.one_tape(spark, d):
+        return event_features(B.bars(V.prints(spark, d)), V.liquidations(spark, d))
+
+
+def event_features(b: DataFrame, liquidations: DataFrame) -> DataFrame:
+    """``(coin, t_open, tau, liq_flow)`` of bars."""
+    b = b.select("coin", "t_open", "t_close")
     w = Window.partitionBy("coin").orderBy("t_open")
     b = b.withColumn("since", F.coalesce(F.lag("t_open", 29).over(w), F.min("t_open").over(w)))
-    q = V.liquidations(spark, d).select("coin", "tid", "t_event", (F.col("px").cast("decimal(20,6)") * F.col("sz").cast("decimal(12,3)")).cast("decimal(32,6)").alias("v"))
+    q = liquidations.select("coin", "tid", "t_event", (F.col("px").cast("decimal(20,6)") * F.col("sz").cast("decimal(12,3)")).cast("decimal(32,6)").alias("v"))
     sums = running_sum(q, ["coin"], "t_event", ["tid"], F.col("v"), "total").select("coin", "tid", "t_event", "total")
     now = asof(b, sums, ["coin"], "t_close", "t_event", ["t_event", "total"], tie=["tid"]).withColumnsRenamed({"t_event": "last_t", "total": "upto"})
     old = asof(now, sums, ["coin"], "since", "t_event", ["total"], tie=["tid"], strict=True)
@@ -151,10 +167,10 @@ def event_feats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def silences(spark: SparkSession, d: str) -> DataFrame:
-    """Stretches of over three hours without an arrival, by coin."""
+    """Stretches of over QUIET without an arrival, by coin."""
     arrivals = V.tape(spark, d).select("coin", "t_ingest").distinct()
     p = previous(arrivals, ["coin"], "t_ingest", [], ["t_ingest"])
-    return p.where(F.col("t_ingest") - F.col("prev_t_ingest") > 3 * HOUR).select("coin", F.col("prev_t_ingest").alias("t_from"), F.col("t_ingest").alias("t_to"))
+    return p.where(F.col("t_ingest") - F.col("prev_t_ingest") > QUIET).select("coin", F.col("prev_t_ingest").alias("t_from"), F.col("t_ingest").alias("t_to"))
 
 
 def tape_gaps(spark: SparkSession, d: str, cadence: int = HOUR) -> DataFrame:
@@ -219,7 +235,7 @@ _GAPS = """(SELECT coin, lag(t_ingest) OVER (PARTITION BY coin ORDER BY t_ingest
 
 QUERIES = {f.__name__: f for f in (scan_tape, scan_since, prints, tape_parties, contexts, map_rows, event_time, bars, bars_visible, bars_lag, sigma, daily_sigma, latest_ctx, ctx_features, rolling_z, finite, asof_context, asof_map, asof_strict, shells, event_feats, silences, tape_gaps, tape_hours, feed_audit, gap_minutes, capture_holes, sma_cross)}
 
-_Z = "CASE WHEN count({c}) OVER w = 20 THEN CASE WHEN round(stddev_samp({c}) OVER w, 12) = 0 THEN 0.0 ELSE round(({c} - avg({c}) OVER w) / stddev_samp({c}) OVER w, 6) END END"
+_Z = "CASE WHEN count({c}) OVER w = 20 THEN CASE WHEN round(stddev_samp({c}) OVER w, 12) = 0 THEN 0.0 ELSE round(({c} - avg({c}) OVER w) / stddev_samp({c}) OVER w, 6) + 0.0 END END"
 _W = "WINDOW w AS (PARTITION BY coin ORDER BY t_ingest, seq ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
 _ASOF = """SELECT {out} FROM (SELECT b.*, (SELECT {pick} FROM {right} r WHERE r.coin = b.coin AND r.t_ingest {op} b.{t} ORDER BY r.t_ingest DESC, r.seq DESC LIMIT 1) AS got FROM {left} b)"""
 _LAST = """(SELECT {keys}, m.seq AS rseq FROM {left} b ASOF LEFT JOIN (SELECT coin, t_ingest, max(seq) AS seq FROM {right} GROUP BY 1, 2) m ON b.coin = m.coin AND b.{t} {op} m.t_ingest)"""
@@ -248,7 +264,7 @@ SQL = {
     "event_feats": sql("bars", "liquidations") + """SELECT b.coin, b.t_open, (b.t_close - max(l.t_event)) // 3600000000000 AS tau, round(CAST(coalesce(sum(CASE WHEN l.t_event >= b.since THEN l.v END), 0) AS DOUBLE), 6) AS liq_flow
         FROM (SELECT *, coalesce(lag(t_open, 29) OVER (PARTITION BY coin ORDER BY t_open), min(t_open) OVER (PARTITION BY coin)) AS since FROM bars) b
         LEFT JOIN (SELECT coin, t_event, CAST(CAST(px AS DECIMAL(20,6)) * CAST(sz AS DECIMAL(12,3)) AS DECIMAL(32,6)) AS v FROM liquidations) l ON l.coin = b.coin AND l.t_event <= b.t_close GROUP BY b.coin, b.t_open, b.t_close, b.since""",
-    "silences": sql("tape") + f"SELECT coin, t_from, t_to FROM {_GAPS} WHERE t_to - t_from > 10800000000000",
+    "silences": sql("tape") + f"SELECT coin, t_from, t_to FROM {_GAPS} WHERE t_to - t_from > {QUIET}",
     "tape_gaps": sql("manifest") + "SELECT coin, hour, first_ingest - before AS gap_ns FROM (SELECT *, lag(last_ingest) OVER (PARTITION BY coin ORDER BY hour) AS before FROM manifest) WHERE first_ingest - before > 7200000000000",
     "tape_hours": sql("manifest") + "SELECT coin, hour, lines FROM manifest",
     "feed_audit": sql("tape") + """SELECT coin, n, holes, backward, largest_gap, acausal, l[CAST(least(n - 1, floor(n * 0.5)) AS INT) + 1] AS latency_p50, l[CAST(least(n - 1, floor(n * 0.99)) AS INT) + 1] AS latency_p99,
@@ -256,8 +272,8 @@ SQL = {
         CAST(sum(CAST(t_ingest < t_event - 2000000000 AS INT)) AS BIGINT) AS acausal, list_sort(list(t_ingest - t_event)) AS l
         FROM (SELECT *, lag(seq) OVER (PARTITION BY coin ORDER BY t_event, seq) AS ps, lag(t_ingest) OVER (PARTITION BY coin ORDER BY t_event, seq) AS pt FROM tape) GROUP BY coin)""",
     "gap_minutes": sql("tape") + f"""SELECT coin, w AS week, round(CAST(sum(least(t_to, (w + 1) * 604800000000000 + 345600000000000) - greatest(t_from, w * 604800000000000 + 345600000000000)) AS DOUBLE) / 60000000000, 6) AS minutes
-        FROM (SELECT coin, t_from, t_to, unnest(generate_series((t_from - 345600000000000) // 604800000000000, (t_to - 345600000000000) // 604800000000000)) AS w FROM {_GAPS} WHERE t_to - t_from > 10800000000000) GROUP BY 1, 2""",
-    "capture_holes": sql("tape") + f"SELECT s.coin, t_from, t_to, count(*) AS restarts FROM {_GAPS} s JOIN (SELECT t_event FROM tape WHERE coin = 'error' AND k > 90) r ON r.t_event > t_from AND r.t_event < t_to WHERE t_to - t_from > 10800000000000 GROUP BY 1, 2, 3",
+        FROM (SELECT coin, t_from, t_to, unnest(generate_series((t_from - 345600000000000) // 604800000000000, (t_to - 345600000000000) // 604800000000000)) AS w FROM {_GAPS} WHERE t_to - t_from > {QUIET}) GROUP BY 1, 2""",
+    "capture_holes": sql("tape") + f"SELECT s.coin, t_from, t_to, count(*) AS restarts FROM {_GAPS} s JOIN (SELECT t_event FROM tape WHERE coin = 'error' AND k > 90) r ON r.t_event > t_from AND r.t_event < t_to WHERE t_to - t_from > {QUIET} GROUP BY 1, 2, 3",
     "sma_cross": sql("bars") + """SELECT coin, t_open, close, held FROM (SELECT *, lag(held) OVER (PARTITION BY coin ORDER BY t_open) AS was FROM (SELECT *, last_value(side IGNORE NULLS) OVER (PARTITION BY coin ORDER BY t_open ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS held
         FROM (SELECT *, CASE WHEN close > sma * 1.001 THEN 1 WHEN close < sma * 0.999 THEN -1 END AS side FROM (SELECT *, CASE WHEN count(close) OVER w = 12 THEN round(avg(close) OVER w, 9) END AS sma
         FROM (SELECT coin, t_open, close, lead(t_open) OVER (PARTITION BY coin ORDER BY t_open) AS nxt FROM bars) WHERE nxt IS NOT NULL WINDOW w AS (PARTITION BY coin ORDER BY t_open ROWS BETWEEN 11 PRECEDING AND CURRENT ROW))))) WHERE was IS NOT NULL AND held <> was""",

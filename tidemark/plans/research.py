@@ -61,12 +61,18 @@ def with_map(b: DataFrame, maps: DataFrame) -> DataFrame:
 
 def frame_of(spark: SparkSession, d: str) -> DataFrame:
     """One row a bar with all FEATURES, joined as of the moment the bar became available; all coins in one job."""
-    b = B.with_sigma(B.ratios(B.bars(V.prints(spark, d)))).drop("lr")
-    c = market.ctx_features(spark, d).join(V.contexts(spark, d).select("coin", "seq", "t_ingest", "mark", "funding"), ["coin", "seq"])
+    with V.one_tape(spark, d):
+        return _frame_of(spark, d)
+
+
+def _frame_of(spark: SparkSession, d: str) -> DataFrame:
+    bars = settle(B.bars(V.prints(spark, d)))
+    b = B.with_sigma(B.ratios(bars)).drop("lr")
+    c = market.context_features(V.contexts(spark, d))
     take = ["mark", "premium", "funding", "oi_notional", "premium_z", "funding_z", "oi_z"]
     b = asof(b, c, ["coin"], "available_at", "t_ingest", take, tie=["seq"])
     b = with_map(b, V.map_rows(spark, d))
-    b = b.join(market.event_feats(spark, d), ["coin", "t_open"], "left")
+    b = b.join(market.event_features(bars, V.liquidations(spark, d)), ["coin", "t_open"], "left")
     out = b.select("coin", "t_open", "t_close", "available_at", *FEATURES)
     undeclared = set(out.columns) - set(FEATURES) - {"coin", "t_open", "t_close", "available_at"}
     if undeclared:
@@ -91,10 +97,16 @@ def frame_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def spec_lookback(spark: SparkSession, d: str) -> DataFrame:
-    """The declared columns by source and the deepest lookback, held against the frame's own schema."""
-    have = set(frame_of(spark, d).columns)
-    rows = spark.createDataFrame([(n, s, k) for n, (s, k) in FEATURES.items() if n in have], "name string, source string, lookback int")
-    return rows.groupBy("source").agg(F.count("*").alias("columns"), F.max("lookback").alias("lookback"))
+    """How many bars it takes, by coin and source, until every column of the source has had a value: the lookback that the frame shows.
+
+    Row numbers run over bars, a summary of the prints.
+    """
+    f = frame_of(spark, d).withColumn("i", F.row_number().over(Window.partitionBy("coin").orderBy("t_open")))
+    first = f.groupBy("coin").agg(*[F.min(F.when(F.col(n).isNotNull(), F.col("i"))).alias(n) for n in FEATURES])
+    sources = sorted({s for s, _ in FEATURES.values()})
+    own = {s: [F.col(n) for n, (x, _) in FEATURES.items() if x == s] for s in sources}
+    rows = F.array(*[F.struct(F.lit(s).alias("source"), F.greatest(*own[s]).alias("seen_at"), F.lit(max(k for x, k in FEATURES.values() if x == s)).alias("declared")) for s in sources])
+    return first.select("coin", F.explode(rows).alias("r")).select("coin", "r.*")
 
 
 def ablation_cols(spark: SparkSession, d: str) -> DataFrame:
@@ -113,7 +125,8 @@ def _ticks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def labels_of(spark: SparkSession, d: str) -> DataFrame:
-    return settle(first_touch(settle(_decisions(spark, d)), settle(_ticks(spark, d)), HORIZON))
+    with V.one_tape(spark, d):
+        return settle(first_touch(settle(_decisions(spark, d)), _ticks(spark, d), HORIZON))
 
 
 def triple_barrier(spark: SparkSession, d: str) -> DataFrame:
@@ -336,7 +349,10 @@ SQL = {
     "frame_rebuild": _FW.replace("seq % 20 = 0", "seq % 40 = 0") + "SELECT coin, t_open, close, sigma, " + ", ".join(n for n, (s, _) in FEATURES.items() if s == "map") + f" FROM ({_FRAME})",
     "frame_stats": _FW + f"SELECT coin, count(*) AS rows, count(up4) AS with_map, count(mark) AS with_context, count(sigma) AS with_sigma FROM ({_FRAME}) GROUP BY 1",
     "ablation_cols": _FW + "SELECT coin, t_open, " + ", ".join(n for n, (s, _) in FEATURES.items() if s == "bars") + f" FROM ({_FRAME})",
-    "spec_lookback": "SELECT source, count(*) AS columns, max(lookback) AS lookback FROM (VALUES " + ", ".join(f"('{s}', {k})" for s, k in FEATURES.values()) + ") v(source, lookback) GROUP BY 1",
+    "spec_lookback": " UNION ALL ".join(
+        f"SELECT coin, '{s}' AS source, greatest({', '.join(f'min(i) FILTER ({n} IS NOT NULL)' for n, (x, _) in FEATURES.items() if x == s)}) AS seen_at, CAST({max(k for x, k in FEATURES.values() if x == s)} AS INT) AS declared FROM numbered GROUP BY 1"
+        for s in sorted({x for x, _ in FEATURES.values()})
+    ).join((_FW.rstrip() + f", numbered AS (SELECT *, row_number() OVER (PARTITION BY coin ORDER BY t_open) AS i FROM ({_FRAME})) ", "")),
     "triple_barrier": sql("labels_") + "SELECT coin, t_open, CAST(outcome AS INT) AS outcome, t_end, price_end FROM labels_",
     "race": sql("labels_").replace(f"close * (1 + {K}::DOUBLE * sigma * 2) AS upper", "close * 1.005::DOUBLE AS upper").replace(f"close * (1 - {K}::DOUBLE * sigma * 2) AS lower", "close - (close * 1.005::DOUBLE - close) AS lower") + "SELECT coin, t_open, CASE WHEN outcome IS NOT NULL THEN CAST(outcome = 1 AS INT) END AS won FROM labels_",
     "fade": sql("labels_") + "SELECT coin, t_open, CAST(outcome * CASE WHEN (t_open // 3600000000000) % 2 = 0 THEN -1 ELSE 1 END AS INT) AS faded FROM labels_",

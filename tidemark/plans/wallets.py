@@ -183,9 +183,13 @@ def top_observers(spark: SparkSession, d: str) -> DataFrame:
     return V.wallets(spark, d).orderBy(F.desc("vlm_week"), "address").limit(25).select("address", "vlm_week")
 
 
+#: 2024-01-03.
+ANCHORED_UNTIL = 1704240000000000000
+
+
 def most_active(spark: SparkSession, d: str) -> DataFrame:
-    """The unanchored wallets with most legs on one coin."""
-    known = anchors(spark, d).where("coin = 'click'").select("address")
+    """The wallets with most legs on one coin among those without a checkpoint in the tape's first two days."""
+    known = anchors(spark, d).where(f"coin = 'click' and block < {ANCHORED_UNTIL}").select("address")
     return legs_of(spark, d).where("coin = 'click'").join(known, "address", "left_anti").groupBy("address").agg(F.count("*").alias("legs")).orderBy(F.desc("legs"), "address").limit(10)
 
 
@@ -268,7 +272,7 @@ SQL = {
     "seed_counts": sql("wallets") + f"SELECT seed, count(*) AS n FROM {_SEED} GROUP BY 1",
     "addresses": sql("wallets") + f"SELECT w.address, account_value FROM wallets w JOIN {_SEED} s ON w.address = s.address WHERE seed IN ('equity', 'both') ORDER BY account_value DESC, w.address LIMIT 20",
     "top_observers": sql("wallets") + "SELECT address, vlm_week FROM wallets ORDER BY vlm_week DESC, address LIMIT 25",
-    "most_active": sql("series") + f"SELECT address, count(*) AS legs FROM legs WHERE coin = 'click' AND address NOT IN (SELECT address FROM {_CHECK} WHERE len(f) = 1 AND coin = 'click') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
+    "most_active": sql("series") + f"SELECT address, count(*) AS legs FROM legs WHERE coin = 'click' AND address NOT IN (SELECT address FROM {_CHECK} WHERE len(f) = 1 AND coin = 'click' AND block < {ANCHORED_UNTIL}) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
     "universe": sql("contexts") + "SELECT coin, day_volume, round((mark / oracle - 1) * 10000, 6) AS premium_bp FROM (SELECT *, row_number() OVER (PARTITION BY coin ORDER BY t_ingest DESC, seq DESC) AS rn FROM contexts) WHERE rn = 1 AND day_volume >= 1000000 ORDER BY day_volume DESC, coin LIMIT 4",
     "roster": sql("positions") + f"SELECT coin, set FROM {_ROSTER.format(n=3)}",
     "roster_diff": sql("positions") + f"SELECT coin, set, 'added' AS change FROM (SELECT * FROM {_ROSTER.format(n=2)} EXCEPT SELECT * FROM {_ROSTER.format(n=4)}) UNION ALL SELECT coin, set, 'removed' FROM (SELECT * FROM {_ROSTER.format(n=4)} EXCEPT SELECT * FROM {_ROSTER.format(n=2)})",
