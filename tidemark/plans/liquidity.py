@@ -263,21 +263,15 @@ def accrual(spark: SparkSession, d: str) -> DataFrame:
     return m.agg(F.count("*").alias("events"), F.count_distinct(F.floor(F.col("t_event") / DAY)).alias("days"))
 
 
-def _masses() -> Column:
-    """The eight shell masses of a snapshot, up then down, never below 0."""
-    own = [F.greatest(F.lit(0.0), F.col(f"{s}{i}") - (F.col(f"{s}{i - 1}") if i > 1 else F.lit(0.0))) for s in ("up", "down") for i in range(1, 5)]
-    return F.array(*own)
-
-
 def band_null(spark: SparkSession, d: str, reps: int = 1000) -> DataFrame:
-    """Band hits against maps whose eight masses are shuffled, once for each snapshot and replication.
+    """Hits of the tightest band against maps whose eight stored band masses are shuffled, once for each snapshot and replication.
 
     The permutation is the order of a hash, so other engines reproduce it.
     Only (snapshot, slot, mass) is multiplied by the replications, whose number is a parameter.
     """
     m = matched(spark, d).where(_status() == "scored").withColumn("slot", F.when(F.col("dist") >= 0, _slot()).otherwise(_slot() + 4))
     hits = m.groupBy("coin", "map_seq", "slot").agg(F.count("*").alias("events"))
-    snaps = m.select("coin", "map_seq", _masses().alias("masses")).distinct()
+    snaps = m.select("coin", "map_seq", F.array(*_SIDES).alias("masses")).distinct()
     slots = snaps.select("coin", "map_seq", F.posexplode("masses").alias("from_slot", "mass"))
     many = slots.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     key = F.md5(F.concat_ws("-", F.lit("7"), F.col("rep").cast("string"), F.col("map_seq").cast("string"), F.col("from_slot").cast("string")))
@@ -295,7 +289,7 @@ _BANDS = ", ".join([f"CAST(coalesce(sum({_N}) FILTER (dist > 0 AND dist <= {b}),
 _BANDED = f"""(SELECT *, CASE WHEN up4 + down4 <> 0 THEN round((down4 - up4) / (up4 + down4), 9) ELSE 0 END AS imbalance, CASE WHEN total <> 0 THEN round(pub / total, 9) ELSE 0 END AS published_share
     FROM (SELECT coin, {_BANDS}, CAST(sum({_N}) AS DOUBLE) AS total, CAST(coalesce(sum({_N}) FILTER (src = 'published'), 0) AS DOUBLE) AS pub FROM placed GROUP BY 1))"""
 _V = "CAST(px AS DECIMAL(20,6)) * CAST(sz AS DECIMAL(12,3))"
-_MASS = "[" + ", ".join(f"greatest(0.0, {s}{i}{f' - {s}{i - 1}' if i > 1 else ''})" for s in ("up", "down") for i in range(1, 5)) + "]"
+_MASS = "[" + ", ".join(_SIDES) + "]"
 
 _PICK = "[{side}1, {side}2, {side}3, {side}4][slot + 1]"
 _CLUSTERS = sql("matched") + f"""SELECT *, CASE WHEN scored > 0 THEN round(sqrt(0.25 / scored), 9) ELSE 0.0 END AS stderr, CASE WHEN scored > 0 THEN round((side_hits / scored::DOUBLE - 0.5) / sqrt(0.25 / scored), 6) END AS z FROM

@@ -18,7 +18,9 @@ from tidemark.sources import views as V
 HORIZON = 4 * HOUR
 K = 2.0
 SPLITS = 5
-REPS = 20
+REPS = 200
+#: A placebo below this p-value says that the effect needs the map's masses where they are.
+ALPHA = 0.01
 SIDES = [f"{s}{i}" for s in ("up", "down") for i in range(1, 5)]
 #: Distances of the four shells from the mark, in percent.
 DISTANCES = (0.25, 0.75, 1.5, 3.5)
@@ -269,31 +271,43 @@ def isotonic(spark: SparkSession, d: str) -> DataFrame:
     return out.select("p", F.round("prediction", 6).alias("calibrated"))
 
 
-def permute_of(spark: SparkSession, d: str, reps: int) -> DataFrame:
-    """Every snapshot's eight shell masses in the order of a hash, for each replication."""
-    m = V.map_rows(spark, d).select("coin", F.col("seq").alias("map_seq"), F.posexplode(F.array(*_masses())).alias("slot", "mass"))
-    many = m.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    key = F.md5(F.concat_ws("-", F.lit("11"), F.col("rep").cast("string"), F.col("map_seq").cast("string"), F.col("slot").cast("string")))
-    return many.withColumn("to", F.row_number().over(Window.partitionBy("rep", "map_seq").orderBy(key)) - 1).select("coin", "map_seq", "rep", "to", "mass")
+def permuted(rep: Column, seq: Column) -> Column:
+    """The eight stored band masses of a snapshot in the order of a hash of (replication, snapshot, slot); replication 0 leaves them.
+
+    The multiset of masses and the slots stay; the sort runs inside the row.
+    """
+    key = lambda i: F.when(rep == 0, F.lit(str(i))).otherwise(F.md5(F.concat_ws("-", F.lit("11"), rep.cast("string"), seq.cast("string"), F.lit(str(i)))))
+    drawn = F.sort_array(F.array(*[F.struct(key(i).alias("h"), F.col(c).alias("m")) for i, c in enumerate(SIDES)]))
+    return F.transform(drawn, lambda x: x["m"])
 
 
-def permute(spark: SparkSession, d: str) -> DataFrame:
-    p = permute_of(spark, d, 3)
-    return p.groupBy("coin", "map_seq", "rep").agg(F.sum(F.when(F.col("to") < 4, F.col("mass")).otherwise(0.0)).alias("up"), F.sum(F.when(F.col("to") >= 4, F.col("mass")).otherwise(0.0)).alias("down"))
+def permute(spark: SparkSession, d: str, reps: int = 3) -> DataFrame:
+    """Snapshots with shuffled bands; half of them also swap which side their nearest clusters sit on."""
+    m = V.map_rows(spark, d).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("b", permuted(F.col("rep"), F.col("seq")))
+    swap = F.substring(F.md5(F.concat_ws("-", F.lit("12"), F.col("rep").cast("string"), F.col("seq").cast("string"))), 1, 1) < "8"
+    near = lambda own, other: F.round(F.when(swap, -F.col(other)).otherwise(F.col(own)), 6)
+    return m.select("coin", F.col("seq").alias("map_seq"), "rep", *[F.col("b")[i].alias(c) for i, c in enumerate(SIDES)], near("near_up", "near_down").alias("near_up"), near("near_down", "near_up").alias("near_down"))
 
 
 def placebo(spark: SparkSession, d: str, reps: int = REPS) -> DataFrame:
-    """The real loss against that under permuted maps: all replications in one job, add-one p-value."""
-    x = scored_of(spark, d).where("map_seq is not null")
-    w = [k**-1.0 for k in DISTANCES]
-    weight = F.element_at(F.array(*[F.lit(v) for v in w + w]), F.col("to") + 1) * F.col("mass")
-    per = permute_of(spark, d, reps).groupBy("map_seq", "rep").agg(F.sum(F.when(F.col("to") < 4, weight).otherwise(0.0)).alias("u"), F.sum(F.when(F.col("to") >= 4, weight).otherwise(0.0)).alias("v"))
-    per = per.select("map_seq", "rep", F.when(F.col("u") + F.col("v") > 0, F.round(0.5 * (1 - (F.col("v") - F.col("u")) / (F.col("u") + F.col("v"))), 9)).otherwise(0.5).alias("p"))
-    fake = x.join(per, "map_seq").groupBy("coin", "rep").agg(F.round(F.sum(F.col("weight") * _loss(F.col("p"))) / F.sum("weight"), 9).alias("loss"))
-    real = x.groupBy("coin").agg(F.round(F.sum(F.col("weight") * _loss(kernel_score(_masses()))) / F.sum("weight"), 9).alias("real"))
-    j = fake.join(F.broadcast(real), "coin")  # a row a coin
-    pv = (F.sum((F.col("loss") <= F.col("real")).cast("int")) + 1) / (F.count("*") + 1)
-    return j.groupBy("coin").agg(F.round(F.max("real"), 6).alias("real"), F.count("*").alias("reps"), F.round(pv, 6).alias("p_value"))
+    """The paired z of expert over baseline against that under permuted maps, expert and baseline rebuilt from them: add-one p-value.
+
+    All replications are one job; a row and replication never leave their task but for weighted sums by (coin, replication).
+    """
+    x = scored_of(spark, d).where("map_seq is not null").select("coin", "y", "weight", "map_seq", *SIDES)
+    x = x.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps)))).withColumn("b8", permuted(F.col("rep"), F.col("map_seq")))
+    x = x.select("coin", "rep", "y", "weight", *[F.col("b8")[i].alias(c) for i, c in enumerate(SIDES)])
+    x = x.select("coin", "rep", "weight", (_loss(_base()) - _loss(kernel_score(_masses()))).alias("dl"))
+    w = F.col("weight")
+    s = x.groupBy("coin", "rep").agg(F.sum(w).alias("sw"), F.sum(w * w).alias("sw2"), F.sum(w * F.col("dl")).alias("sd"), F.sum(w * F.col("dl") * F.col("dl")).alias("sd2"))
+    mean = F.col("sd") / F.col("sw")
+    var = F.round(F.col("sd2") / F.col("sw") - mean * mean, 12)
+    z = s.select("coin", "rep", F.when(var > 0, F.round(mean / F.sqrt(var / (F.col("sw") * F.col("sw") / F.col("sw2"))), 4)).otherwise(0.0).alias("z"))
+    real = F.max(F.when(F.col("rep") == 0, F.col("z")))
+    told = z.groupBy("coin").agg(real.alias("real_z"), F.sort_array(F.collect_list(F.when(F.col("rep") > 0, F.col("z")))).alias("zs"))  # reps values a coin
+    beaten = F.size(F.filter("zs", lambda v: v >= F.col("real_z")))
+    p = F.round((beaten + 1) / (F.size("zs") + 1), 6)
+    return told.select("coin", "real_z", F.size("zs").alias("reps"), p.alias("p_value"), F.round(F.aggregate("zs", F.lit(0.0), lambda acc, v: acc + v) / F.size("zs"), 4).alias("mean_z"), F.element_at("zs", -1).alias("max_z"), (p <= ALPHA).alias("collapses"))
 
 
 def decide(spark: SparkSession, d: str) -> DataFrame:
@@ -332,7 +346,7 @@ _LOSS = "CASE WHEN y = 1 THEN -ln(least(1 - 1e-9, greatest(1e-9, {p}))) ELSE -ln
 _FOLDS = f"""folded AS (SELECT r.*, f.fold, f.lo, f.hi, min(CASE WHEN i >= lo AND i < hi THEN t0 END) OVER (PARTITION BY r.coin, fold) AS t_start, max(CASE WHEN i >= lo AND i < hi THEN t0 END) OVER (PARTITION BY r.coin, fold) AS t_stop
     FROM (SELECT *, row_number() OVER (PARTITION BY coin ORDER BY t0, t_open) - 1 AS i FROM scored_) r JOIN (SELECT coin, fold, fold * (n // {SPLITS + 1}) AS lo, CASE WHEN fold = {SPLITS} THEN n ELSE (fold + 1) * (n // {SPLITS + 1}) END AS hi FROM (SELECT coin, count(*) AS n FROM scored_ GROUP BY 1), generate_series(1, {SPLITS}) g(fold) WHERE n > {SPLITS}) f ON r.coin = f.coin),
     parted AS (SELECT *, CASE WHEN i >= lo AND i < hi THEN 'test' WHEN i >= hi THEN 'future' WHEN t0 + {HORIZON} >= t_start THEN 'purged' ELSE 'train' END AS part FROM folded)"""
-_PERM = "(SELECT m.coin, map_seq, rep, mass, row_number() OVER (PARTITION BY rep, map_seq ORDER BY md5('11-' || rep || '-' || map_seq || '-' || slot)) - 1 AS to_ FROM (SELECT coin, seq AS map_seq, i AS slot, masses[i + 1] AS mass FROM (SELECT *, [" + ", ".join(_SHELL) + "] AS masses FROM map_rows), generate_series(0, 7) g(i)) m, generate_series(1, {n}) r(rep))"
+_BANDS8 = "list_transform(list_sort([" + ", ".join(f"{{{{'h': CASE WHEN rep = 0 THEN '{i}' ELSE md5('11-' || rep || '-' || {{seq}} || '-{i}') END, 'm': {c}}}}}" for i, c in enumerate(SIDES)) + "]), lambda x: x.m)"
 _RAW = market.SQL["event_feats"]
 _EF = _RAW[_RAW.index("SELECT b.coin, b.t_open, (b.t_close - max") :]
 _FRAME = f"""SELECT b.coin, b.t_open, b.t_close, b.available_at, b.open, b.high, b.low, b.close, b.volume, b.notional, b.prints, round(CASE WHEN volume <> 0 THEN notional / volume ELSE 0 END, 6) AS vwap, round((close - open) / open, 9) AS ret, round((high - low) / open, 9) AS range,
@@ -370,10 +384,13 @@ SQL = {
     "walk_forward": sql("scored_").rstrip() + f", {_FOLDS} SELECT coin, CAST(fold AS INT) AS fold, count(*) AS n, round(sum(weight * {_LOSS.format(p='p')}) / sum(weight), 6) AS log_loss FROM (SELECT *, {_KERNEL} AS p FROM parted WHERE part = 'test') GROUP BY 1, 2",
     "isotonic": sql("scored_").rstrip() + f""", s AS (SELECT round({_KERNEL}, 2) AS p, sum(y) AS sy, count(*) AS n FROM scored_ GROUP BY 1), c AS (SELECT row_number() OVER (ORDER BY p) AS i, p, sum(sy) OVER (ORDER BY p) AS cy, sum(n) OVER (ORDER BY p) AS cn FROM s),
         e AS (SELECT i, p, cy, cn FROM c UNION ALL SELECT 0, NULL, 0, 0) SELECT c.p, round(max(m), 6) AS calibrated FROM c JOIN (SELECT a.i AS lo, b.i AS k, min(w.cy_ratio) AS m FROM (SELECT DISTINCT i FROM e) a JOIN c b ON a.i < b.i JOIN (SELECT x.i AS a_i, z.i AS b_i, (z.cy - x.cy) / (z.cn - x.cn)::DOUBLE AS cy_ratio FROM e x JOIN c z ON x.i < z.i) w ON w.a_i = a.i AND w.b_i >= b.i GROUP BY 1, 2) q ON q.k = c.i GROUP BY 1""",
-    "permute": sql("map_rows") + f"SELECT coin, map_seq, CAST(rep AS INT) AS rep, sum(CASE WHEN to_ < 4 THEN mass ELSE 0.0 END) AS up, sum(CASE WHEN to_ >= 4 THEN mass ELSE 0.0 END) AS down FROM {_PERM.format(n=3)} GROUP BY 1, 2, 3",
-    "placebo": sql("scored_").rstrip() + f""", per AS (SELECT map_seq, rep, CASE WHEN u + v > 0 THEN round(0.5 * (1 - (v - u) / (u + v)), 9) ELSE 0.5 END AS p FROM (SELECT map_seq, rep, sum(CASE WHEN to_ < 4 THEN mass * w ELSE 0 END) AS u, sum(CASE WHEN to_ >= 4 THEN mass * w ELSE 0 END) AS v
-        FROM (SELECT *, ({_W1 + _W1!r}::DOUBLE[])[to_ + 1] AS w FROM {_PERM.format(n=REPS)}) GROUP BY 1, 2)), fake AS (SELECT coin, rep, round(sum(weight * {_LOSS.format(p="p")}) / sum(weight), 9) AS loss FROM scored_ x JOIN per ON x.map_seq = per.map_seq GROUP BY 1, 2),
-        real AS (SELECT coin, round(sum(weight * {_LOSS.format(p=_KERNEL)}) / sum(weight), 9) AS real FROM scored_ WHERE map_seq IS NOT NULL GROUP BY 1) SELECT f.coin, round(max(real), 6) AS real, count(*) AS reps, round((count(*) FILTER (loss <= real) + 1) / (count(*) + 1)::DOUBLE, 6) AS p_value FROM fake f JOIN real r ON f.coin = r.coin GROUP BY 1""",
+    "permute": sql("map_rows") + "SELECT coin, seq AS map_seq, CAST(rep AS INT) AS rep, " + ", ".join(f"b[{i + 1}] AS {c}" for i, c in enumerate(SIDES)) + f""", round(CASE WHEN swap THEN -near_down ELSE near_up END, 6) AS near_up, round(CASE WHEN swap THEN -near_up ELSE near_down END, 6) AS near_down
+        FROM (SELECT *, {_BANDS8.format(seq="seq")} AS b, substr(md5('12-' || rep || '-' || seq), 1, 1) < '8' AS swap FROM map_rows, generate_series(1, 3) r(rep))""",
+    "placebo": sql("scored_").rstrip() + ", moved AS (SELECT coin, rep, y, weight, " + ", ".join(f"b[{i + 1}] AS {c}" for i, c in enumerate(SIDES)) + f""" FROM (SELECT *, {_BANDS8.format(seq="map_seq")} AS b FROM scored_, generate_series(0, {REPS}) r(rep) WHERE map_seq IS NOT NULL)),
+        lost AS (SELECT coin, rep, weight AS w, {_LOSS.format(p="b")} - {_LOSS.format(p="p")} AS dl FROM (SELECT *, {_KERNEL} AS p, {_BASE} AS b FROM moved)),
+        zs AS (SELECT coin, rep, CASE WHEN round(sd2 / sw - (sd / sw) * (sd / sw), 12) > 0 THEN round((sd / sw) / sqrt(round(sd2 / sw - (sd / sw) * (sd / sw), 12) / (sw * sw / sw2)), 4) ELSE 0.0 END AS z FROM (SELECT coin, rep, sum(w) AS sw, sum(w * w) AS sw2, sum(w * dl) AS sd, sum(w * dl * dl) AS sd2 FROM lost GROUP BY 1, 2))
+        SELECT f.coin, max(r.z) AS real_z, CAST(count(*) AS INT) AS reps, round((count(*) FILTER (f.z >= r.z) + 1) / (count(*) + 1)::DOUBLE, 6) AS p_value, round(avg(f.z), 4) AS mean_z, max(f.z) AS max_z, round((count(*) FILTER (f.z >= r.z) + 1) / (count(*) + 1)::DOUBLE, 6) <= {ALPHA} AS collapses
+        FROM zs f JOIN zs r ON f.coin = r.coin AND r.rep = 0 WHERE f.rep > 0 GROUP BY 1""",
     "decide": sql("tape") + """SELECT cells, wins, alpha_wins, collapsed, wins * 18 >= cells * 12 AND alpha_wins * 2 > wins AND collapsed = wins AS passed FROM (SELECT count(*) AS cells, count(*) FILTER (z >= 2) AS wins, count(*) FILTER (z >= 2 AND alpha) AS alpha_wins, count(*) FILTER (z >= 2 AND p <= 0.01) AS collapsed
         FROM (SELECT (h - 30) / 20::DOUBLE AS z, (h % 20) / 1000::DOUBLE AS p, h % 2 = 0 AS alpha FROM (SELECT coin, seq % 3 AS horizon, seq % 6 AS k, sum(seq) % 100 AS h FROM tape GROUP BY 1, 2, 3)))""",
 }
