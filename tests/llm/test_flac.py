@@ -82,3 +82,33 @@ def test_a_header_inside_a_frame():
     [media] = op.encode([data])
     assert media.count(head) == 2
     assert op.decode([media])[0][0] == data
+
+
+def test_escaped_partitions_are_read():
+    import numpy as np
+
+    rnd = np.random.default_rng(2)
+    x = rnd.integers(-128, 128, op.BLOCK)
+    # Fixed order 0, Rice method 0, two partitions: one escaped with 8 bits a residual, one escaped with none, and order 1 likewise.
+    for order, width, values in ((0, 8, x), (0, 0, np.r_[x[: op.BLOCK // 2], np.zeros(op.BLOCK // 2, int)]), (1, 9, np.cumsum(rnd.integers(-1, 2, op.BLOCK)))):
+        residual = np.diff(values, prepend=0)[1:] if order else values
+        first, second = residual[: op.BLOCK // 2 - order], residual[op.BLOCK // 2 - order :]
+        number = lambda v, n: format(int(v) & ((1 << n) - 1), f"0{n}b") if n else ""
+        text = number((8 + order) << 1, 8) + (number(values[0], 8) if order else "") + "00" + "0001"
+        text += "1111" + number(8, 5) + "".join(number(v, 8) for v in first) + "1111" + number(width, 5) + "".join(number(v, width) for v in second)
+        text += "0" * (-len(text) % 8)
+        body = int(text, 2).to_bytes(len(text) // 8, "big")
+        got, _ = op.decode_frames([body, body])
+        assert (got == values).all()
+
+
+def test_seek_points_lead_to_blocks(spark):
+    df = spark.createDataFrame([(1, "some text " * 3000), (2, "")], "doc_id long, text string")
+    got = {r.doc_id: r for r in op.read_back(op.store(df)).collect()}
+    blocks = {(r.doc_id, r.block): r for r in op.pcm_blocks(op.store(df)).collect()}
+    assert got[1].blocks == -(-30_000 // op.BLOCK) and got[1].seek_points == -(-got[1].blocks // op.SEEK_FRAMES) and got[2].blocks == 1
+    assert got[1].last_block_at == blocks[1, got[1].blocks - 1].byte_offset
+    media = op.store(df).where("doc_id = 1").first().media
+    spans = [(b.byte_offset + (b.block == 16), 0) for (d, _), b in sorted(blocks.items()) if d == 1]
+    with pytest.raises(ValueError, match="seek point"):
+        op._seek_points(bytes(media), spans)

@@ -14,7 +14,9 @@ offsets. A damaged stream raises `ValueError` that names what is wrong.
 
 Frames of many rows are worked on together in numpy arrays of at most
 ``SLAB`` frames, so memory is bounded by the slab and the row in hand. Null
-texts count as empty: one frame of filling. Equal texts give equal bytes.
+texts count as empty: one frame of filling. Equal texts give equal bytes, repeated
+rows and null ids rows of their own. A very long text is a slab of its own. Empty
+tables give empty ones; extra columns, whatever their names, are ignored.
 Subframes with wasted bits, several channels or other sample sizes are not
 written, and are refused when read.
 """
@@ -350,27 +352,40 @@ def _decode_predicted(bits: _Bits, at: np.ndarray, order: np.ndarray, lpc: np.nd
     wide = 4 + method
     size = BLOCK // parts
     k = np.zeros(len(at), np.int64)
+    raw, width_of = np.zeros(len(at), bool), np.zeros(len(at), np.int64)
+
+    def residuals(row: np.ndarray | slice, own: np.ndarray) -> np.ndarray:
+        """The next residual of the frames ``row``, which moves their places ``at`` on."""
+        k_own, start = k[row], at[row].copy()
+        stop = bits.next_one[start].astype(np.int64)
+        v = (stop - start) << k_own | bits.read(stop + 1, k_own)
+        found, behind = v >> 1 ^ -(v & 1), stop + 1 + k_own
+        if raw.any() and (plain := np.flatnonzero(raw[row])).size:
+            w = width_of[own[plain]]
+            value = bits.read(start[plain], w)
+            found[plain] = np.where((w > 0) & (value >> np.maximum(w - 1, 0) > 0), value - (1 << w), value)
+            behind[plain] = start[plain] + w
+        at[row] = behind
+        return found
+
+    every = np.arange(len(at))
     coef, deepest = np.ascontiguousarray(coef.T), [j for j in range(most) if coef[:, j].any()]
     edges = {i for s in np.unique(size).tolist() for i in range(0, BLOCK, s)}
     for i in range(BLOCK):
         if i in edges:
             opens = np.flatnonzero(i % size == 0)
             k[opens] = bits.read(at[opens], wide[opens])
-            if (k[opens] == (1 << wide[opens]) - 1).any():
-                raise ValueError("escaped residual partitions are not read")
             at[opens] += wide[opens]
+            raw[opens] = k[opens] == (1 << wide[opens]) - 1
+            if (escaped := opens[raw[opens]]).size:  # residuals of such a partition are plain numbers of the width that follows
+                k[escaped], width_of[escaped] = 0, bits.read(at[escaped], 5)
+                at[escaped] += 5
         if i >= most:
-            stop = bits.next_one[at].astype(np.int64)
-            v = (stop - at) << k | bits.read(stop + 1, k)
-            at = stop + 1 + k
-            predicted = sum((coef[j] * x[most + i - 1 - j] for j in deepest), np.zeros_like(v)) >> shift
-            x[most + i] = (v >> 1 ^ -(v & 1)) + predicted
+            found = residuals(slice(None), every)
+            x[most + i] = found + (sum((coef[j] * x[most + i - 1 - j] for j in deepest), np.zeros_like(found)) >> shift)
         elif len(row := np.flatnonzero(order <= i)):
-            stop = bits.next_one[at[row]].astype(np.int64)
-            v = (stop - at[row]) << k[row] | bits.read(stop + 1, k[row])
-            at[row] = stop + 1 + k[row]
-            predicted = sum((coef[j, row] * x[most + i - 1 - j, row] for j in deepest), np.zeros_like(v)) >> shift[row]
-            x[most + i, row] = (v >> 1 ^ -(v & 1)) + predicted
+            found = residuals(row, row)
+            x[most + i, row] = found + (sum((coef[j, row] * x[most + i - 1 - j, row] for j in deepest), np.zeros_like(found)) >> shift[row])
     return x[most:].T
 
 
@@ -458,18 +473,33 @@ def _feature(data: bytes, kinds: list[int]) -> str:
     return f"sum={int(x.sum())};energy={int((x * x).sum())};crossings={signs};peak={int(np.abs(x).max())};subframes={'/'.join(map(str, count))}"
 
 
+def _seek_points(media: bytes, spans: list[tuple[int, int]]) -> int:
+    """The number of points of a stream's seek table; raises if one does not lead to the block of its sample."""
+    info = parse_stream(media)
+    for sample, offset, *_ in info["seek"]:
+        if sample % BLOCK or sample // BLOCK >= len(spans) or spans[sample // BLOCK][0] != info["first"] + offset:
+            raise ValueError(f"the seek point of sample {sample} leads to no block")
+    return len(info["seek"])
+
+
 def read_back(stored: DataFrame) -> DataFrame:
-    """Digests and features of streams ``(doc_id, n_bytes, media)``, from their decoded samples."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    """Digests and features of streams ``(doc_id, n_bytes, media)``, from their decoded samples.
+
+    ``blocks`` is the number of PCM blocks, ``seek_points`` that of the stream's seek
+    table, each of which must lead to the block of its sample, and ``last_block_at``
+    the byte offset of the last block.
+    """
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, blocks long, seek_points long, last_block_at long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), (m.as_py() for m in batch.column(2)), strict=True)
             for held in _slabs(rows, lambda r: len(r[2])):
                 out = []
-                for (doc, n, media), (data, _, kinds) in zip(held, decode([r[2] for r in held]), strict=True):
-                    out.append((doc, n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(media), hashlib.sha256(media).hexdigest(), _feature(data, kinds)))
-                kinds_of = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                for (doc, n, media), (data, spans, kinds) in zip(held, decode([r[2] for r in held]), strict=True):
+                    points = _seek_points(media, spans)
+                    out.append((doc, n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(media), hashlib.sha256(media).hexdigest(), _feature(data, kinds), len(spans), points, spans[-1][0]))
+                kinds_of = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds_of, strict=True)], [c.split()[0] for c in schema.split(", ")])
 
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
