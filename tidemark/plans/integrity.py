@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -164,7 +162,7 @@ def gate_ladder(spark: SparkSession, d: str) -> DataFrame:
 
 def liq_parse(spark: SparkSession, d: str) -> DataFrame:
     """Fills as JSON, parsed to forced closes: the counterparty's view first, else one's own direction's prefix."""
-    t = V.tape(spark, d).where("seq % 10 = 7")
+    t = V.tape(spark, d)
     cp = F.col("seq") % 50 == 7
     text = F.to_json(F.struct(
         "coin", F.col("px").cast("string").alias("px"), F.col("k").cast("string").alias("sz"), "tid", F.when(F.col("seq") % 4 == 3, "Liquidated Isolated Long").otherwise("Open Long").alias("dir"),
@@ -242,17 +240,7 @@ def attack_signal(spark: SparkSession, d: str) -> DataFrame:
     return a.select("coin", "drift", F.round(2 * BARRIER * (HORIZON_DAYS**0.5) * F.col("drift") / F.col("daily_sigma"), 6).alias("logit"), both.alias("abstain"))
 
 
-def file_audit(spark: SparkSession, d: str) -> DataFrame:
-    """Size and SHA-256 of files as their readers see them, by Spark's own binary reader: hashing is distributed."""
-    from tidemark.streaming.jobs import shared_folder
-
-    at = f"{shared_folder(spark)}/audit-{uuid.uuid4().hex}"
-    V.manifest(spark, d).repartition(4, "coin").write.json(at)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(at)
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), (F.col("length") == F.octet_length("content")).alias("whole"))
-
-
-QUERIES = {f.__name__: f for f in (gate_flips, gate_status, gate_require, ledger_latest, observations, actions, tape_compare, raw_missing, chain_verify, event_dedup, event_counts, events_ahead, failure_reasons, sweep_guard, stream_age, pair_digest, gate_ladder, liq_parse, page_events, attack, attack_signal, file_audit)}
+QUERIES = {f.__name__: f for f in (gate_flips, gate_status, gate_require, ledger_latest, observations, actions, tape_compare, raw_missing, chain_verify, event_dedup, event_counts, events_ahead, failure_reasons, sweep_guard, stream_age, pair_digest, gate_ladder, liq_parse, page_events, attack, attack_signal)}
 
 _STATUS = "(SELECT gate, arg_max(verdict, t_event) AS verdict, max(t_event) AS at, count(*) AS runs, count(*) FILTER (verdict = 'pass') AS passes FROM verdicts GROUP BY 1)"
 _DAILY = market.SQL["daily_sigma"]
@@ -276,7 +264,10 @@ SQL = {
         FROM (SELECT coin, t_ingest // 3600000000000 AS hour, count(*) AS a FROM tape GROUP BY 1, 2) o FULL JOIN (SELECT coin, t_ingest // 3600000000000 AS hour, count(*) AS b FROM tape WHERE seq % 7 <> 0 GROUP BY 1, 2) t ON o.coin = t.coin AND o.hour = t.hour""",
     "raw_missing": sql("manifest").rstrip() + """, disk AS (SELECT coin, hour FROM manifest WHERE hour % 11 <> 0 UNION ALL SELECT coin, hour + 100000 FROM manifest WHERE hour % 13 = 0)
         SELECT coin, hour, 'missing' AS state FROM manifest m ANTI JOIN disk USING (coin, hour) UNION ALL SELECT coin, hour, 'orphan' FROM disk ANTI JOIN manifest USING (coin, hour)""",
-    "chain_verify": sql("tape") + "SELECT coin, count(*) AS entries, min(seq) FILTER (seq % 331 = 5 AND coin <> 'view') AS first_break, min(seq) FILTER (seq % 331 = 5 AND coin <> 'view') IS NULL AS intact FROM tape GROUP BY 1",
+    "chain_verify": sql("tape").rstrip() + """, bodies AS (SELECT coin, seq, 'b|' || coin || '|' || seq || '|' || k AS body FROM tape),
+        links AS (SELECT coin, seq, sha256(coalesce(lag(body) OVER (PARTITION BY coin ORDER BY seq), 'genesis')) AS before, sha256(body) AS hash, CASE WHEN seq % 331 = 5 AND coin <> 'view' THEN body || '!' ELSE body END AS body FROM bodies),
+        judged AS (SELECT coin, seq, sha256(body) <> hash OR before <> coalesce(lag(hash) OVER (PARTITION BY coin ORDER BY seq), sha256('genesis')) AS wrong FROM links)
+        SELECT coin, count(*) AS entries, min(seq) FILTER (wrong) AS first_break, NOT bool_or(wrong) AS intact FROM judged GROUP BY 1""",
     "event_dedup": sql("calendar") + "SELECT event_id, source, receipt_ts FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY receipt_ts, seq) AS rn FROM calendar) WHERE rn = 1",
     "event_counts": sql("calendar") + "SELECT source, class, count(*) AS n, max(receipt_ts) AS newest FROM calendar GROUP BY 1, 2",
     "events_ahead": sql("calendar") + f"SELECT event_id, min(source_ts) AS source_ts FROM calendar WHERE source_ts >= {NOW - 10 * DAY} AND source_ts < {NOW - 8 * DAY} GROUP BY 1",
@@ -285,7 +276,7 @@ SQL = {
     "stream_age": sql("tape") + f"SELECT coin, max(t_ingest) AS newest, round(({NOW + DAY} - max(t_ingest)) / 1e9, 3) AS age_s, {NOW + DAY} - max(t_ingest) > 3600000000000 AS gap FROM tape GROUP BY 1",
     "pair_digest": sql("positions", "liquidations", "bars") + "SELECT m.coin, m.mark, coalesce(h, 0) AS holders, coalesce(e, 0) AS events, coalesce(b, 0) AS bars FROM marks m LEFT JOIN (SELECT coin, count(*) AS h FROM positions GROUP BY 1) p ON m.coin = p.coin LEFT JOIN (SELECT coin, count(*) AS e FROM liquidations GROUP BY 1) q ON m.coin = q.coin LEFT JOIN (SELECT coin, count(*) AS b FROM bars GROUP BY 1) x ON m.coin = x.coin",
     "gate_ladder": V.with_views("placed", "matched", more=liquidity.MORE) + "SELECT s.coin, CASE WHEN coalesce(scored, 0) < 20 THEN 'too few events' WHEN coverage < 0.25 THEN 'low coverage' WHEN coalesce(z, 0) < 3 THEN 'side not informative' ELSE 'pass' END AS state FROM (" + liquidity.SQL["map_snapshot"][liquidity.SQL["map_snapshot"].rindex("SELECT b.coin") :] + ") s LEFT JOIN (" + liquidity.SQL["cluster_score_cadence"][liquidity.SQL["cluster_score_cadence"].rindex("SELECT *, CASE WHEN scored") :] + ") c ON s.coin = c.coin",
-    "liq_parse": sql("tape") + "SELECT tid, coin, CASE WHEN seq % 50 = 7 THEN buyer ELSE seller END AS user, CASE WHEN seq % 50 = 7 THEN 'counterparty' ELSE 'self' END AS source, px, sz FROM tape WHERE seq % 10 = 7 AND k > 0 AND (seq % 50 = 7 OR seq % 4 = 3)",
+    "liq_parse": sql("tape") + "SELECT tid, coin, CASE WHEN seq % 50 = 7 THEN buyer ELSE seller END AS user, CASE WHEN seq % 50 = 7 THEN 'counterparty' ELSE 'self' END AS source, px, sz FROM tape WHERE k > 0 AND (seq % 50 = 7 OR seq % 4 = 3)",
     "page_events": "SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, count(*) AS links, min(target) AS first_target FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1)) AS target FROM pages) GROUP BY 1, 2",
     "attack": _ATTACK + "SELECT * FROM attacked",
     "attack_signal": _ATTACK + f"""SELECT coin, drift, round(2 * {BARRIER} * {HORIZON_DAYS**0.5!r}::DOUBLE * drift / daily_sigma, 6) AS logit, abstain FROM (SELECT a.coin, daily_sigma, coalesce(up > 1 AND down > 1, FALSE) AS abstain,
