@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_PLANS = ("plans.market", "plans.wallets", "plans.liquidity", "plans.research", "plans.experts", "plans.integrity", "plans.landed", "streaming.jobs")
+_PLANS = ("plans.market", "plans.wallets", "plans.liquidity", "plans.research", "plans.experts", "plans.integrity", "plans.landed", "plans.clocks", "streaming.jobs")
 
 
 def _plans():
