@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SF = "/root/testdata/sf0.001"
-CHECKED = ("prints", "bars", "sigma", "ctx_features", "asof_context", "asof_strict", "event_feats", "gap_minutes", "sma_cross", "position_series", "wallets_upsert", "checkpoints", "liqmap_buckets", "band_null", "chain_verify", "gate_flips", "close_days", "file_audit", "ledger_verify", "liq_parse")
+CHECKED = ("prints", "bars", "sigma", "ctx_features", "asof_context", "asof_strict", "event_feats", "gap_minutes", "sma_cross", "position_series", "wallets_upsert", "checkpoints", "liqmap_buckets", "band_null", "chain_verify", "gate_flips", "close_days", "file_audit", "ledger_verify", "liq_parse", "map_history", "tape_keys", "liqmap_bands")
 
 
 @pytest.mark.parametrize("name", CHECKED)
@@ -190,3 +190,60 @@ def test_entry_lives_without_what_the_llm_operators_import(tmp_path):
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     done = subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": top})
     assert done.returncode == 0, done.stderr
+
+
+def test_chains_go_on_from_their_heads_and_name_the_first_break(spark):
+    from hashlib import sha256
+
+    from tidemark.plans.landed import GENESIS, append_chain, verify_chain
+
+    rows = [("a", i, f"body {i}") for i in range(6)] + [("b", 0, "x")]
+    batch = spark.createDataFrame(rows, "chain string, at int, body string")
+    first = append_chain(None, batch.where("at < 4"))
+    heads = first.where("seq = 3").select("chain", "seq", "hash")
+    both = sorted(first.unionByName(append_chain(heads, batch.where("at >= 4"))).collect(), key=lambda r: (r.chain, r.seq))
+    before = GENESIS
+    for r in both[:6]:
+        assert r.prev_hash == before and r.hash == sha256(f"{r.seq}|{before}|body {r.seq}".encode()).hexdigest()
+        before = r.hash
+    assert both == sorted(append_chain(None, batch).collect(), key=lambda r: (r.chain, r.seq))
+    df = spark.createDataFrame(both)
+    assert [r.reason for r in verify_chain(df).collect()] == [None, None]
+    lost = {r.chain: (r.first_break, r.reason) for r in verify_chain(df.where("seq <> 2")).collect()}
+    assert lost == {"a": (3, "sequence"), "b": (None, None)}
+
+
+def test_a_day_is_closed_once_and_damage_is_found(spark, tmp_path):
+    from tidemark.operators.ordered import DAY
+    from tidemark.plans import landed
+
+    at, manifest = str(tmp_path / "tape"), str(tmp_path / "manifest")
+    tape = spark.createDataFrame([(i, "c", i, (10 + i % 3) * DAY + i, i % 7) for i in range(30)], "seq long, coin string, t_event long, t_ingest long, k int")
+    landed.land(landed.lines_of(tape), at)
+    for today, n in ((11, 1), (11, 1), (12, 2)):
+        landed.close_finished(spark, at, manifest, today)
+        known = spark.read.schema(landed.MANIFEST).parquet(manifest)
+        assert known.count() == n and known.agg(F.sum("lines")).first()[0] == 10 * n
+    files = landed.files_of(spark, at)
+    assert {(r.day, r.state) for r in landed.audit(known, files, 12).collect()} == {(10, "ok"), (11, "ok"), (12, "open")}
+    bad = files.where("day <> 10").withColumn("sha256", F.when(F.col("day") == 11, "0").otherwise(F.col("sha256")))
+    assert {(r.day, r.state) for r in landed.audit(known, bad, 13).collect()} == {(10, "missing"), (11, "modified"), (12, "stale")}
+
+
+def test_clock_and_cost_expressions(spark):
+    from tidemark.functions import expressions as X
+
+    assert X.window_ns("90s") == 90_000_000_000 and X.window_ns(" 1.5H ") == 5_400_000_000_000
+    for bad in ("", "5", "m", "5y"):
+        with pytest.raises(ValueError):
+            X.window_ns(bad)
+    ns = spark.createDataFrame([(1704067199999999999,), (1704067200000000000,), (-1,)], "t long")
+    got = [tuple(r) for r in ns.select(X.hour_key(F.col("t")), X.day_key(F.col("t")), X.week_key(F.col("t"))).collect()]
+    assert got == [("20231231T23", "2023-12-31", "2023-W52"), ("20240101T00", "2024-01-01", "2024-W01"), ("19691231T23", "1969-12-31", "1970-W01")]
+    clock = spark.sql("select timestamp_ntz '2024-01-31 14:00:00' as w, timestamp_ntz '2024-07-31 14:00:00' as s")
+    assert tuple(clock.select(X.wall_ns(F.col("w")), X.wall_ns(F.col("s"))).first()) == (1706727600000000000, 1722448800000000000)
+    move = spark.createDataFrame([(100.0,), (1.0,), (0.0,), (None,)], "m double")
+    assert [r[0] for r in move.select(X.Costs().threshold(F.col("m"))).collect()] == [0.56, 0.99, 1.0, 1.0]
+    assert X.Costs().round_trip == 6.0 and X.Costs(taker=True).round_trip == 12.0
+    odd = spark.createDataFrame([("<p>a <b>b</b>\n</p>", 1.0, 0.0), (None, None, 2.0)], "h string, x double, y double")
+    assert [tuple(r) for r in odd.select(X.without_markup(F.col("h")), X.over(F.col("x"), F.col("y"))).collect()] == [("a b", None), (None, None)]

@@ -203,7 +203,7 @@ def attack_of(p: DataFrame, stats: DataFrame, a: float = A, kappa: float = KAPPA
         raise ValueError("without a cost floor the ratio has no supremum")
     d = (F.col("price") - F.col("mark")) / F.col("mark")
     weight = F.when(F.col("margin_type") == "cross", F.lit(omega)).otherwise(F.lit(1.0)).cast("decimal(3,2)")
-    mass = F.round(F.abs("szi") * F.col("mark"), 6).cast("decimal(24,6)") * weight
+    mass = liquidity.notional().cast("decimal(24,6)") * weight
     rows = p.where("price > 0 and szi <> 0").select("coin", "address", d.alias("d"), mass.alias("m")).where("d <> 0")
     rows = rows.select("coin", F.when(F.col("d") > 0, "up").otherwise("down").alias("side"), F.abs("d").alias("x"), "m", "address").withColumn("nano", F.floor(F.col("x") * 1e9))
     walked = running_sum(rows, ["coin", "side"], "nano", ["x", "m", "address"], F.col("m"), "upto", chunk=10_000_000)

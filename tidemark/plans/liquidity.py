@@ -42,7 +42,12 @@ def priced(p: DataFrame) -> DataFrame:
     return p.withColumn("price", F.when(published, F.col("liquidation_px")).otherwise(F.col("derived"))).withColumn("src", F.when(published, "published").when(F.col("derived").isNotNull(), "derived").otherwise("none"))
 
 
-def placed(p: DataFrame, width: float = WIDTH, span: float = SPAN) -> DataFrame:
+def notional() -> Column:
+    """A position's size at the mark to six digits; rounded as binary numbers, so that half digits go the same way in SQL."""
+    return F.floor(F.abs("szi") * F.col("mark") * 1e6 + 0.5) / 1e6
+
+
+def placed(p: DataFrame, width: float = WIDTH, span: float = SPAN, keys: tuple[str, ...] = ("coin",)) -> DataFrame:
     """Priced positions within the span, with the bucket [mark(1+i*w), mark(1+(i+1)*w)) of their price.
 
     The index comes from a division and is corrected by one against the edges themselves.
@@ -52,7 +57,7 @@ def placed(p: DataFrame, width: float = WIDTH, span: float = SPAN) -> DataFrame:
     cand = F.floor(dist / width)
     edge = lambda i: F.col("mark") * (1 + i * width)
     bucket = F.when(F.col("price") < edge(cand), cand - 1).when(F.col("price") >= edge(cand + 1), cand + 1).otherwise(cand)
-    return near.select("address", "coin", "price", "src", "margin_type", "mark", F.round(F.abs("szi") * F.col("mark"), 6).alias("notional"), dist.alias("dist"), bucket.alias("bucket"))
+    return near.select("address", *keys, "price", "src", "margin_type", "mark", notional().alias("notional"), dist.alias("dist"), bucket.alias("bucket"))
 
 
 def _sum(when: Column | None = None) -> Column:
@@ -64,12 +69,12 @@ def buckets_of(p: DataFrame) -> DataFrame:
     return placed(p).groupBy("coin", "bucket").agg(_sum().alias("notional"), _sum(F.col("margin_type") == "cross").alias("cross_notional"), F.count("*").alias("n"))
 
 
-def bands_of(p: DataFrame) -> DataFrame:
-    """Mass within each band above and below, all and cross only, published share, imbalance, by coin."""
+def bands_of(p: DataFrame, keys: tuple[str, ...] = ("coin",)) -> DataFrame:
+    """Mass within each band above and below, all and cross only, published share, imbalance, by coin (or by ``keys``)."""
     up = lambda b: (F.col("dist") > 0) & (F.col("dist") <= b)
     down = lambda b: (F.col("dist") < 0) & (F.col("dist") >= -b)
     sums = [_sum(up(b)).alias(f"up{i}") for i, b in enumerate(BANDS, 1)] + [_sum(down(b)).alias(f"down{i}") for i, b in enumerate(BANDS, 1)]
-    rows = placed(p).groupBy("coin").agg(*sums, _sum().alias("total"), _sum(F.col("src") == "published").alias("pub"))
+    rows = placed(p, keys=keys).groupBy(*keys).agg(*sums, _sum().alias("total"), _sum(F.col("src") == "published").alias("pub"))
     mass = F.col("up4") + F.col("down4")
     return rows.withColumn("imbalance", F.when(mass != 0, F.round((F.col("down4") - F.col("up4")) / mass, 9)).otherwise(0.0)).withColumn("published_share", F.when(F.col("total") != 0, F.round(F.col("pub") / F.col("total"), 9)).otherwise(0.0)).drop("pub")
 
@@ -97,6 +102,32 @@ def map_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return bands_of(_p(spark, d)).join(F.broadcast(m), "coin").select("coin", "t_ingest", "up4", "down4", "imbalance", cover.alias("coverage"))  # a row a coin
 
 
+def map_history(spark: SparkSession, d: str) -> DataFrame:
+    """A map for each coin at the end of each day: the wallets' running positions and the mark as of then.
+
+    A day's flows are summed before anything is ordered, so a wallet has a row a
+    day at most; a position stands until the day before its next change. Wallets
+    out of the registry count as isolated.
+    """
+    from tidemark.plans.wallets import legs_of
+
+    day = lambda t: F.floor(F.col(t) / DAY).cast("int")
+    with V.one_tape(spark, d):
+        ends = V.tape(spark, d).agg(F.min(day("t_event")).alias("first"), F.max(day("t_event")).alias("last"))  # one row
+        flows = legs_of(spark, d).groupBy("address", "coin", day("t_event").alias("day")).agg(F.sum("signed").alias("flow"))
+        seen = V.contexts(spark, d).groupBy("coin", day("t_ingest").alias("day")).agg(F.max_by("mark", F.struct("t_ingest", "seq")).alias("mark"))
+    w = Window.partitionBy("address", "coin").orderBy("day")
+    held = flows.withColumns({"szi": F.sum("flow").over(w).cast("double"), "next": F.lead("day").over(w)}).where("szi <> 0").crossJoin(F.broadcast(ends))
+    held = held.select("address", "coin", "szi", F.explode(F.sequence("day", F.coalesce(F.col("next") - 1, F.col("last")))).alias("day"))
+    until = Window.partitionBy("coin").orderBy("day")  # a row a day
+    marks = seen.withColumn("next", F.lead("day").over(until)).crossJoin(F.broadcast(ends)).where(F.col("day") <= F.col("last"))
+    marks = marks.select("coin", "mark", F.explode(F.sequence("day", F.greatest("day", F.least("last", F.coalesce(F.col("next") - 1, F.col("last")))))).alias("day"))
+    number = F.substring("address", 2, 20).cast("long")
+    p = held.join(marks, ["coin", "day"]).join(V.wallets(spark, d).select("address", "account_value"), "address", "left")
+    p = p.withColumns({"max_leverage": (5 + number % 4 * 10).cast("int"), "margin_type": F.when(F.col("account_value").isNull(), "isolated").otherwise("cross"), "liquidation_px": F.lit(None).cast("double")})
+    return bands_of(priced(p), ("coin", "day")).drop("published_share")
+
+
 def nearest(spark: SparkSession, d: str, least: float = 5000.0) -> DataFrame:
     """The nearest bucket on each side with a mass above the least."""
     b = buckets_of(_p(spark, d)).where(F.col("notional") > least)
@@ -282,7 +313,9 @@ def band_null(spark: SparkSession, d: str, reps: int = 1000) -> DataFrame:
     return real.join(null, "coin").withColumn("informative", F.col("null_sd") > 0)
 
 
-QUERIES = {f.__name__: f for f in (liq_price, liqmap_buckets, liqmap_bands, map_snapshot, nearest, sparse, map_visible, wide_map, map_epoch, derive_fidelity, liq_dedupe, liq_method, liq_append, liq_minutes, liq_recent, scan_stats, score_positions, population, cluster_score, cluster_score_cadence, accrual, band_null)}
+QUERIES = {f.__name__: f for f in (liq_price, liqmap_buckets, liqmap_bands, map_snapshot, map_history, nearest, sparse, map_visible, wide_map, map_epoch, derive_fidelity, liq_dedupe, liq_method, liq_append, liq_minutes, liq_recent, scan_stats, score_positions, population, cluster_score, cluster_score_cadence, accrual, band_null)}
+
+from tidemark.plans.wallets import MORE as _WALLETS  # noqa: E402
 
 _N = "CAST(notional AS DECIMAL(24,6))"
 _BANDS = ", ".join([f"CAST(coalesce(sum({_N}) FILTER (dist > 0 AND dist <= {b}), 0) AS DOUBLE) AS up{i}" for i, b in enumerate(BANDS, 1)] + [f"CAST(coalesce(sum({_N}) FILTER (dist < 0 AND dist >= -{b}), 0) AS DOUBLE) AS down{i}" for i, b in enumerate(BANDS, 1)])
@@ -303,6 +336,12 @@ SQL = {
     "liqmap_buckets": sql("buckets") + "SELECT * FROM buckets",
     "liqmap_bands": sql("placed") + f"SELECT * EXCLUDE (pub) FROM {_BANDED}",
     "map_snapshot": sql("placed") + f"SELECT b.coin, m.t_ingest, up4, down4, imbalance, round(total / (2 * m.open_interest * m.mark), 9) AS coverage FROM {_BANDED} b JOIN marks m ON b.coin = m.coin",
+    "map_history": V.with_views("legs", "contexts", "wallets", more=_WALLETS).rstrip() + f""", grid AS (SELECT unnest(generate_series(min(t_event // {DAY}), max(t_event // {DAY}))) AS day FROM tape), flows AS (SELECT address, coin, t_event // {DAY} AS day, sum(signed) AS flow FROM legs GROUP BY 1, 2, 3),
+        marked AS (SELECT c.coin, g.day, arg_max(mark, (t_ingest, seq)) AS mark FROM contexts c JOIN grid g ON c.t_ingest // {DAY} <= g.day GROUP BY 1, 2),
+        positions AS (SELECT h.address, h.coin, h.day, szi, mark, 5 + CAST(h.address[2:] AS BIGINT) % 4 * 10 AS max_leverage, CASE WHEN account_value IS NULL THEN 'isolated' ELSE 'cross' END AS margin_type, account_value, CAST(NULL AS DOUBLE) AS liquidation_px
+            FROM (SELECT address, coin, g.day, CAST(sum(flow) AS DOUBLE) AS szi FROM flows f JOIN grid g ON f.day <= g.day GROUP BY 1, 2, 3 HAVING sum(flow) <> 0) h JOIN marked m ON h.coin = m.coin AND h.day = m.day LEFT JOIN wallets w ON h.address = w.address),
+        priced AS ({_PRICE}), placed AS (SELECT coin, CAST(day AS INT) AS day, round(abs(szi) * mark, 6) AS notional, price / mark - 1 AS dist, src FROM priced WHERE price IS NOT NULL AND abs(price / mark - 1) <= {SPAN})
+        SELECT * EXCLUDE (pub, published_share) FROM {_BANDED.replace("(SELECT coin, CAST", "(SELECT coin, day, CAST").replace("GROUP BY 1)", "GROUP BY 1, 2)")}""",
     "nearest": sql("buckets") + "SELECT coin, min(bucket) FILTER (bucket >= 0) AS up_bucket, max(bucket) FILTER (bucket < 0) AS down_bucket FROM buckets WHERE notional > 5000 GROUP BY 1",
     "sparse": sql("buckets") + "SELECT coin, string_agg(CAST(bucket AS VARCHAR) || ':' || CAST(n AS VARCHAR), ',' ORDER BY bucket) AS buckets FROM buckets GROUP BY 1",
     "map_visible": sql("buckets") + """SELECT coin, side, CAST(place AS INT) AS place, bucket, part FROM (SELECT *, row_number() OVER (PARTITION BY coin, side ORDER BY abs(bucket + 0.5)) AS place FROM
