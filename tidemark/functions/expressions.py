@@ -20,9 +20,14 @@ def window_ns(spec: str) -> int:
         raise ValueError(f"bad window {spec!r}: a number and one of s, m, h, d") from None
 
 
+def whole(ns: Column, unit: int) -> Column:
+    """How many whole units lie in nanoseconds, rounded down; exact where a division of doubles is not."""
+    return F.call_function("div", ns - F.pmod(ns, F.lit(unit)), F.lit(unit))
+
+
 def ntz(ns: Column) -> Column:
     """The UTC clock of nanoseconds as a timestamp without zone, whatever the session's zone."""
-    return F.expr("timestamp_ntz '1970-01-01 00:00:00'") + F.make_dt_interval(secs=F.floor(ns / 1_000_000_000))
+    return F.expr("timestamp_ntz '1970-01-01 00:00:00'") + F.make_dt_interval(secs=whole(ns, 1_000_000_000))
 
 
 def hour_key(ns: Column) -> Column:

@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.expressions import whole
 from tidemark.operators.ordered import DAY
 from tidemark.plans import integrity
 from tidemark.sources import views as V
@@ -38,7 +39,7 @@ def sql(*names: str) -> str:
 def lines_of(tape: DataFrame) -> DataFrame:
     """A line of JSON for each row, with the file it belongs to."""
     line = F.to_json(F.struct("seq", "coin", "t_event", "t_ingest", "k"))
-    return tape.select("coin", F.floor(F.col("t_ingest") / DAY).cast("int").alias("day"), F.floor(F.col("seq") / PART_ROWS).cast("int").alias("part"), "seq", line.alias("value"))
+    return tape.select("coin", whole(F.col("t_ingest"), DAY).cast("int").alias("day"), F.floor(F.col("seq") / PART_ROWS).cast("int").alias("part"), "seq", line.alias("value"))
 
 
 def land(lines: DataFrame, at: str) -> None:
@@ -94,7 +95,7 @@ def close_days(spark: SparkSession, d: str) -> DataFrame:
 
 def damaged(tape: DataFrame) -> DataFrame:
     """The tape's lines with files lost (day % 9 = 0), changed (day % 9 = 4) and left over (day % 9 = 7, a thousand days before and after)."""
-    day = F.floor(F.col("t_ingest") / DAY)
+    day = whole(F.col("t_ingest"), DAY)
     changed = lines_of(tape.where(day % 9 != 0).withColumn("k", F.when((day % 9 == 4) & (F.col("seq") % 5 == 0), F.col("k") + 1).otherwise(F.col("k"))))
     over = lines_of(tape.where(day % 9 == 7))
     return changed.unionByName(over.withColumn("day", F.col("day") - 1000)).unionByName(over.withColumn("day", F.col("day") + 1000))
@@ -150,7 +151,7 @@ def verify_chain(entries: DataFrame) -> DataFrame:
 
 
 def _daily(spark: SparkSession, d: str) -> DataFrame:
-    v = integrity.verdicts_of(spark, d).groupBy("gate", F.floor(F.col("t_event") / DAY).cast("int").alias("day")).agg(F.count("*").alias("runs"), F.sum((F.col("verdict") == "pass").cast("long")).alias("passes"))
+    v = integrity.verdicts_of(spark, d).groupBy("gate", whole(F.col("t_event"), DAY).cast("int").alias("day")).agg(F.count("*").alias("runs"), F.sum((F.col("verdict") == "pass").cast("long")).alias("passes"))
     return v.select(F.col("gate").alias("chain"), F.col("day").alias("at"), F.concat_ws("|", "gate", *[F.col(c).cast("string") for c in ("day", "runs", "passes")]).alias("body"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.expressions import whole
 from tidemark.operators.ordered import DAY, HOUR, asof
 from tidemark.sources import views as V
 
@@ -111,7 +112,7 @@ def map_history(spark: SparkSession, d: str) -> DataFrame:
     """
     from tidemark.plans.wallets import legs_of
 
-    day = lambda t: F.floor(F.col(t) / DAY).cast("int")
+    day = lambda t: whole(F.col(t), DAY).cast("int")
     with V.one_tape(spark, d):
         ends = V.tape(spark, d).agg(F.min(day("t_event")).alias("first"), F.max(day("t_event")).alias("last"))  # one row
         flows = legs_of(spark, d).groupBy("address", "coin", day("t_event").alias("day")).agg(F.sum("signed").alias("flow"))
