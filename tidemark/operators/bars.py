@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.expressions import whole
 from tidemark.operators.ordered import HOUR
 
 
@@ -13,7 +14,7 @@ def bars(prints: DataFrame, interval: int = HOUR) -> DataFrame:
 
     One aggregation with partial sums; buckets without prints have no bar.
     """
-    start = (F.floor(F.col("t_event") / interval) * interval).cast("long")
+    start = (whole(F.col("t_event"), interval) * interval).cast("long")
     at = F.struct("t_event", "seq")
     notional = (F.col("px").cast("decimal(20,6)") * F.col("sz").cast("decimal(12,3)")).cast("decimal(32,9)")
     rows = prints.groupBy("coin", start.alias("t_open")).agg(

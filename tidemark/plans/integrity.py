@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.expressions import whole
 from tidemark.operators.ordered import DAY, HOUR, previous, running_sum
 from tidemark.plans import liquidity, market
 from tidemark.sources import views as V
@@ -51,7 +52,7 @@ def ledger_latest(spark: SparkSession, d: str) -> DataFrame:
 def observations(spark: SparkSession, d: str) -> DataFrame:
     """The share of passes over time, by gate and day."""
     v = verdicts_of(spark, d)
-    return v.groupBy("gate", F.floor(F.col("t_event") / DAY).alias("day")).agg(F.round(F.avg((F.col("verdict") == "pass").cast("double")), 9).alias("share"))
+    return v.groupBy("gate", whole(F.col("t_event"), DAY).alias("day")).agg(F.round(F.avg((F.col("verdict") == "pass").cast("double")), 9).alias("share"))
 
 
 def actions(spark: SparkSession, d: str) -> DataFrame:
@@ -62,7 +63,7 @@ def actions(spark: SparkSession, d: str) -> DataFrame:
 
 def tape_compare(spark: SparkSession, d: str, tolerance: float = 0.1) -> DataFrame:
     """Two tapes' hours: same, differ beyond the tolerance, only ours, only theirs."""
-    hour = F.floor(F.col("t_ingest") / HOUR)
+    hour = whole(F.col("t_ingest"), HOUR)
     ours = V.tape(spark, d).groupBy("coin", hour.alias("hour")).agg(F.count("*").alias("a"))
     theirs = V.tape(spark, d).where("seq % 7 <> 0").groupBy("coin", hour.alias("hour")).agg(F.count("*").alias("b"))
     j = ours.join(theirs, ["coin", "hour"], "full")

@@ -292,7 +292,7 @@ def score_clusters(found: DataFrame, max_age: int = MAX_MAP_AGE, least: float =
 def accrual(spark: SparkSession, d: str) -> DataFrame:
     """Scored events and distinct days since the middle of the tape."""
     m = matched(spark, d).where((_status() == "scored") & (F.col("t_event") >= 1705276800000000000))
-    return m.agg(F.count("*").alias("events"), F.count_distinct(F.floor(F.col("t_event") / DAY)).alias("days"))
+    return m.agg(F.count("*").alias("events"), F.count_distinct(whole(F.col("t_event"), DAY)).alias("days"))
 
 
 def band_null(spark: SparkSession, d: str, reps: int = 1000) -> DataFrame:

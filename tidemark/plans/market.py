@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.expressions import whole
 from tidemark.operators import bars as B
 from tidemark.operators.ordered import DAY, HOUR, asof, previous, rolling, running_sum
 from tidemark.sources import views as V
@@ -58,7 +59,7 @@ def map_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def event_time(spark: SparkSession, d: str) -> DataFrame:
     """The newest event time per coin and hour of arrival; null for streams without a clock."""
-    hour = F.floor(F.col("t_ingest") / HOUR)
+    hour = whole(F.col("t_ingest"), HOUR)
     return V.tape(spark, d).groupBy("coin", hour.alias("hour")).agg(F.max(F.when(F.col("coin") != "error", F.col("t_event"))).alias("t_event"))
 
 
@@ -214,8 +215,8 @@ def gap_minutes(spark: SparkSession, d: str) -> DataFrame:
 
 def capture_holes(spark: SparkSession, d: str) -> DataFrame:
     """Silences that contain a restart (every error event with k over 90)."""
-    s = silences(spark, d).select("coin", "t_from", "t_to", F.explode(F.sequence(F.floor(F.col("t_from") / DAY), F.floor(F.col("t_to") / DAY))).alias("day"))
-    r = V.tape(spark, d).where("coin = 'error' and k > 90").select(F.col("t_event").alias("restart"), F.floor(F.col("t_event") / DAY).alias("day"))
+    s = silences(spark, d).select("coin", "t_from", "t_to", F.explode(F.sequence(whole(F.col("t_from"), DAY), whole(F.col("t_to"), DAY))).alias("day"))
+    r = V.tape(spark, d).where("coin = 'error' and k > 90").select(F.col("t_event").alias("restart"), whole(F.col("t_event"), DAY).alias("day"))
     return s.join(r, "day").where("restart > t_from and restart < t_to").groupBy("coin", "t_from", "t_to").agg(F.count("*").alias("restarts"))
 
 

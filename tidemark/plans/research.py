@@ -8,6 +8,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.expressions import whole
 from tidemark.operators import bars as B
 from tidemark.operators.labels import first_touch, uniqueness
 from tidemark.operators.ordered import HOUR, asof
@@ -145,7 +146,7 @@ def race(spark: SparkSession, d: str) -> DataFrame:
 def fade(spark: SparkSession, d: str) -> DataFrame:
     """The label signed against the swept side, which alternates by the hour here."""
     r = labels_of(spark, d)
-    side = F.when(F.floor(F.col("t_open") / HOUR) % 2 == 0, F.lit(1)).otherwise(F.lit(-1))
+    side = F.when(whole(F.col("t_open"), HOUR) % 2 == 0, F.lit(1)).otherwise(F.lit(-1))
     return r.select("coin", "t_open", (F.col("outcome") * -side).cast("int").alias("faded"))
 
 

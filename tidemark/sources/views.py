@@ -12,6 +12,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.expressions import whole
 from tidemark.operators.ordered import running_sum
 from tidemark.session import settle
 
@@ -124,7 +125,7 @@ def map_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def manifest(spark: SparkSession, d: str) -> DataFrame:
     """The tape's files: a row for each coin and hour of arrival."""
-    hour = F.floor(F.col("t_ingest") / 3_600_000_000_000)
+    hour = whole(F.col("t_ingest"), 3_600_000_000_000)
     return tape(spark, d).groupBy("coin", hour.alias("hour")).agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.min("t_ingest").alias("first_ingest"), F.max("t_ingest").alias("last_ingest"), F.count("*").alias("lines"))
 
 
