@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, class_lm, decontaminate, flac, html_text, license_scan, mixture, simhash_dedup, toxicity, warc
+from tidemark.llm import chat, class_lm, decontaminate, flac, html_text, license_scan, mixture, periodic_runs, simhash_dedup, toxicity, warc
 from tidemark.llm.common import id_bucket
 
 
@@ -64,6 +64,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(_table(spark, sf_dir, "documents"), rewrite=periodic_runs.planted)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_text": op1_html_text,
@@ -76,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_simhash": op9_simhash,
         "op10_warc": op10_warc,
+        "op12_periodic_runs": op12_periodic_runs,
     }
 
 
