@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, class_lm, decontaminate, flac, html_text, license_scan, mixture, periodic_runs, simhash_dedup, toxicity, warc
+from tidemark.llm import chat, class_lm, conversation_trie, decontaminate, flac, html_text, jaccard_join, license_scan, mixture, periodic_runs, simhash_dedup, toxicity, warc
 from tidemark.llm.common import id_bucket
 
 
@@ -64,10 +64,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversation_trie.conversations_of(_table(spark, sf_dir, "conversations"))
+    return conversation_trie.trie(conversation_trie.grafted(turns)).drop("node")
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.periodic_runs(_table(spark, sf_dir, "documents"), rewrite=periodic_runs.planted)
 
 
+def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_sets(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_text": op1_html_text,
@@ -80,7 +89,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_simhash": op9_simhash,
         "op10_warc": op10_warc,
+        "op11_trie": op11_trie,
         "op12_periodic_runs": op12_periodic_runs,
+        "op13_jaccard": op13_jaccard,
     }
 
 
@@ -101,4 +112,4 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that it can express: the others use trained models, XXH64 or binary formats and are tested by brute force."""
-    return {"op2_mix": mixture.ORACLE_SQL, "op3_licenses": license_scan.oracle_sql(), "op4_chat": _CHAT, "op10_warc": _WARC}
+    return {"op2_mix": mixture.ORACLE_SQL, "op3_licenses": license_scan.oracle_sql(), "op4_chat": _CHAT, "op10_warc": _WARC, "op11_trie": conversation_trie.ORACLE_SQL, "op13_jaccard": jaccard_join.ORACLE_SQL}
