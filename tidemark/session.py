@@ -26,9 +26,18 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once for several readers, in the folder that ``spark.checkpoint.dir`` names (a temporary one where unset)."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one in local mode alone."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if named is None and sc.getCheckpointDir() is None and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return named or sc.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once for several readers, in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
