@@ -7,16 +7,19 @@ reads it, is bounded whatever share of the rows a coin or a day holds.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import whole
 from tidemark.operators.ordered import DAY
 from tidemark.plans import integrity
+from tidemark.session import shared_folder
 from tidemark.sources import views as V
-from tidemark.streaming.jobs import shared_folder
 
 PART_ROWS = 100_000
 KEY = ["coin", "day", "part"]
@@ -55,11 +58,28 @@ def files_of(spark: SparkSession, at: str) -> DataFrame:
     return files.select(F.col("coin").cast("string").alias("coin"), F.col("day").cast("int").alias("day"), F.col("part").cast("int").alias("part"), breaks.cast("long").alias("lines"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def names_of(spark: SparkSession, at: str) -> DataFrame:
+    """``(coin, day, part, bytes)`` of the files, from their listing alone: no content is read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(at)
+    return files.select(F.col("coin").cast("string").alias("coin"), F.col("day").cast("int").alias("day"), F.col("part").cast("int").alias("part"), F.col("length").alias("bytes"))
+
+
+def fresh_files(spark: SparkSession, at: str, known: DataFrame, today: int) -> DataFrame:
+    """`files_of` those of days before ``today`` that ``known`` lacks: folders of other days are not opened.
+
+    The listing says which days have such files. They are few, those since the last
+    closing and days with a late file, and become a filter on folders.
+    """
+    listed = names_of(spark, at).where(F.col("day") < today).join(known.select(*KEY), KEY, "left_anti")
+    days = sorted(r.day for r in listed.select("day").distinct().collect())
+    return files_of(spark, at).where(F.col("day").isin(days)).join(known.select(*KEY), KEY, "left_anti")
+
+
 def close_finished(spark: SparkSession, at: str, manifest: str, today: int) -> None:
     """Append to the manifest every file of a day before ``today`` that it does not have; a second call adds nothing."""
     spark.createDataFrame([], MANIFEST).write.mode("ignore").parquet(manifest)
-    known = spark.read.schema(MANIFEST).parquet(manifest).select(*KEY)
-    fresh = files_of(spark, at).where(F.col("day") < today).join(known, KEY, "left_anti")
+    known = spark.read.schema(MANIFEST).parquet(manifest)
+    fresh = fresh_files(spark, at, known, today)
     fresh.withColumn("closed_at", F.lit(today)).write.mode("append").parquet(manifest)
 
 
@@ -113,25 +133,33 @@ def file_audit(spark: SparkSession, d: str) -> DataFrame:
 def append_chain(heads: DataFrame | None, batch: DataFrame) -> DataFrame:
     """``(chain, seq, prev_hash, body, hash)`` of a batch ``(chain, at, body)`` that goes on from ``heads (chain, seq, hash)``.
 
-    Each hash is the SHA-256 of the entry's number, its predecessor's hash and
-    its body, so a chain is sequential: its new entries are folded in one group.
-    A ledger has an entry a run or a day, never one a row of data. Equal ``at``
-    are ordered by body; chains without heads begin at 0 with 64 zeros.
+    Each hash is the SHA-256 of the entry's number, its predecessor's hash and its
+    body, so a chain is sequential: a task walks its new entries in the order of
+    (at, body) and carries no more than the last hash. Chains without heads begin at
+    0 with 64 zeros; a null body counts as if it were not there.
     """
-    new = batch.groupBy("chain").agg(F.array_sort(F.collect_list(F.struct("at", "body"))).alias("e"))
-    if heads is not None:
-        new = new.join(heads.select("chain", "seq", "hash"), "chain", "left")
-    else:
+    kinds, names = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()], ["chain", "seq", "prev_hash", "body", "hash"]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain, seq, last = None, 0, GENESIS
+        for part in batches:
+            out = []
+            for one, body, head_seq, head in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if one != chain:
+                    chain, seq, last = one, 0 if head_seq is None else head_seq + 1, head or GENESIS
+                digest = hashlib.sha256("|".join(x for x in (str(seq), last, body) if x is not None).encode()).hexdigest()
+                out.append((one, seq, last, body, digest))
+                seq, last = seq + 1, digest
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    new = batch.where("chain is not null").select("chain", "at", "body")
+    if heads is None:
         new = new.withColumns({"seq": F.lit(None).cast("long"), "hash": F.lit(None).cast("string")})
-    empty = F.expr("cast(array() as array<struct<seq:bigint,prev_hash:string,body:string,hash:string>>)")
-    start = F.struct(F.coalesce(F.col("seq") + 1, F.lit(0).cast("long")).alias("seq"), F.coalesce("hash", F.lit(GENESIS)).alias("hash"), empty.alias("out"))
-
-    def step(state, entry):
-        digest = F.sha2(F.concat_ws("|", state["seq"].cast("string"), state["hash"], entry["body"]), 256)
-        made = F.struct(state["seq"].alias("seq"), state["hash"].alias("prev_hash"), entry["body"].alias("body"), digest.alias("hash"))
-        return F.struct((state["seq"] + 1).alias("seq"), digest.alias("hash"), F.concat(state["out"], F.array(made)).alias("out"))
-
-    return new.select("chain", F.inline(F.aggregate("e", start, step, lambda s: s["out"])))
+    else:
+        new = new.join(heads.select("chain", "seq", "hash"), "chain", "left")
+    dealt = new.repartition("chain").sortWithinPartitions("chain", "at", "body")
+    return dealt.select("chain", "body", F.col("seq").cast("long").alias("seq"), "hash").mapInArrow(walk, "chain string, seq long, prev_hash string, body string, hash string")
 
 
 def verify_chain(entries: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import whole
 from tidemark.operators.ordered import DAY, HOUR, asof
+from tidemark.operators.ranks import selected
+from tidemark.session import settle
 from tidemark.sources import views as V
 
 WIDTH = 0.0025
@@ -163,12 +165,11 @@ def map_epoch(spark: SparkSession, d: str) -> DataFrame:
 
 def derive_fidelity(spark: SparkSession, d: str) -> DataFrame:
     """Derived against published prices: count, upper median, exact share, by margin type."""
-    e = _p(spark, d).where("liquidation_px > 0 and derived is not null").select("margin_type", F.round(F.abs(F.col("derived") / F.col("liquidation_px") - 1), 9).alias("err"))
-    n = e.groupBy("margin_type").agg(F.count("*").alias("n"), F.sum((F.col("err") < 1e-4).cast("int")).alias("exact"))
-    placed_rows = e.withColumn("rn", F.row_number().over(Window.partitionBy("margin_type").orderBy("err")))
-    j = placed_rows.join(F.broadcast(n), "margin_type")  # two rows
-    pick = lambda q: F.max(F.when(F.col("rn") == F.floor(F.col("n") * q) + 1, F.col("err")))
-    return j.groupBy("margin_type").agg(F.max("n").alias("n"), F.max("exact").alias("exact"), pick(0.5).alias("median"), pick(0.9).alias("p90"))
+    e = settle(_p(spark, d).where("liquidation_px > 0 and derived is not null").select("margin_type", F.round(F.abs(F.col("derived") / F.col("liquidation_px") - 1), 9).alias("err")))
+    n = F.col("n")
+    picked = selected(e, ["margin_type"], "err", {"median": F.floor(n * 0.5), "p90": F.floor(n * 0.9)})
+    exact = e.groupBy("margin_type").agg(F.sum((F.col("err") < 1e-4).cast("int")).alias("exact"))
+    return picked.join(exact, "margin_type").select("margin_type", "n", "exact", "median", "p90")
 
 
 def once_of(q: DataFrame) -> DataFrame:

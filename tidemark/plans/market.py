@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.expressions import whole
 from tidemark.operators import bars as B
 from tidemark.operators.ordered import DAY, HOUR, asof, previous, rolling, running_sum
+from tidemark.operators.ranks import selected
+from tidemark.session import settle
 from tidemark.sources import views as V
 
 MINUTE = 60_000_000_000
@@ -187,18 +189,15 @@ def tape_hours(spark: SparkSession, d: str) -> DataFrame:
 
 def feed_audit(spark: SparkSession, d: str) -> DataFrame:
     """Holes and backward steps of the sequence, largest gap, and latency order statistics, by coin."""
-    t = V.tape(spark, d).select("coin", "seq", "t_event", "t_ingest")
+    t = settle(V.tape(spark, d).select("coin", "seq", "t_event", "t_ingest"))
     p = previous(t, ["coin"], "t_event", ["seq"], ["seq", "t_ingest"])
     step = p.groupBy("coin").agg(
         F.count("*").alias("n"), F.sum((F.col("seq") - F.col("prev_seq") > 1).cast("int")).alias("holes"), F.sum((F.col("t_ingest") < F.col("prev_t_ingest")).cast("int")).alias("backward"),
         F.max(F.col("t_ingest") - F.col("prev_t_ingest")).alias("largest_gap"), F.sum((F.col("t_ingest") < F.col("t_event") - 2_000_000_000).cast("int")).alias("acausal"),
     )
-    # Order statistics over distinct latencies with their counts: few rows for each coin.
-    lat = t.groupBy("coin", (F.col("t_ingest") - F.col("t_event")).alias("latency")).agg(F.count("*").alias("c"))
-    w = Window.partitionBy("coin").orderBy("latency")
-    upto = lat.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy("coin")))
-    at = lambda q: F.min(F.when(F.col("upto") > F.least(F.col("n") - 1, F.floor(F.col("n") * q)), F.col("latency")))
-    quant = upto.groupBy("coin").agg(at(0.5).alias("latency_p50"), at(0.99).alias("latency_p99"))
+    latency = t.select("coin", (F.col("t_ingest") - F.col("t_event")).alias("latency"))
+    at = lambda q: F.least(F.col("n") - 1, F.floor(F.col("n") * q))
+    quant = selected(latency, ["coin"], "latency", {"latency_p50": at(0.5), "latency_p99": at(0.99)}).drop("n")
     return step.join(quant, "coin").select("coin", "n", "holes", "backward", "largest_gap", "acausal", "latency_p50", "latency_p99", (F.col("holes") == 0).alias("seq_continuous"), (F.col("acausal") == 0).alias("clock_causal"), (F.col("largest_gap") <= 60 * HOUR).alias("no_gaps"))
 
 

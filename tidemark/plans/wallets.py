@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import HOUR, asof, running_sum
+from tidemark.operators.ranks import ranked
 from tidemark.sources import views as V
 
 #: The tape's window opens at the first print; prints after this time are new to the stored positions.
@@ -104,9 +105,14 @@ def _fills(spark: SparkSession, d: str) -> DataFrame:
 
 
 def checkpoints_of(fills: DataFrame) -> DataFrame:
-    """The one start of a block that is no fill's end; blocks with none or several have none."""
-    starts = F.array_except(F.collect_set("start"), F.collect_set("end"))
-    return fills.groupBy("address", "coin", "block").agg(starts.alias("s")).where(F.size("s") == 1).select("address", "coin", "block", F.col("s")[0].alias("szi"))
+    """The one start of a block that is no fill's end; blocks with none or several have none.
+
+    Sizes meet by value, so a block of many fills is never gathered.
+    """
+    key = ["address", "coin", "block"]
+    sizes = fills.select(*key, F.explode(F.array(F.struct(F.col("start").alias("szi"), F.lit(True).alias("s")), F.struct(F.col("end").alias("szi"), F.lit(False).alias("s")))).alias("x")).select(*key, "x.*")
+    loose = sizes.groupBy(*key, "szi").agg(F.min("s").alias("s")).where("s")
+    return loose.groupBy(*key).agg(F.count("*").alias("n"), F.first("szi").alias("szi")).where("n = 1").drop("n")
 
 
 def checkpoints(spark: SparkSession, d: str) -> DataFrame:
@@ -140,22 +146,14 @@ def positions_delete(spark: SparkSession, d: str) -> DataFrame:
     return V.positions(spark, d).select("address", "coin", "szi").join(gone, ["address", "coin"], "left_anti")
 
 
-def _ranked(found: DataFrame, by: str, name: str) -> DataFrame:
-    """A dense rank from 0 over a whole table without one task: ranges of values first, then places inside a range."""
-    bucket = F.floor(F.col(by) / 1000)
-    counts = found.groupBy(bucket.alias("__b")).agg(F.count("*").alias("__n"))
-    above = counts.withColumn("__above", F.coalesce(F.sum("__n").over(Window.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    inside = F.row_number().over(Window.partitionBy("__b").orderBy(F.desc(by), "address"))
-    return found.withColumn("__b", bucket).join(above, "__b").withColumn(name, F.col("__above") + inside - 1).drop("__b", "__above")
-
-
 def wallets_upsert(spark: SparkSession, d: str) -> DataFrame:
     """A refreshed registry: first_seen of known wallets stays; equity and volume ranks from 0."""
     w = V.wallets(spark, d)
     old = w.where("account_value > 2000").select("address", F.lit(1).alias("first_seen"))
     new = w.withColumn("seen", F.lit(2))
     j = new.join(old, "address", "left").select("address", "account_value", "vlm_week", F.coalesce("first_seen", "seen").alias("first_seen"))
-    return _ranked(_ranked(j, "account_value", "equity_rank"), "vlm_week", "volume_rank")
+    by = lambda c: [F.desc(c), F.col("address")]
+    return ranked(ranked(j, [], by("account_value"), "equity_rank"), [], by("vlm_week"), "volume_rank")
 
 
 def seed_of(w: DataFrame, top_equity: int, top_volume: int) -> DataFrame:
