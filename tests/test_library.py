@@ -170,19 +170,23 @@ def test_clusters_are_scored_in_the_tightest_band(spark):
     assert got["n"].no_map == 1 and got["n"].scored == 0 and got["n"].z is None
 
 
-def test_experts_declare_what_they_read_and_meet_their_baseline(spark):
+def test_opinions_declare_what_they_read_and_meet_their_baseline(spark):
     from tidemark.plans import experts
 
-    with pytest.raises(TypeError, match="undeclared"):
-        type("Odd", (experts.Expert,), {"features": ("nothing",)})
-    assert experts.Kernel().describe() == {"name": "kernel", "features": list(experts.Kernel.features), "lookback": 1, "baseline": "imbalance"}
+    with pytest.raises(LookupError, match="'nothing' is no column.*'nobody'"):
+        experts.register(experts.Opinion("odd", ("nothing",), lambda: F.lit(0.5), beats="nobody"))
+    assert "odd" not in experts.KNOWN and experts.bars_back(experts.KNOWN["kernel"]) == 1 and experts.bars_back(experts.KNOWN["trees"]) == 149
     rows = [("c", f, 10 * f + i, i % 2, 1.0, part, *[float(10 + i)] * 8) for f in (1, 2) for part, k in (("train", 30 if f == 1 else 3), ("test", 4)) for i in range(k)]
     sides = ", ".join(f"{s}{i} double" for s in ("up", "down") for i in range(1, 5))
     folds = spark.createDataFrame(rows, f"coin string, fold int, t_open long, y int, weight double, part string, {sides}")
-    got = {r.expert: r for r in experts.evaluate(folds, [experts.Coin, experts.Kernel]).collect()}
-    assert (got["rate"].n, got["rate"].unfit) == (8, 4)  # three rows are too few to fit on
+    got = {r.expert: r for r in experts.evaluate(folds, ["rate", "kernel"]).collect()}
+    assert (got["rate"].n, got["rate"].unfit, got["rate"].baseline) == (8, 4, "even")  # three rows are too few to fit on
     assert got["rate"].log_loss == got["rate"].base_loss == pytest.approx(0.693147)
     assert got["kernel"].unfit == 0 and got["kernel"].log_loss == pytest.approx(0.693147)
+    own = {"even": experts.KNOWN["even"]}
+    experts.register(experts.Opinion("oracle", (), lambda: F.col("y") * 0.8 + 0.1, beats="even"), own)
+    told = experts.evaluate(folds, ["oracle"], own).first()
+    assert told.log_loss == pytest.approx(0.105361) and told.base_loss == pytest.approx(0.693147) and "oracle" not in experts.KNOWN
 
 
 def test_entry_lives_without_what_the_llm_operators_import(tmp_path):
@@ -233,17 +237,25 @@ def test_a_day_is_closed_once_and_damage_is_found(spark, tmp_path):
 def test_clock_and_cost_expressions(spark):
     from tidemark.functions import expressions as X
 
-    assert X.window_ns("90s") == 90_000_000_000 and X.window_ns(" 1.5H ") == 5_400_000_000_000
-    for bad in ("", "5", "m", "5y"):
+    stretches = {"90s": 90_000_000_000, " 1.5H ": 5_400_000_000_000, "1h30m": 5_400_000_000_000, "2d 0.5s": 172_800_500_000_000}
+    assert {t: X.stretch_ns(t) for t in stretches} == stretches
+    for bad in ("", "5", "m", "5y", "h5", "1h-5m"):
         with pytest.raises(ValueError):
-            X.window_ns(bad)
+            X.stretch_ns(bad)
+        stretches[bad] = None
+    texts = spark.createDataFrame([(t,) for t in stretches], "t string")
+    assert {r.t: r.ns for r in texts.select("t", X.stretch_ns_of(F.col("t")).alias("ns")).collect()} == stretches
+    iso = spark.createDataFrame([("2024-07-31T14:00:00",), ("2024-07-31T14:00:00Z",), ("2024-07-31T16:00:00+02:00",), ("2024-07-31 08:30:00.5-0530",), ("yesterday",), (None,)], "t string")
+    assert [r[0] for r in iso.select(X.iso_ns(F.col("t"))).collect()] == [1722434400000000000] * 3 + [1722434400500000000, None, None]
     ns = spark.createDataFrame([(1704067199999999999,), (1704067200000000000,), (-1,)], "t long")
     got = [tuple(r) for r in ns.select(X.hour_key(F.col("t")), X.day_key(F.col("t")), X.week_key(F.col("t"))).collect()]
     assert got == [("20231231T23", "2023-12-31", "2023-W52"), ("20240101T00", "2024-01-01", "2024-W01"), ("19691231T23", "1969-12-31", "1970-W01")]
     clock = spark.sql("select timestamp_ntz '2024-01-31 14:00:00' as w, timestamp_ntz '2024-07-31 14:00:00' as s")
     assert tuple(clock.select(X.wall_ns(F.col("w")), X.wall_ns(F.col("s"))).first()) == (1706727600000000000, 1722448800000000000)
     move = spark.createDataFrame([(100.0,), (1.0,), (0.0,), (None,)], "m double")
-    assert [r[0] for r in move.select(X.Costs().threshold(F.col("m"))).collect()] == [0.56, 0.99, 1.0, 1.0]
-    assert X.Costs().round_trip == 6.0 and X.Costs(taker=True).round_trip == 12.0
+    assert [r[0] for r in move.select(X.worth_betting(F.col("m"), X.COSTS["maker"])).collect()] == [0.56, 0.99, 1.0, 1.0]
+    hourly = (X.Term("funding", 0.5, 1, True), X.Term("fee", 2.0, 2, False))
+    assert tuple(move.select(X.cost_bps(X.COSTS["maker"]), X.cost_bps(X.COSTS["taker"], 8.0), X.cost_bps(hourly, F.lit(8.0))).first()) == (6.0, 12.0, 8.0)
+    assert X.cost_id(hourly) == X.cost_id(hourly[::-1]) != X.cost_id(hourly[:1]) and X.cost_id(X.COSTS["maker"]) != X.cost_id(X.COSTS["taker"])
     odd = spark.createDataFrame([("<p>a <b>b</b>\n</p>", 1.0, 0.0), (None, None, 2.0)], "h string, x double, y double")
     assert [tuple(r) for r in odd.select(X.without_markup(F.col("h")), X.over(F.col("x"), F.col("y"))).collect()] == [("a b", None), (None, None)]

@@ -24,9 +24,24 @@ def release_times(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bar_costs(spark: SparkSession, d: str) -> DataFrame:
-    """Each bar's move in basis points and the probability that a bet on it must exceed."""
+    """Each bar's move in basis points and, for each way of trading, from which probability a bet on it pays; with the digest of the costs."""
     b = B.bars(V.prints(spark, d)).select("coin", "t_open", F.round(F.abs(F.col("close") / F.col("open") - 1) * 10000, 6).alias("move_bps"))
-    return b.withColumn("threshold", F.round(X.Costs().threshold(F.col("move_bps")), 9))
+    ways = [F.struct(F.lit(way).alias("way"), F.round(X.worth_betting(F.col("move_bps"), terms), 9).alias("threshold"), F.lit(X.cost_id(terms)).alias("cost_id")) for way, terms in X.COSTS.items()]
+    return b.select("coin", "t_open", "move_bps", F.explode(F.array(*ways)).alias("w")).select("coin", "t_open", "move_bps", "w.*")
+
+
+def held_for(spark: SparkSession, d: str) -> DataFrame:
+    """Prints by a written stretch of time (hours and minutes, or seconds, by their size), in nanoseconds; some texts are none."""
+    text = F.when(F.col("k") % 5 == 0, F.concat(F.col("k"), F.lit("s"))).when(F.col("k") % 7 == 0, F.concat(F.lit("k"), F.col("k"))).otherwise(F.concat(F.col("k") % 24, F.lit("h"), F.col("k") % 60, F.lit(".5m")))
+    t = V.tape(spark, d).groupBy("coin", text.alias("text")).agg(F.count("*").alias("n"))
+    return t.select("coin", "text", X.stretch_ns_of(F.col("text")).alias("ns"), "n")
+
+
+def iso_times(spark: SparkSession, d: str) -> DataFrame:
+    """Order dates as ISO texts with an offset by the order, with Z or bare, and their instants."""
+    o = V.table(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), (F.col("o_orderkey") % 5).alias("z"))
+    at = F.concat("day", F.lit("T14:30:00.25"), F.element_at(F.array(*map(F.lit, ("", "Z", "+02:00", "-05:30", "+0900"))), (F.col("z") + 1).cast("int")))
+    return o.groupBy(at.alias("text")).agg(F.count("*").alias("n")).select("text", X.iso_ns(F.col("text")).alias("ns"), "n")
 
 
 def map_scaled(spark: SparkSession, d: str) -> DataFrame:
@@ -53,13 +68,20 @@ def page_plain(spark: SparkSession, d: str) -> DataFrame:
     return V.table(spark, d, "pages").select("page_id", F.length(text).cast("long").alias("n_chars"), F.md5(text).alias("text_md5"))
 
 
-QUERIES = {f.__name__: f for f in (tape_keys, release_times, bar_costs, map_scaled, namespaces, page_plain)}
+QUERIES = {f.__name__: f for f in (tape_keys, release_times, bar_costs, held_for, iso_times, map_scaled, namespaces, page_plain)}
 
 _DAILY = market.SQL["daily_sigma"]
 SQL = {
     "tape_keys": V.with_views("tape") + "SELECT coin, strftime(w, '%Y%m%dT%H') AS hour_key, strftime(w, '%Y-%m-%d') AS day_key, strftime(w, '%G-W%V') AS week_key, count(*) AS n FROM (SELECT coin, make_timestamp(t_ingest // 1000) AS w FROM tape) GROUP BY 1, 2, 3, 4",
     "release_times": "SELECT strftime(day, '%Y-%m-%d') AS day, epoch_us(timezone('America/New_York', day + INTERVAL 14 HOUR)) * 1000 AS release_ns, n FROM (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1)",
-    "bar_costs": market.sql("bars") + "SELECT coin, t_open, move_bps, CASE WHEN move_bps > 0 THEN round(least(0.99::DOUBLE, 0.5::DOUBLE + 2.0::DOUBLE * 6.0::DOUBLE / (2 * move_bps)), 9) ELSE 1.0::DOUBLE END AS threshold FROM (SELECT coin, t_open, round(abs(close / open - 1) * 10000, 6) AS move_bps FROM bars)",
+    "bar_costs": market.sql("bars") + """SELECT coin, t_open, move_bps, way, CASE WHEN move_bps > 0 THEN round(least(0.99::DOUBLE, 0.5::DOUBLE + 2.0::DOUBLE * bps / (2 * move_bps)), 9) ELSE 1.0::DOUBLE END AS threshold, sha256(fee || chr(10) || listed) AS cost_id
+        FROM (SELECT coin, t_open, round(abs(close / open - 1) * 10000, 6) AS move_bps FROM bars), (VALUES ('maker', 6.0::DOUBLE), ('taker', 12.0::DOUBLE)) w(way, bps),
+        (SELECT 'funding' || chr(9) || '0.0' || chr(9) || '1' || chr(9) || 'True' || chr(10) || 'half spread' || chr(9) || '1.0' || chr(9) || '2' || chr(9) || 'False' AS fixed), LATERAL (SELECT CASE way WHEN 'maker' THEN fixed || chr(10) || 'maker fee' || chr(9) || '1.5' || chr(9) || '2' || chr(9) || 'False' ELSE fixed END AS fee,
+        CASE way WHEN 'maker' THEN 'slippage' || chr(9) || '1.0' || chr(9) || '1' || chr(9) || 'False' ELSE 'slippage' || chr(9) || '1.0' || chr(9) || '1' || chr(9) || 'False' || chr(10) || 'taker fee' || chr(9) || '4.5' || chr(9) || '2' || chr(9) || 'False' END AS listed)""",
+    "held_for": V.with_views("tape") + """SELECT coin, text, CASE WHEN k % 5 = 0 THEN CAST(k AS BIGINT) * 1000000000 WHEN k % 7 = 0 THEN NULL ELSE CAST(k % 24 AS BIGINT) * 3600000000000 + CAST(k % 60 AS BIGINT) * 60000000000 + 30000000000 END AS ns, n
+        FROM (SELECT coin, CASE WHEN k % 5 = 0 THEN k || 's' WHEN k % 7 = 0 THEN 'k' || k ELSE (k % 24) || 'h' || (k % 60) || '.5m' END AS text, max(k) AS k, count(*) AS n FROM tape GROUP BY 1, 2)""",
+    "iso_times": """SELECT text, epoch_us(CAST(CASE WHEN text LIKE '%25' THEN text || 'Z' WHEN text LIKE '%+0900' THEN replace(text, '+0900', '+09:00') ELSE text END AS TIMESTAMPTZ)) * 1000 AS ns, n
+        FROM (SELECT strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') || 'T14:30:00.25' || (['', 'Z', '+02:00', '-05:30', '+0900'])[o_orderkey % 5 + 1] AS text, count(*) AS n FROM orders GROUP BY 1)""",
     "map_scaled": market.sql("map_rows", "bars").rstrip() + f""", sig AS (SELECT coin, daily_sigma FROM ({_DAILY[_DAILY.rindex("SELECT coin, count(*) AS closes") :]}))
         SELECT m.coin, m.seq, round(near_up / nullif(daily_sigma, 0), 6) AS near_up_sigma, round(near_down / nullif(daily_sigma, 0), 6) AS near_down_sigma, round(up4 / nullif(day_volume, 0), 9) AS up4_volume, round(down4 / nullif(day_volume, 0), 9) AS down4_volume
         FROM map_rows m JOIN contexts c ON m.coin = c.coin AND m.seq = c.seq LEFT JOIN sig s ON m.coin = s.coin""",

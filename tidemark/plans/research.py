@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +10,7 @@ from tidemark.functions.expressions import whole
 from tidemark.operators import bars as B
 from tidemark.operators.labels import first_touch, uniqueness
 from tidemark.operators.ordered import HOUR, asof
+from tidemark.operators.ranks import ranked
 from tidemark.plans import market
 from tidemark.session import settle
 from tidemark.sources import views as V
@@ -230,12 +229,11 @@ def eval_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def folds_of(rows: DataFrame, splits: int = SPLITS, horizon: int = HORIZON) -> DataFrame:
-    """Purged walk-forward folds by coin: each row's part in each fold.
+    """Purged walk-forward folds by coin: each row's part in each fold, from its rank in time.
 
     Fold bounds are a few rows a coin; every row meets its coin's bounds in an equi join.
     """
-    order = Window.partitionBy("coin").orderBy("t0", "t_open")
-    r = rows.withColumn("i", F.row_number().over(order) - 1)
+    r = settle(ranked(rows, ["coin"], [F.col("t0"), F.col("t_open")], "i"))
     n = r.groupBy("coin").agg(F.count("*").alias("n"))
     folds = n.where(F.col("n") > splits).select("coin", "n", F.floor(F.col("n") / (splits + 1)).alias("block"), F.explode(F.sequence(F.lit(1), F.lit(splits))).alias("fold"))
     folds = folds.select("coin", "fold", (F.col("fold") * F.col("block")).alias("lo"), F.when(F.col("fold") == splits, F.col("n")).otherwise((F.col("fold") + 1) * F.col("block")).alias("hi"))
@@ -311,32 +309,7 @@ def placebo(spark: SparkSession, d: str, reps: int = REPS) -> DataFrame:
     return told.select("coin", "real_z", F.size("zs").alias("reps"), p.alias("p_value"), F.round(F.aggregate("zs", F.lit(0.0), lambda acc, v: acc + v) / F.size("zs"), 4).alias("mean_z"), F.element_at("zs", -1).alias("max_z"), (p <= ALPHA).alias("collapses"))
 
 
-def decide(spark: SparkSession, d: str) -> DataFrame:
-    """The gate over a grid of cells: enough wins, a majority for the kernel, all wins collapsed under the placebo."""
-    t = V.tape(spark, d).select("coin", (F.col("seq") % 3).alias("horizon"), (F.col("seq") % 6).alias("k"), "seq")
-    cells = t.groupBy("coin", "horizon", "k").agg((F.sum("seq") % 100).alias("h"))
-    c = cells.select("coin", "horizon", "k", ((F.col("h") - 30) / 20).alias("z"), ((F.col("h") % 20) / 1000).alias("p"), (F.col("h") % 2 == 0).alias("alpha"))
-    win = F.col("z") >= 2
-    n = lambda e: F.coalesce(F.sum(e.cast("int")), F.lit(0))
-    s = c.agg(F.count("*").alias("cells"), n(win).alias("wins"), n(win & F.col("alpha")).alias("alpha_wins"), n(win & (F.col("p") <= 0.01)).alias("collapsed"))
-    return s.withColumn("passed", (F.col("wins") * 18 >= F.col("cells") * 12) & (F.col("alpha_wins") * 2 > F.col("wins")) & (F.col("collapsed") == F.col("wins")))
-
-
-def gbt_expert(spark: SparkSession, d: str) -> DataFrame:
-    """Boosted trees on the frame's columns: missing values get an indicator and a constant outside the range.
-
-    Trained on the first two thirds of the labelled rows by time, scored on the rest.
-    """
-    names = ["ret", "range", "sigma", "sigma_regime", "premium", "premium_z", "oi_z", "imbalance", "up4", "down4", "tau", "liq_flow"]
-    x = scored_of(spark, d).select("coin", "t_open", "t0", "y", "weight").join(frame_of(spark, d).select("coin", "t_open", *names), ["coin", "t_open"])
-    values = [c for n in names for c in (F.coalesce(F.col(n).cast("double"), F.lit(-1e6)), F.col(n).isNull().cast("double"))]
-    x = x.select("coin", "t_open", "t0", F.col("y").cast("double").alias("label"), "weight", array_to_vector(F.array(*values)).alias("features")).persist()
-    split = x.approxQuantile("t0", [0.67], 0.001)[0]
-    model = GBTClassifier(maxDepth=3, maxIter=10, stepSize=0.1, minInstancesPerNode=40, subsamplingRate=0.8, seed=0, weightCol="weight").fit(x.where(F.col("t0") + HORIZON < split))
-    return model.transform(x.where(F.col("t0") >= split)).select("coin", "t_open", F.col("label").cast("int").alias("y"), vector_to_array("probability")[1].alias("p"))
-
-
-QUERIES = {f.__name__: f for f in (frame, frame_rebuild, frame_stats, spec_lookback, ablation_cols, triple_barrier, race, fade, uniqueness_weights, sample_weights, label_stats, labelled, alpha_score, baseline_score, eval_metrics, wfo, wfo_coverage, walk_forward, isotonic, permute, placebo, decide, gbt_expert)}
+QUERIES = {f.__name__: f for f in (frame, frame_rebuild, frame_stats, spec_lookback, ablation_cols, triple_barrier, race, fade, uniqueness_weights, sample_weights, label_stats, labelled, alpha_score, baseline_score, eval_metrics, wfo, wfo_coverage, walk_forward, isotonic, permute, placebo)}
 
 _W1 = [1 / x for x in DISTANCES]
 _UPK = " + ".join(f"{m} * {k!r}::DOUBLE" for m, k in zip(_SHELL[:4], _W1, strict=True))
@@ -392,6 +365,4 @@ SQL = {
         zs AS (SELECT coin, rep, CASE WHEN round(sd2 / sw - (sd / sw) * (sd / sw), 12) > 0 THEN round((sd / sw) / sqrt(round(sd2 / sw - (sd / sw) * (sd / sw), 12) / (sw * sw / sw2)), 4) ELSE 0.0 END AS z FROM (SELECT coin, rep, sum(w) AS sw, sum(w * w) AS sw2, sum(w * dl) AS sd, sum(w * dl * dl) AS sd2 FROM lost GROUP BY 1, 2))
         SELECT f.coin, max(r.z) AS real_z, CAST(count(*) AS INT) AS reps, round((count(*) FILTER (f.z >= r.z) + 1) / (count(*) + 1)::DOUBLE, 6) AS p_value, round(avg(f.z), 4) AS mean_z, max(f.z) AS max_z, round((count(*) FILTER (f.z >= r.z) + 1) / (count(*) + 1)::DOUBLE, 6) <= {ALPHA} AS collapses
         FROM zs f JOIN zs r ON f.coin = r.coin AND r.rep = 0 WHERE f.rep > 0 GROUP BY 1""",
-    "decide": sql("tape") + """SELECT cells, wins, alpha_wins, collapsed, wins * 18 >= cells * 12 AND alpha_wins * 2 > wins AND collapsed = wins AS passed FROM (SELECT count(*) AS cells, count(*) FILTER (z >= 2) AS wins, count(*) FILTER (z >= 2 AND alpha) AS alpha_wins, count(*) FILTER (z >= 2 AND p <= 0.01) AS collapsed
-        FROM (SELECT (h - 30) / 20::DOUBLE AS z, (h % 20) / 1000::DOUBLE AS p, h % 2 = 0 AS alpha FROM (SELECT coin, seq % 3 AS horizon, seq % 6 AS k, sum(seq) % 100 AS h FROM tape GROUP BY 1, 2, 3)))""",
 }
