@@ -10,17 +10,19 @@ Two documents link when their sets of 5-word shingles have a Jaccard similarity
    in rare cells first. Any order gives the same links; this one keeps what many
    documents share, such as passages or boilerplate, out of step 2.
 2. Sets of n tokens that link share one of their first n - ceil(0.8 n) + 1 tokens in
-   that order (the prefix). Each prefix token has a head, the least class that has it,
-   and a class's leader is the head with which it shares most of them. Classes with
-   one leader form a group, together with the leader; groups above `GROUP` are dealt
-   into several, each with the leader. So documents of a group are alike, and no
+   that order (the prefix), and the smaller set has it among its first n - ceil(0.89 n)
+   + 1, which a class posts. Each posted token has a head, the least class that posts it,
+   and a class's leader is the head with which it shares most of what it posts. Classes
+   with one leader form a group, together with the leader; groups above `GROUP` are
+   dealt into several, each with the leader. So documents of a group are alike, and no
    group grows with the data.
 3. A group is a row of the matrix: the union of its members' tokens, with the places of
    each member's. Its members are linked among themselves, the leader first, those
    already in one component no more; what that gives is contracted.
 4. Other links lie between components that share a prefix token. From all but the
    largest component of such a token, each class is a query against the token's
-   groups of larger components (by size, then id), as far as sizes admit.
+   groups of larger components (by size, then id), as far as sizes and the token's place
+   in both sets admit.
 5. A query is counted against the group's union. That bounds its overlap with any
    member, so only groups whose bound reaches 0.8 of the query are opened, and its
    overlap with each member of a fitting size is counted exactly by the members' places.
@@ -44,7 +46,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, raw_texts, small, words
@@ -54,7 +56,7 @@ SHINGLE = 5
 #: Sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Cells of the table that orders tokens; 4 bytes each are broadcast.
-CELLS = 1 << 20
+CELLS = 1 << 21
 #: Members of a group, and queries of one group in a task.
 GROUP = 64
 QUERIES = 4096
@@ -93,18 +95,29 @@ def prefix_size(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
 
+def _index_size(n: Column | str) -> Column:
+    """How many of n tokens a set must post so that every link with a set of its size or more shows in them."""
+    n = F.col(n) if isinstance(n, str) else n
+    return n - F.ceil(2 * PERCENT * n / (100 + PERCENT)) + 1
+
+
+def _overlap(n: Column, m: Column) -> Column:
+    """The overlap that sets of n and m tokens need to link."""
+    return F.ceil(PERCENT * (n + m) / (100 + PERCENT))
+
+
 def _cells(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
 
 
 def _packed(counts: np.ndarray) -> bytes:
     """Counts as compressed planes of bytes: most are small."""
-    return zlib.compress(counts.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+    return zlib.compress(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.int64)
+    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
 def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -181,17 +194,6 @@ def _prefixes(slim: DataFrame, order) -> DataFrame:
     return slim.mapInArrow(run, "id long, n long, tokens array<long>")
 
 
-def _sets(slim: DataFrame) -> DataFrame:
-    """``(id, set)``: every document's tokens, ascending, as bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = [shingle_set(words(t)).tobytes() for t in raw_texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], ["id", "set"])
-
-    return slim.mapInArrow(run, "id long, set binary")
-
-
 class TokenGroup:
     """A row of the token-group matrix: the union of some sets, and where in it each set's tokens lie."""
 
@@ -237,8 +239,11 @@ class TokenGroup:
         return out
 
 
-def _as_set(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, np.uint64)
+def _rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The rows of a batch whose last column is a text, which is given as its set."""
+    *columns, texts = batch.columns
+    for *row, raw in zip(*(c.to_pylist() for c in columns), raw_texts(texts), strict=True):
+        yield *row, shingle_set(words(raw))
 
 
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -246,96 +251,117 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _inner(rows: DataFrame) -> DataFrame:
-    """Links within groups, from ``(grp, role, id, set)`` sorted by group with the leader first."""
+    """Links within groups, from ``(grp, role, id, text)`` sorted by group with the leader first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grp, ids, sets = None, [], []
         for batch in batches:
             found: list[tuple[int, int]] = []
-            for one, doc_id, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for one, doc_id, tokens in _rows_of(batch):
                 if one != grp:
                     if len(ids) > 1:
                         found += TokenGroup(ids, ids, sets).inner_links()
                     grp, ids, sets = one, [], []
-                ids.append(doc_id), sets.append(_as_set(raw))
+                ids.append(doc_id), sets.append(tokens)
             if found:
                 yield _pairs(found)
         if len(ids) > 1:
             yield _pairs(TokenGroup(ids, ids, sets).inner_links())
 
-    return rows.select("grp", "id", "set").mapInArrow(run, "a long, b long")
+    return rows.select("grp", "id", "text").mapInArrow(run, "a long, b long")
 
 
 def _across(rows: DataFrame) -> DataFrame:
-    """Links of queries with members of other components, from ``(shard, role, id, comp, set)``: a shard's members (role 0), then its queries."""
+    """Links of queries with members of other components, from ``(shard, role, id, comp, text)``: a shard's members (role 0), then its queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held, group = None, [], None
         for batch in batches:
             found: list[tuple[int, int]] = []
-            for one, role, doc_id, comp, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for one, role, doc_id, comp, tokens in _rows_of(batch):
                 if one != shard:
                     shard, held, group = one, [], None
                 if role == 0:
-                    held.append((doc_id, comp, _as_set(raw)))
+                    held.append((doc_id, comp, tokens))
                     continue
                 if group is None:
                     group = TokenGroup(*map(list, zip(*held, strict=True)))
-                hit = group.similar(_as_set(raw)) & (group.comps != comp)
+                hit = group.similar(tokens) & (group.comps != comp)
                 for k in np.unique(group.comps[hit], return_index=True)[1].tolist():  # one link for each component
                     found.append((doc_id, int(group.ids[hit][k])))
             if found:
                 yield _pairs(found)
 
-    return rows.select("shard", "role", "id", "comp", "set").mapInArrow(run, "a long, b long")
+    return rows.select("shard", "role", "id", "comp", "text").mapInArrow(run, "a long, b long")
+
 
+def _led(tokens: DataFrame) -> DataFrame:
+    """``(token, id, n, i, head)``: prefix tokens that several classes have and one posts, with the least class that posts them.
 
-def _led(heads: DataFrame, tokens: DataFrame) -> DataFrame:
-    """``tokens (token, id, n)`` that several classes have, with the head; hot tokens meet theirs by a broadcast."""
-    hot = heads.where(F.col("c") > HOT).select("token", F.col("head").alias("hot_head"))
-    rows = tokens.join(small(hot), "token", "left")
+    Hot tokens meet their heads by a broadcast.
+    """
+    posts = F.col("i") < _index_size("n")
+    heads = cut(tokens.groupBy("token").agg(F.min(F.when(posts, F.col("id"))).alias("head"), F.count("*").alias("c")).where("c > 1 and head is not null"))
+    rows = tokens.join(small(heads.where(F.col("c") > HOT).select("token", F.col("head").alias("hot_head"))), "token", "left")
     cold = rows.where("hot_head is null").drop("hot_head").join(heads.where(F.col("c") <= HOT).select("token", "head"), "token")
-    return cold.unionByName(rows.where("hot_head is not null").select("token", "id", "n", F.col("hot_head").alias("head")))
+    return cold.unionByName(rows.where("hot_head is not null").select("token", "id", "n", "i", F.col("hot_head").alias("head")))
 
 
 def _groups(matched: DataFrame) -> DataFrame:
-    """``(grp, leader, id, n)`` of every class with a shared token: its group by its leader, dealt if there are many."""
-    shares = matched.groupBy("id", "head").agg(F.count("*").alias("c"), F.first("n").alias("n"))
-    best = F.struct(F.when(F.col("id") != F.col("head"), F.col("c")).otherwise(0).alias("c"), (-F.col("head")).alias("h"))
-    led = cut(shares.groupBy("id").agg((-F.max(best)["h"]).alias("leader"), F.first("n").alias("n")))
+    """``(grp, leader, id, n)`` of every class with a shared token: its group by its leader, dealt if there are many.
+
+    A leader shares a token that the class posts; without one a class leads itself.
+    """
+    shares = matched.groupBy("id", "head").agg(F.sum((F.col("i") < _index_size("n")).cast("int")).alias("c"), F.first("n").alias("n"))
+    alike = (F.col("id") != F.col("head")) & (F.col("c") > 0)
+    best = F.max(F.when(alike, F.struct("c", (-F.col("head")).alias("h"))))
+    led = cut(shares.groupBy("id").agg(F.coalesce(-best["h"], F.col("id")).alias("leader"), F.first("n").alias("n")))
     many = led.where("id <> leader").groupBy("leader").agg(F.count("*").alias("m"))
     deal = F.pmod(F.xxhash64("id"), F.ceil(F.coalesce("m", F.lit(1)) / (GROUP // 2)))  # half full on average
     return led.join(many, "leader", "left").select(F.struct("leader", deal.alias("k")).alias("grp"), "leader", "id", "n")
 
 
-def _inner_rows(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """Members and leaders of groups with two sets or more."""
+def _met(rows: DataFrame, texts: DataFrame, at: str) -> DataFrame:
+    """Texts brought to where they are compared: there they are made sets again, which take more room on the way than texts do."""
+    return texts.join(small(rows, BROADCAST_IDS), "id").repartition(at).sortWithinPartitions(at, "role", "id")
+
+
+def _inner_rows(groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """Members and leaders of groups with two texts or more."""
     others = groups.where("id <> leader")
     rows = others.select("grp", "id", F.lit(1).alias("role")).unionByName(others.select("grp", F.col("leader").alias("id"), F.lit(0).alias("role")).distinct())
-    return rows.join(sets, "id").repartition("grp").sortWithinPartitions("grp", "role", "id")
+    return _met(cut(rows), texts, "grp")
 
 
 def _asked(matched: DataFrame, members: DataFrame) -> DataFrame:
-    """``(grp, id)``: which classes are to be asked against which groups of other components."""
-    rows = matched.select("token", "id", "n").join(members.select("id", "grp", "comp", "size"), "id")
+    """``(grp, id)``: which classes are to be asked against which groups of other components.
+
+    The first common token of two sets, in the order of tokens, lies before place
+    n - overlap + 1 of each; so only tokens that do, given what a group's sizes admit, bring
+    a class to a group.
+    """
+    rows = matched.select("token", "id", "n", "i").join(members.select("id", "grp", "comp", "size"), "id")
     rank = F.struct("size", "comp")
     tops = rows.groupBy("token").agg(F.max(rank).alias("top"), F.min(rank).alias("low")).where(F.col("top") != F.col("low")).select("token", "top")
     live = cut(rows.join(tops, "token"))
-    asking = live.where(F.struct("size", "comp") != F.col("top")).select("token", "id", "n", "size", "comp")
-    held = live.groupBy("token", F.col("grp"), F.col("comp").alias("g_comp"), F.col("size").alias("g_size")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    asking = live.where(F.struct("size", "comp") != F.col("top")).select("token", "id", "n", "i", "size", "comp")
+    held = live.groupBy("token", F.col("grp"), F.col("comp").alias("g_comp"), F.col("size").alias("g_size")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("i")).alias("rest"))
     up = F.struct(F.col("g_size"), F.col("g_comp")) > F.struct("size", "comp")
     fit = (100 * F.col("hi") >= PERCENT * F.col("n")) & (PERCENT * F.col("lo") <= 100 * F.col("n"))
-    return asking.join(held, "token").where(up & fit).select("grp", "id").distinct()
+    least = F.greatest(F.col("lo"), F.ceil(PERCENT * F.col("n") / 100))  # the least size of a member that may link
+    need = _overlap(F.col("n"), least)
+    early = (F.col("n") - F.col("i") >= need) & (F.col("rest") >= need)
+    return asking.join(held, "token").where(up & fit & early).select("grp", "id").distinct()
 
 
-def _across_rows(asked: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+def _across_rows(asked: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
     """Groups with their queries, those of one group dealt over shards that each hold the group."""
     counts = asked.groupBy("grp").agg(F.count("*").alias("c"))
     deal = counts.select("grp", F.ceil(F.col("c") / QUERIES).cast("int").alias("shards"))
     queries = asked.join(deal, "grp").select(F.struct("grp", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int").alias("k")).alias("shard"), F.lit(1).alias("role"), "id")
     rows = members.select("grp", "id").join(deal, "grp").select("id", "grp", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("k"))
-    both = rows.select(F.struct("grp", "k").alias("shard"), F.lit(0).alias("role"), "id").unionByName(queries).join(members.select("id", "comp"), "id").join(sets, "id")
-    return both.repartition("shard").sortWithinPartitions("shard", "role", "id")
+    both = rows.select(F.struct("grp", "k").alias("shard"), F.lit(0).alias("role"), "id").unionByName(queries).join(members.select("id", "comp"), "id")
+    return _met(cut(both), texts, "shard")
 
 
 def _repeated(named: DataFrame, reps: DataFrame) -> DataFrame:
@@ -362,19 +388,17 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whole = slim.where("id is not null")
     first = whole.join(small(copies, BROADCAST_IDS), "id", "left_anti")
     prefixes = cut(_prefixes(first, order))
-    tokens = prefixes.select("id", "n", F.explode("tokens").alias("token")).select("token", "id", "n")
-    heads = tokens.groupBy("token").agg(F.min("id").alias("head"), F.count("*").alias("c")).where("c > 1")
-    matched = cut(_led(cut(heads), tokens))
+    tokens = prefixes.select("id", F.col("n").cast("int").alias("n"), F.posexplode("tokens").alias("i", "token"))
+    matched = cut(_led(tokens))
 
     groups = cut(_groups(matched))
-    sets = cut(_sets(first.join(small(groups.select("id").distinct(), BROADCAST_IDS), "id", "left_semi")))
-    links = cut(_inner(_inner_rows(groups, sets)).unionByName(_repeated(named, reps)))
+    links = cut(_inner(_inner_rows(groups, first)).unionByName(_repeated(named, reps)))
     joined = cut(components(links))
 
     members = groups.join(joined, groups.id == joined.node, "left").select("grp", "id", "n", F.coalesce("component", "id").alias("comp"))
     members = cut(members.join(members.groupBy("comp").agg(F.count("*").alias("size")), "comp"))
     asked = cut(_asked(matched, members))
-    more = cut(_across(_across_rows(asked, members, sets)))
+    more = cut(_across(_across_rows(asked, members, first)))
     final = components(links.unionByName(more)) if more.limit(1).count() else joined
 
     named = named.join(final, named.rep == final.node, "left").select("id", "n", F.coalesce("component", "rep").alias("component_id"))
