@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import boosting
-from tidemark.plans import research
+from tidemark.plans import cells, research
 from tidemark.sources import views as V
 
 
@@ -58,7 +58,7 @@ def boosted(name: str, reads: tuple[str, ...], settings: boosting.Settings = boo
     """Boosted trees over some columns; ``fit`` may be anything that gives ``(coin, fold, base, trees)``."""
 
     def learn(train: DataFrame) -> DataFrame:
-        rows = train.withColumn("key", F.xxhash64("coin", "t_open"))
+        rows = train if "key" in train.columns else train.withColumn("key", F.xxhash64("coin", "t_open"))
         return fit(rows, ["coin", "fold"], list(reads), settings)
 
     return Opinion(name, reads, lambda: boosting.score(list(reads)), learn, boosting.REFUSED_BELOW, beats)
@@ -121,13 +121,19 @@ def expert_compare(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gbt_expert(spark: SparkSession, d: str) -> DataFrame:
-    """Boosted trees on the frame's columns: every test row's score by the trees of its fold, null where the fold was refused."""
+    """Boosted trees on the frame's columns: every test row's score by the trees of its fold, null where the fold was refused.
+
+    The folds hold the rows of all coins, labelled at four hours and one sigma.
+    """
     with V.one_tape(spark, d):
-        rows = research.scored_of(spark, d)
+        rows = cells.labelled_cells(spark, d).where("horizon = 4 and k = 1.0").drop("horizon", "k")
         frame = research.frame_of(spark, d)
         more = [c for c in TREE_READS if c not in rows.columns]
-        folds = research.settle(research.folds_of(rows.join(frame.select("coin", "t_open", *more), ["coin", "t_open"])))
-    return scored(KNOWN["trees"], folds, "p").select("coin", "fold", "t_open", "y", F.round("p", 9).alias("p"))
+        rows = rows.join(frame.select("coin", "t_open", *more), ["coin", "t_open"]).withColumn("key", F.xxhash64("coin", "t_open"))
+        folds = research.settle(research.folds_of(rows.withColumnsRenamed({"coin": "market"}).withColumn("coin", F.lit("all"))))
+    trees = KNOWN["trees"]
+    test = folds.where("part = 'test'").join(trees.learn(folds.where("part = 'train'")), ["coin", "fold"], "left")
+    return test.select(F.col("market").alias("coin"), "fold", "t_open", "y", F.round(trees.score(), 9).alias("p"))
 
 
 QUERIES = {f.__name__: f for f in (expert_compare, gbt_expert)}

@@ -297,12 +297,16 @@ def accrual(spark: SparkSession, d: str) -> DataFrame:
 
 
 def band_null(spark: SparkSession, d: str, reps: int = 1000) -> DataFrame:
+    return null_of(matched(spark, d), reps)
+
+
+def null_of(found: DataFrame, reps: int = 1000) -> DataFrame:
     """Hits of the tightest band against maps whose eight stored band masses are shuffled, once for each snapshot and replication.
 
     The permutation is the order of a hash, so other engines reproduce it.
     Only (snapshot, slot, mass) is multiplied by the replications, whose number is a parameter.
     """
-    m = matched(spark, d).where(_status() == "scored").withColumn("slot", F.when(F.col("dist") >= 0, _slot()).otherwise(_slot() + 4))
+    m = settle(found.where(_status() == "scored").withColumn("slot", F.when(F.col("dist") >= 0, _slot()).otherwise(_slot() + 4)))
     hits = m.groupBy("coin", "map_seq", "slot").agg(F.count("*").alias("events"))
     snaps = m.select("coin", "map_seq", F.array(*_SIDES).alias("masses")).distinct()
     slots = snaps.select("coin", "map_seq", F.posexplode("masses").alias("from_slot", "mass"))
@@ -312,7 +316,8 @@ def band_null(spark: SparkSession, d: str, reps: int = 1000) -> DataFrame:
     per = moved.join(hits, ["coin", "map_seq", "slot"]).groupBy("coin", "rep").agg(F.sum(F.when(F.col("mass") > 0, F.col("events")).otherwise(0)).alias("hits"))
     real = slots.withColumnRenamed("from_slot", "slot").join(hits, ["coin", "map_seq", "slot"]).groupBy("coin").agg(F.sum(F.when(F.col("mass") > 0, F.col("events")).otherwise(0)).alias("observed"))
     null = per.groupBy("coin").agg(F.round(F.avg("hits"), 6).alias("null_mean"), F.round(F.stddev_pop("hits"), 6).alias("null_sd"))
-    return real.join(null, "coin").withColumn("informative", F.col("null_sd") > 0)
+    told = real.join(null, "coin").withColumn("informative", F.col("null_sd") > 0)
+    return told.withColumn("z", F.when(F.col("informative"), F.round((F.col("observed") - F.col("null_mean")) / F.col("null_sd"), 4)))
 
 
 QUERIES = {f.__name__: f for f in (liq_price, liqmap_buckets, liqmap_bands, map_snapshot, map_history, nearest, sparse, map_visible, wide_map, map_epoch, derive_fidelity, liq_dedupe, liq_method, liq_append, liq_minutes, liq_recent, scan_stats, score_positions, population, cluster_score, cluster_score_cadence, accrual, band_null)}
@@ -368,5 +373,5 @@ SQL = {
         moved AS (SELECT *, row_number() OVER (PARTITION BY rep, map_seq ORDER BY md5('7-' || rep || '-' || map_seq || '-' || from_slot)) - 1 AS slot FROM slots, generate_series(0, 999) r(rep)),
         per AS (SELECT m.coin, rep, sum(CASE WHEN mass > 0 THEN events ELSE 0 END) AS hits FROM moved m JOIN hit h ON m.coin = h.coin AND m.map_seq = h.map_seq AND m.slot = h.slot GROUP BY 1, 2),
         real AS (SELECT s.coin, CAST(sum(CASE WHEN mass > 0 THEN events ELSE 0 END) AS BIGINT) AS observed FROM slots s JOIN hit h ON s.coin = h.coin AND s.map_seq = h.map_seq AND s.from_slot = h.slot GROUP BY 1)
-        SELECT r.coin, observed, round(avg(hits), 6) AS null_mean, round(stddev_pop(hits), 6) AS null_sd, round(stddev_pop(hits), 6) > 0 AS informative FROM real r JOIN per p ON r.coin = p.coin GROUP BY 1, 2""",
+        SELECT r.coin, observed, round(avg(hits), 6) AS null_mean, round(stddev_pop(hits), 6) AS null_sd, round(stddev_pop(hits), 6) > 0 AS informative, CASE WHEN round(stddev_pop(hits), 6) > 0 THEN round((observed - round(avg(hits), 6)) / round(stddev_pop(hits), 6), 4) END AS z FROM real r JOIN per p ON r.coin = p.coin GROUP BY 1, 2""",
 }
