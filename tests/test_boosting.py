@@ -72,10 +72,11 @@ def table(spark):
     return groups, df
 
 
-@pytest.mark.parametrize("partitions", [1, 4])
-def test_trees_equal_those_grown_node_by_node(spark, table, monkeypatch, partitions):
+@pytest.mark.parametrize(("partitions", "task_rows"), [(1, 500), (4, 90), (4, 20_000)])
+def test_trees_equal_those_grown_node_by_node(spark, table, monkeypatch, partitions, task_rows):
     groups, df = table
     monkeypatch.setattr(op, "KEEP", 2)
+    monkeypatch.setattr(op, "TASK_ROWS", task_rows)  # one model in a task and one in many, both in many, both in tasks
     settings = op.Settings(trees=3, bins=6, least_rows=20, rate=0.3, seed=partitions)
     spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
     try:

@@ -1,11 +1,12 @@
 """Gradient-boosted trees by histograms, all models of a table grown at once.
 
-A table holds the training rows of many models (one for each coin and fold, say). A
-level of a tree is one job for all of them: each task sums first and second
-derivatives and row counts by (model, node, feature, bin) over the rows it holds, the
-sums meet by (model, node), and a node's best split is all that leaves. Rows are
-ranged by (model, key), so a large model lies in many tasks and a task holds the
-histograms of one model at a time.
+A table holds the training rows of many models (one for each coin and fold, say). Models
+of more than `TASK_ROWS` rows are grown together, a level of a tree being one job for all
+of them: each task sums first and second derivatives and row counts by (model, node,
+feature, bin) over the rows it holds, the sums meet by (model, node), and a node's best
+split is all that leaves. Rows are ranged by (model, key), so a large model lies in many
+tasks and a task holds the histograms of one model at a time. Smaller models are dealt
+to tasks whole and grown there, by the same sums and with equal trees, all in one job.
 
 * Values are binned by quantiles of their model's training rows; bin 0 is for missing
   values, which go to the side that gains more.
@@ -39,6 +40,8 @@ from tidemark.session import settle
 REFUSED_BELOW = 200
 #: Trees after which margins are written, and models grown at a time.
 KEEP, MODELS = 25, 2_000
+#: A model of at most so many rows is grown in one task.
+TASK_ROWS = 20_000
 DEPTH = 3
 NODES, LEAVES = 2**DEPTH - 1, 2**DEPTH
 _UNIT = float(1 << 30)
@@ -149,7 +152,77 @@ def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple]:
             yield int(model[a]), key[a:b], y[a:b], weight[a:b], margin[a:b], bins[a:b]
 
 
-def _level(data: DataFrame, grown, tree: int, level: int, width: int, settings: Settings) -> list:
+def _sums(bins: np.ndarray, node: np.ndarray, g: np.ndarray, h: np.ndarray, shape: tuple[int, int, int]) -> np.ndarray:
+    """Sums of (g, h, 1) by node, feature and bin."""
+    nodes, width, places = shape
+    table = np.zeros((nodes, width, places, 3), np.int64)
+    for f in range(width):
+        place = node * places + bins[:, f]
+        for k, v in enumerate((g, h, 1)):
+            flat = np.zeros(nodes * places, np.int64)
+            np.add.at(flat, place, v)
+            table[:, f, :, k] = flat.reshape(nodes, places)
+    return table
+
+
+def _placed(tree: Tree, level: int, k: int, split: tuple) -> None:
+    """Write the split of a level's k-th node into its tree."""
+    feature, cut, missing_left, left, right = split
+    node = 2**level - 1 + k
+    if feature >= 0:
+        tree.feature[node], tree.bin[node], tree.missing_left[node] = feature, cut, missing_left
+    if level == DEPTH - 1:
+        tree.leaf[2 * k : 2 * k + 2] = left, right
+
+
+def _grown_here(key: np.ndarray, y: np.ndarray, weight: np.ndarray, margin: np.ndarray, bins: np.ndarray, settings: Settings) -> list[Tree]:
+    """All trees of one model whose rows are at hand."""
+    trees, width = [], bins.shape[1]
+    for t in range(settings.trees):
+        tree, seen, features = Tree(), picked_rows(key, t, settings), picked_features(width, t, settings)
+        own = bins[seen]
+        g, h = derivatives(margin[seen], y[seen], weight[seen])
+        for level in range(DEPTH):
+            table = _sums(own, tree.nodes(own, level) - (2**level - 1), g, h, (2**level, width, settings.bins + 1))
+            for k in range(2**level):
+                if table[k, 0, :, 2].any():
+                    _placed(tree, level, k, best_split(table[k], features, settings))
+        margin = margin + tree.values(bins)
+        trees.append(tree)
+    return trees
+
+
+def _small_grown(data: DataFrame, width: int, settings: Settings) -> dict[int, list[Tree]]:
+    """All trees of models of at most `TASK_ROWS` rows, each grown in the task that its rows are dealt to: one job."""
+    names, kinds = ["model", "feature", "bin", "missing_left", "leaf"], [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.float64())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def told() -> pa.RecordBatch:
+            trees = _grown_here(*map(np.concatenate, zip(*held, strict=True)), settings)
+            rows = [(at, t.feature.tolist(), t.bin.tolist(), t.missing_left.tolist(), t.leaf.tolist()) for t in trees]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+        for model, *part in _runs(batches, width):
+            if model != at and held:
+                yield told()
+                held = []
+            at = model
+            held.append(part)
+        if held:
+            yield told()
+
+    dealt = data.repartition("model").sortWithinPartitions("model", "key")
+    out: dict[int, list[Tree]] = {}
+    for r in dealt.mapInArrow(run, "model long, feature array<long>, bin array<long>, missing_left array<boolean>, leaf array<double>").collect():
+        tree = Tree()
+        tree.feature[:], tree.bin[:], tree.missing_left[:], tree.leaf[:] = r.feature, r.bin, r.missing_left, r.leaf
+        out.setdefault(r.model, []).append(tree)
+    return out
+
+
+def _level(data: DataFrame, grown, tree: int, level: int, width: int, tasks: int, settings: Settings) -> list:
     """The best split of every node of a level, of all models: one job."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,13 +242,7 @@ def _level(data: DataFrame, grown, tree: int, level: int, width: int, settings:
                 margin = margin + done.values(bins)
             seen = picked_rows(key, tree, settings)
             node = trees[model][-1].nodes(bins[seen], level) - first
-            g, h = derivatives(margin[seen], y[seen], weight[seen])
-            for f in range(width):
-                place = node * shape[2] + bins[seen, f]
-                for k, v in enumerate((g, h, np.ones(len(g), np.int64))):
-                    flat = np.zeros(shape[0] * shape[2], np.int64)
-                    np.add.at(flat, place, v)
-                    table[:, f, :, k] += flat.reshape(shape[0], shape[2])
+            table += _sums(bins[seen], node, *derivatives(margin[seen], y[seen], weight[seen]), shape)
         if at is not None:
             yield told()
 
@@ -198,7 +265,7 @@ def _level(data: DataFrame, grown, tree: int, level: int, width: int, settings:
         if at is not None:
             yield _record([(*at, *best_split(total, features, settings))], kinds, names)
 
-    parts = data.mapInArrow(sums, "model long, node int, sums binary").repartition("model", "node").sortWithinPartitions("model", "node")
+    parts = data.mapInArrow(sums, "model long, node int, sums binary").repartition(tasks, "model", "node").sortWithinPartitions("model", "node")
     return parts.mapInArrow(splits, "model long, node int, feature int, bin int, missing_left boolean, left double, right double").collect()
 
 
@@ -221,7 +288,7 @@ def _with_margins(data: DataFrame, grown, width: int) -> DataFrame:
     return data.mapInArrow(run, data.schema)
 
 
-def _grown(data: DataFrame, models: list[int], width: int, settings: Settings) -> dict[int, list[Tree]]:
+def _grown(data: DataFrame, models: list[int], width: int, tasks: int, settings: Settings) -> dict[int, list[Tree]]:
     """All trees of the models of ``data``."""
     sc = data.sparkSession.sparkContext
     out: dict[int, list[Tree]] = {m: [] for m in models}
@@ -232,13 +299,8 @@ def _grown(data: DataFrame, models: list[int], width: int, settings: Settings) -
         fresh += 1
         for level in range(DEPTH):
             grown = sc.broadcast({m: trees[len(trees) - fresh :] for m, trees in out.items()})
-            first = 2**level - 1
-            for r in _level(data, grown, tree, level, width, settings):
-                t, node = out[r.model][-1], first + r.node
-                if r.feature >= 0:
-                    t.feature[node], t.bin[node], t.missing_left[node] = r.feature, r.bin, r.missing_left
-                if level == DEPTH - 1:
-                    t.leaf[2 * r.node : 2 * r.node + 2] = r.left, r.right
+            for r in _level(data, grown, tree, level, width, tasks, settings):
+                _placed(out[r.model][-1], level, r.node, (r.feature, r.bin, r.missing_left, r.left, r.right))
             grown.unpersist()
         if fresh == KEEP and tree + 1 < settings.trees:
             grown = sc.broadcast({m: trees[-fresh:] for m, trees in out.items()})
@@ -261,16 +323,21 @@ def fit(train: DataFrame, by: list[str], features: list[str], settings: Settings
     base = F.log(F.col("up") / (F.col("w") - F.col("up")))
     edges = edges_of(rows.join(told.select("model"), "model", "left_semi"), features, settings.bins)
     parts = max(1, -(-told.count() // (MODELS // 2)))
-    made = settle(told.join(edges, "model").select("model", *by, base.alias("base"), "edges", F.pmod("model", F.lit(parts)).alias("part")))
+    made = settle(told.join(edges, "model").select("model", *by, base.alias("base"), "n", "edges", F.pmod("model", F.lit(parts)).alias("part")))
     found = None
     for part in [r.part for r in made.select("part").distinct().orderBy("part").collect()]:
         some = made.where(F.col("part") == part)
-        data = rows.join(some.select("model", "base", "edges"), "model").select("model", "key", "y", "weight", F.col("base").alias("margin"), _binned(features).alias("bins"))
-        data = settle(data.repartitionByRange("model", "key").sortWithinPartitions("model", "key"))
         models = {r.model: r for r in some.collect()}
-        grown = _grown(data, list(models), len(features), settings)
+        data = rows.join(some.select("model", "base", "edges", "n"), "model").select("model", "key", "y", "weight", F.col("base").alias("margin"), _binned(features).alias("bins"), "n")
+        few, many = (data.where((F.col("n") <= TASK_ROWS) == small).drop("n") for small in (True, False))
+        grown = _small_grown(few, len(features), settings)
+        large = {m: r.n for m, r in models.items() if r.n > TASK_ROWS}
+        if large:
+            tasks = -(-sum(large.values()) // TASK_ROWS)
+            dealt = settle(many.repartitionByRange(tasks, "model", "key").sortWithinPartitions("model", "key"))
+            grown |= _grown(dealt, list(large), len(features), tasks, settings)
         table = [(m, [_as_row(t, models[m].edges) for t in trees]) for m, trees in grown.items()]
-        trees = some.drop("edges", "part").join(spark.createDataFrame(table, f"model long, trees {TREE}"), "model").drop("model")
+        trees = some.drop("n", "edges", "part").join(spark.createDataFrame(table, f"model long, trees {TREE}"), "model").drop("model")
         found = trees if found is None else found.unionByName(trees)
     return found if found is not None else spark.createDataFrame([], train.select(*by).schema.add("base", "double")).withColumn("trees", F.array().cast(TREE))
 
@@ -283,14 +350,16 @@ def _as_row(tree: Tree, edges: list[list[float]]) -> tuple:
 
 def score(features: list[str]) -> Column:
     """The probability of label 1 of a row that has the features and its model's ``base`` and ``trees``; null without a model."""
-    x = F.array(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in features])
+    row = F.array(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in features])
 
-    def value(tree: Column) -> Column:
-        at = F.lit(0)
-        for _ in range(DEPTH):
+    def leaf(x: Column, tree: Column) -> Column:
+        def down(at: Column, _: Column) -> Column:
             v = F.get(x, F.get(tree["feature"], at))
             left = F.when(v.isNull(), F.get(tree["missing_left"], at)).otherwise(v <= F.get(tree["threshold"], at))
-            at = 2 * at + F.when(left, 1).otherwise(2)
-        return F.get(tree["leaf"], at - NODES)
+            return 2 * at + F.when(left, 1).otherwise(2)
+
+        return F.get(tree["leaf"], F.aggregate(F.array(*[F.lit(k) for k in range(DEPTH)]), F.lit(0), down) - NODES)
 
-    return 1 / (1 + F.exp(-F.aggregate("trees", F.col("base"), lambda sum_, tree: sum_ + value(tree))))
+    # A lambda's variable is computed once, a Column at each place where it stands.
+    margin = lambda x: F.aggregate("trees", F.col("base"), lambda sum_, tree: sum_ + leaf(x, tree))
+    return 1 / (1 + F.exp(-F.get(F.transform(F.array(row), margin), 0)))
