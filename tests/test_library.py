@@ -99,7 +99,7 @@ def test_every_query_but_few_has_sql():
     from tidemark import catalog
 
     missing = set(catalog.queries()) - set(catalog.oracle_sql())
-    assert missing == {"gbt_expert", "stream_bars"}
+    assert missing == {"gbt_expert"}
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
 
 
