@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from tidemark.llm import toxicity as op
 
 
@@ -40,3 +42,16 @@ def test_without_labels_or_rows(spark):
     one = spark.createDataFrame([(1, 1), (3, 1)], "doc_id long, toxic int")
     assert op.fit(docs, one).score(docs).count() == 2
     assert op.fit(docs.limit(0), one).score(docs.limit(0)).count() == 0
+
+
+def test_trees_as_arrays_score_like_the_fitted_ones(spark):
+    docs, labels = corpus(400, seed=5)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model = op.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    x = {r.id: r.x for r in op.features(df, [model.lexicon]).collect()}
+    want = {r.doc_id: r.score for r in model.score(df).collect()}
+    at, values = model.calibration.boundaries.toArray(), model.calibration.predictions.toArray()
+    got = op.judge(np.array([x[i] for i in want]), op.tree_arrays(model.trees), at, values)
+    assert np.allclose(got, list(want.values()), atol=1e-9) and len(set(want.values())) > 1
+    kept = sorted(r.doc_id for r in model.drop_toxic(df).collect())
+    assert kept == sorted(i for i, s in want.items() if s < op.THRESHOLD)

@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -123,10 +123,10 @@ def learn_lexicon(train: DataFrame, min_z: float = 2.5, min_odds: float = 1.4) -
     return out
 
 
-def features(docs: DataFrame, lexicons: list[dict[str, float]], id_col: str = "doc_id", text_col: str = "text", fold_col: str | None = None, whole_rows: bool = False) -> DataFrame:
+def features(docs: DataFrame, lexicons: list[dict[str, float]], id_col: str = "doc_id", text_col: str = "text", fold_col: str | None = None, keep: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """``(id, x: array<double>)``: FEATURES of every row; ``fold_col`` says which lexicon a row gets (the last by default).
 
-    With ``whole_rows``, ``id`` is a struct of all columns of ``docs`` instead, under the name ``row``.
+    With ``keep``, which judges a matrix of features, the rows of ``docs`` that it keeps instead.
     """
     strong_of = [float(np.quantile(list(x.values()), STRONG)) if x else 0.0 for x in lexicons]
 
@@ -175,43 +175,79 @@ def features(docs: DataFrame, lexicons: list[dict[str, float]], id_col: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         makers = [(dict(), describe(x), z) for x, z in zip(lexicons, strong_of, strict=True)]
         for batch in batches:
-            row = batch.column(0)
-            texts = row.field(text_at) if whole_rows else batch.column(1)
-            folds = [len(makers) - 1] * batch.num_rows if whole_rows else batch.column(2).to_pylist()
-            x = [vector(t, *makers[f]) for t, f in zip(raw_texts(texts), folds, strict=True)]
-            yield pa.RecordBatch.from_arrays([row, pa.array(x, pa.list_(pa.float64()))], ["row" if whole_rows else "id", "x"])
-
-    if whole_rows:
-        text_at = docs.columns.index(text_col)
-        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-        return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, x array<double>")
+            folds = [len(makers) - 1] * batch.num_rows if keep else batch.column(2).to_pylist()
+            x = [vector(t, *makers[f]) for t, f in zip(raw_texts(batch.column(text_at)), folds, strict=True)]
+            if keep:
+                yield batch.filter(pa.array(keep(np.array(x, np.float64).reshape(-1, len(FEATURES)))))
+            else:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["id", "x"])
+
+    text_at = docs.columns.index(text_col) if keep else 1
+    if keep:
+        return docs.mapInArrow(run, docs.schema)
     fold = F.col(fold_col) if fold_col else F.lit(len(lexicons) - 1)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), fold.cast("int").alias("fold"))
     return slim.mapInArrow(run, "id long, x array<double>")
 
 
+def tree_arrays(trees) -> list[tuple[float, np.ndarray]]:
+    """The fitted trees as ``(weight, nodes)``, a node as (feature, threshold, left, right, prediction); a leaf leads to itself."""
+    out = []
+    for tree, weight in zip(trees.trees, trees.treeWeights, strict=True):
+        nodes: list[list[float]] = []
+
+        def grow(node, nodes=nodes) -> int:
+            at = len(nodes)
+            nodes.append([0.0, 0.0, at, at, node.prediction()])
+            if node.subtreeDepth():
+                nodes[at][:2] = node.split().featureIndex(), node.split().threshold()
+                nodes[at][2:4] = grow(node.leftChild()), grow(node.rightChild())
+            return at
+
+        grow(tree._call_java("rootNode"))
+        out.append((float(weight), np.array(nodes)))
+    return out
+
+
+def judge(x: np.ndarray, trees: list[tuple[float, np.ndarray]], boundaries: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The calibrated scores of a matrix of features."""
+    margin, rows = np.zeros(len(x)), np.arange(len(x))
+    for weight, nodes in trees:
+        at = np.zeros(len(x), np.int64)
+        for _ in range(len(nodes)):
+            left = x[rows, nodes[at, 0].astype(np.int64)] <= nodes[at, 1]
+            below = np.where(left, nodes[at, 2], nodes[at, 3]).astype(np.int64)
+            if np.array_equal(below, at):
+                break
+            at = below
+        margin += weight * nodes[at, 4]
+    return np.clip(np.interp(1.0 / (1.0 + np.exp(-2.0 * margin)), boundaries, values), 0.0, 1.0)
+
+
 class ToxicityModel:
     """A fitted lexicon, trees and calibration; ``score`` applies them to any table."""
 
     def __init__(self, lexicon: dict[str, float], trees, calibration, prior: float):
         self.lexicon, self.trees, self.calibration, self.prior = lexicon, trees, calibration, prior
 
-    def _scored(self, found: DataFrame, key: str) -> DataFrame:
-        """``(key, score)`` of rows ``found (key, x)``."""
+    def _scored(self, found: DataFrame) -> DataFrame:
+        """``(id, score)`` of rows ``found (id, x)``."""
         if self.trees is None:
-            return found.select(key, F.lit(self.prior).alias("score"))
-        raw = self.trees.transform(found.select(key, array_to_vector("x").alias("features"))).select(key, vector_to_array("probability")[1].alias("p"))
-        return self.calibration.transform(raw).select(key, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("prediction"))).alias("score"))
+            return found.select("id", F.lit(self.prior).alias("score"))
+        raw = self.trees.transform(found.select("id", array_to_vector("x").alias("features"))).select("id", vector_to_array("probability")[1].alias("p"))
+        return self.calibration.transform(raw).select("id", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("prediction"))).alias("score"))
 
     def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """``(doc_id, score, predicted)`` of every row; score is in [0, 1]."""
-        scored = self._scored(features(docs, [self.lexicon], id_col, text_col), "id").withColumnRenamed("id", "doc_id")
+        scored = self._scored(features(docs, [self.lexicon], id_col, text_col)).withColumnRenamed("id", "doc_id")
         return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
     def drop_toxic(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """The rows of ``docs`` that score below THRESHOLD, judged in the pass that reads them: no join, rows without an id included."""
-        found = features(docs, [self.lexicon], text_col=text_col, whole_rows=True)
-        return self._scored(found, "row").where(F.col("score") < THRESHOLD).select("row.*")
+        if self.trees is None:
+            return docs.where(F.lit(self.prior) < THRESHOLD)
+        trees, at, values = tree_arrays(self.trees), self.calibration.boundaries.toArray(), self.calibration.predictions.toArray()
+        return features(docs, [self.lexicon], text_col=text_col, keep=lambda x: judge(x, trees, at, values) < THRESHOLD)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN, seed: int = 7) -> ToxicityModel:
