@@ -7,16 +7,20 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.expressions import whole
+from tidemark.operators.ordered import DAY
 from tidemark.plans import integrity, landed, liquidity, market, research, wallets
 from tidemark.session import settle, shared_folder
-from tidemark.sources import sinks
+from tidemark.sources import log, sinks
 from tidemark.sources import views as V
 
 #: The levels that an action may have.
 LEVELS = ("L0", "L1", "L2", "L3")
+#: The time from which `open_log` reads.
+SINCE = 19740 * DAY + 5
 SERIES = ["t_event", "tid", "address", "coin", "leg"]
 
 
@@ -97,11 +101,43 @@ def compacted(spark: SparkSession, d: str) -> DataFrame:
     return sinks.get(spark, f"{at}/typed", "coin string, seq long, t_event long, t_ingest long, k int")
 
 
-QUERIES = {f.__name__: f for f in (frame_kept, series_kept, maps_kept, actions_kept, compacted)}
+def write_open_log(rows: DataFrame, at: str, key: list[str], order: list[str]) -> None:
+    """Rows as a log whose every file is still being written: a line of JSON for each, and after the last one the beginning of another.
+
+    Files are ``key``'s, in the order of ``order``. Lines end where the writer puts the next one's
+    first character, so the file ends with that character and no newline.
+    """
+    first = F.row_number().over(Window.partitionBy(*key).orderBy(*order)) == 1
+    text = F.to_json(F.struct(*[c for c in rows.columns if c not in key]))
+    lines = rows.select(*key, *order, F.when(first, text).otherwise(F.substring(text, 2, 1 << 30)).alias("value"))
+    dealt = lines.repartition(*key).sortWithinPartitions(*key, *order)
+    dealt.select("value", *key).write.option("lineSep", "\n{").partitionBy(*key).text(at)
+
+
+def open_log(spark: SparkSession, d: str) -> DataFrame:
+    """The tape read from a log while its files are being written, from a time on: days before it are not opened, half a record at each file's end is left out."""
+    t = V.tape(spark, d).select("coin", "seq", "t_event", "t_ingest", "k", whole(F.col("t_ingest"), DAY).cast("int").alias("day"), F.floor(F.col("seq") / landed.PART_ROWS).cast("int").alias("part"), F.col("coin").alias("of"))
+    at = _folder(spark)
+    write_open_log(t, at, ["of", "part", "day"], ["seq"])
+    return log.read_log(spark, at, "coin string, seq long, t_event long, t_ingest long, k int", since=SINCE)
+
+
+def event_log(spark: SparkSession, d: str) -> DataFrame:
+    """Receipts kept as lines of JSON, a folder a day: by source and class how many there are in the log and the newest one."""
+    c = integrity.calendar_of(spark, d).withColumn("day", whole(F.col("receipt_ts"), DAY).cast("int"))
+    at = _folder(spark)
+    write_open_log(c, at, ["day"], ["receipt_ts", "seq"])
+    got = log.read_log(spark, at, "event_id string, class string, source string, source_ts long, receipt_ts long", clock="receipt_ts")
+    return got.groupBy("source", "class").agg(F.count("*").alias("n"), F.max("receipt_ts").alias("newest"))
+
+
+QUERIES = {f.__name__: f for f in (frame_kept, series_kept, maps_kept, actions_kept, compacted, open_log, event_log)}
 SQL = {
     "frame_kept": research.SQL["frame"],
     "series_kept": wallets.sql("series") + "SELECT t_event, seq AS tid, address, coin, CAST(leg AS INT) AS leg, CAST(szi AS DOUBLE) AS szi FROM series",
     "maps_kept": liquidity.SQL["map_history"],
     "actions_kept": integrity.SQL["actions"],
+    "open_log": market.sql("tape") + f"SELECT coin, seq, t_event, t_ingest, k FROM tape WHERE t_ingest >= {SINCE}",
+    "event_log": integrity.SQL["event_counts"],
     "compacted": market.sql("tape") + f"SELECT coin, seq, t_event, t_ingest, k FROM tape WHERE t_ingest // 86400000000000 < {landed.TODAYS[-1]}",
 }
