@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_PLANS = ("plans.market", "plans.wallets", "plans.liquidity", "plans.research", "plans.experts", "plans.cells", "plans.gates", "plans.integrity", "plans.landed", "plans.kept", "plans.feeds", "plans.clocks", "streaming.jobs")
+_PLANS = ("plans.market", "plans.wallets", "plans.liquidity", "plans.research", "plans.experts", "plans.cells", "plans.gates", "plans.integrity", "plans.landed", "plans.kept", "plans.feeds", "plans.clocks", "plans.schedules", "streaming.jobs")
 
 
 def _plans():
