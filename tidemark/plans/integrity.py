@@ -49,6 +49,11 @@ def ledger_latest(spark: SparkSession, d: str) -> DataFrame:
     return verdicts_of(spark, d).groupBy("gate", "verdict").agg(F.max("seq").alias("seq"), F.max("t_event").alias("at"))
 
 
+def ledger_newest(spark: SparkSession, d: str, verdict: str = "refused", n: int = 20) -> DataFrame:
+    """The newest entries of one kind, newest first."""
+    return verdicts_of(spark, d).where(F.col("verdict") == verdict).orderBy(F.desc("t_event"), F.desc("seq")).limit(n)
+
+
 def observations(spark: SparkSession, d: str) -> DataFrame:
     """The share of passes over time, by gate and day."""
     v = verdicts_of(spark, d)
@@ -241,7 +246,7 @@ def attack_signal(spark: SparkSession, d: str) -> DataFrame:
     return a.select("coin", "drift", F.round(2 * BARRIER * (HORIZON_DAYS**0.5) * F.col("drift") / F.col("daily_sigma"), 6).alias("logit"), both.alias("abstain"))
 
 
-QUERIES = {f.__name__: f for f in (gate_flips, gate_status, gate_require, ledger_latest, observations, actions, tape_compare, raw_missing, chain_verify, event_dedup, event_counts, events_ahead, failure_reasons, sweep_guard, stream_age, pair_digest, gate_ladder, liq_parse, page_events, attack, attack_signal)}
+QUERIES = {f.__name__: f for f in (gate_flips, gate_status, gate_require, ledger_latest, ledger_newest, observations, actions, tape_compare, raw_missing, chain_verify, event_dedup, event_counts, events_ahead, failure_reasons, sweep_guard, stream_age, pair_digest, gate_ladder, liq_parse, page_events, attack, attack_signal)}
 
 _STATUS = "(SELECT gate, arg_max(verdict, t_event) AS verdict, max(t_event) AS at, count(*) AS runs, count(*) FILTER (verdict = 'pass') AS passes FROM verdicts GROUP BY 1)"
 _DAILY = market.SQL["daily_sigma"]
@@ -258,6 +263,7 @@ SQL = {
     "gate_flips": sql("verdicts") + "SELECT gate, seq, was, verdict FROM (SELECT *, lag(verdict) OVER (PARTITION BY gate ORDER BY seq) AS was FROM verdicts) WHERE was <> verdict",
     "gate_status": sql("verdicts") + f"SELECT * FROM {_STATUS}",
     "gate_require": sql("verdicts") + f"SELECT gate, CASE WHEN verdict <> 'pass' THEN 'verdict is ' || verdict WHEN {NOW} - s.at > 86400000000000 THEN 'stale' ELSE 'ok' END AS state FROM {_STATUS} s",
+    "ledger_newest": sql("verdicts") + "SELECT gate, seq, t_event, verdict FROM verdicts WHERE verdict = 'refused' ORDER BY t_event DESC, seq DESC LIMIT 20",
     "ledger_latest": sql("verdicts") + "SELECT gate, verdict, max(seq) AS seq, max(t_event) AS at FROM verdicts GROUP BY 1, 2",
     "observations": sql("verdicts") + "SELECT gate, t_event // 86400000000000 AS day, round(avg(CAST(verdict = 'pass' AS DOUBLE)), 9) AS share FROM verdicts GROUP BY 1, 2",
     "actions": sql("tape") + "SELECT seq, t_ingest, 'L' || CAST(k % 4 AS VARCHAR) AS level, coin AS kind FROM tape WHERE t_ingest >= 1705276800000000000 AND k % 4 >= 2",

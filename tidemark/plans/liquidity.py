@@ -203,6 +203,15 @@ def liq_minutes(spark: SparkSession, d: str) -> DataFrame:
     return m.groupBy("coin").agg(F.sum("n").alias("n"), F.sum("v").cast("double").alias("notional"), F.max("v").cast("double").alias("max_minute"))
 
 
+def liq_day(spark: SparkSession, d: str, hours: int = 24) -> DataFrame:
+    """Events, notional and largest one-minute total by coin in the last hours up to the newest event."""
+    v = (F.col("px").cast("decimal(20,6)") * F.col("sz").cast("decimal(12,3)")).cast("decimal(32,9)")
+    q = V.liquidations(spark, d)
+    newest = q.agg(F.max("t_event")).first()[0] or 0  # one number
+    m = q.where(F.col("t_event") > newest - hours * 3_600_000_000_000).groupBy("coin", F.floor(F.col("t_event") / 60_000_000_000).alias("minute")).agg(F.count("*").alias("n"), F.sum(v).alias("v"))
+    return m.groupBy("coin").agg(F.sum("n").alias("n"), F.sum("v").cast("double").alias("notional"), F.max("v").cast("double").alias("max_minute"))
+
+
 def liq_recent(spark: SparkSession, d: str) -> DataFrame:
     return V.liquidations(spark, d).orderBy(F.desc("t_event"), F.desc("tid")).limit(15).select("tid", "coin", "method", "px", "sz")
 
@@ -320,7 +329,7 @@ def null_of(found: DataFrame, reps: int = 1000) -> DataFrame:
     return told.withColumn("z", F.when(F.col("informative"), F.round((F.col("observed") - F.col("null_mean")) / F.col("null_sd"), 4)))
 
 
-QUERIES = {f.__name__: f for f in (liq_price, liqmap_buckets, liqmap_bands, map_snapshot, map_history, nearest, sparse, map_visible, wide_map, map_epoch, derive_fidelity, liq_dedupe, liq_method, liq_append, liq_minutes, liq_recent, scan_stats, score_positions, population, cluster_score, cluster_score_cadence, accrual, band_null)}
+QUERIES = {f.__name__: f for f in (liq_price, liqmap_buckets, liqmap_bands, map_snapshot, map_history, nearest, sparse, map_visible, wide_map, map_epoch, derive_fidelity, liq_dedupe, liq_method, liq_append, liq_minutes, liq_day, liq_recent, scan_stats, score_positions, population, cluster_score, cluster_score_cadence, accrual, band_null)}
 
 from tidemark.plans.wallets import MORE as _WALLETS  # noqa: E402
 
@@ -359,6 +368,7 @@ SQL = {
     "liq_dedupe": sql("liquidations") + "SELECT tid, coin, source, px, sz FROM (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY CAST(source = 'self' AS INT), t_ingest, observer) AS rn FROM (SELECT * FROM liquidations UNION ALL SELECT * REPLACE ('self' AS source) FROM liquidations WHERE tid % 3 = 0)) WHERE rn = 1",
     "liq_method": sql("liquidations") + f"SELECT method, count(*) AS n, CAST(sum({_V}) AS DOUBLE) AS notional FROM liquidations GROUP BY 1",
     "liq_append": sql("liquidations") + "SELECT tid, source, CASE WHEN tid % 3 <> 1 THEN -px ELSE px END AS px FROM liquidations",
+    "liq_day": sql("liquidations") + f"SELECT coin, CAST(sum(n) AS BIGINT) AS n, CAST(sum(v) AS DOUBLE) AS notional, CAST(max(v) AS DOUBLE) AS max_minute FROM (SELECT coin, t_event // 60000000000 AS minute, count(*) AS n, sum({_V}) AS v FROM liquidations WHERE t_event > (SELECT max(t_event) FROM liquidations) - 86400000000000 GROUP BY 1, 2) GROUP BY 1",
     "liq_minutes": sql("liquidations") + f"SELECT coin, CAST(sum(n) AS BIGINT) AS n, CAST(sum(v) AS DOUBLE) AS notional, CAST(max(v) AS DOUBLE) AS max_minute FROM (SELECT coin, t_event // 60000000000 AS minute, count(*) AS n, sum({_V}) AS v FROM liquidations GROUP BY 1, 2) GROUP BY 1",
     "liq_recent": sql("liquidations") + "SELECT tid, coin, method, px, sz FROM liquidations ORDER BY t_event DESC, tid DESC LIMIT 15",
     "scan_stats": sql("liquidations") + "SELECT count(*) AS raw, count(DISTINCT tid) AS unique, count(DISTINCT tid) FILTER (tid % 2 = 1) AS fresh, count(DISTINCT observer) AS productive FROM (SELECT * FROM liquidations UNION ALL SELECT * FROM liquidations WHERE tid % 3 = 0)",

@@ -125,6 +125,16 @@ def anchors(spark: SparkSession, d: str) -> DataFrame:
     return c.select("address", "coin", F.col("a.block").alias("block"), F.col("a.szi").cast("double").alias("szi"))
 
 
+def series_anchored(spark: SparkSession, d: str) -> DataFrame:
+    """How much of the running series stands on a checkpoint: prints, wallets and anchored wallets by coin, rows of anchored ones and of those that began at nothing."""
+    w = legs_of(spark, d).groupBy("coin", "address").agg(F.count("*").alias("n"))
+    j = w.join(anchors(spark, d).select("coin", "address", F.lit(True).alias("anchored")), ["coin", "address"], "left").withColumn("anchored", F.coalesce("anchored", F.lit(False)))
+    rows = lambda yes: F.sum(F.when(F.col("anchored") == yes, F.col("n")).otherwise(0))
+    by = j.groupBy("coin").agg(F.count("*").alias("wallets"), F.count_if("anchored").alias("anchored_wallets"), rows(True).alias("anchored_rows"), rows(False).alias("derived_rows"))
+    prints = legs_of(spark, d).select("coin", "seq").distinct().groupBy("coin").agg(F.count("*").alias("prints"))
+    return by.join(prints, "coin")
+
+
 def drift_audit(spark: SparkSession, d: str) -> DataFrame:
     """Checkpoints against the running series strictly before them, by coin."""
     c = checkpoints_of(_fills(spark, d)).withColumnRenamed("szi", "expected")
@@ -239,7 +249,7 @@ def leaderboard(spark: SparkSession, d: str) -> DataFrame:
     return raw.select("address", F.get_json_object(week, "$.vlm").alias("v")).select("address", F.coalesce(F.expr("try_cast(v as double)"), F.lit(0.0)).alias("week_vlm"))
 
 
-QUERIES = {f.__name__: f for f in (signed, deltas, participation, position_series, series_summary, apply_deltas, drift, checkpoints, anchors, drift_audit, positions_upsert, positions_delete, wallets_upsert, dual_seed, seed_counts, addresses, top_observers, most_active, universe, roster, roster_diff, positions_parse, leaderboard)}
+QUERIES = {f.__name__: f for f in (signed, deltas, participation, position_series, series_summary, apply_deltas, drift, checkpoints, anchors, series_anchored, drift_audit, positions_upsert, positions_delete, wallets_upsert, dual_seed, seed_counts, addresses, top_observers, most_active, universe, roster, roster_diff, positions_parse, leaderboard)}
 
 _CHECK = """(SELECT address, coin, block, [x for x in s if NOT list_contains(e, x)] AS f FROM (SELECT address, coin, (t_event // 21600000000000) * 21600000000000 AS block, list(DISTINCT CAST(szi - signed AS DECIMAL(22,3))) AS s, list(DISTINCT CAST(szi AS DECIMAL(22,3))) AS e FROM series GROUP BY 1, 2, 3))"""
 _SEED = """(SELECT coalesce(a.address, b.address) AS address, CASE WHEN a.address IS NOT NULL AND b.address IS NOT NULL THEN 'both' WHEN a.address IS NOT NULL THEN 'equity' ELSE 'volume' END AS seed
@@ -260,6 +270,8 @@ SQL = {
     "drift": sql("deltas", "positions") + """SELECT p.coin, count(*) AS n, count(*) FILTER (abs(szi - coalesce(CAST(delta AS DOUBLE), 0)) < 1e-9) AS exact, count(*) FILTER (delta IS NULL) AS unseen, round(max(abs(szi - coalesce(CAST(delta AS DOUBLE), 0))), 6) AS worst
         FROM positions p LEFT JOIN deltas x ON p.address = x.address AND p.coin = x.coin GROUP BY 1""",
     "checkpoints": sql("series") + f"SELECT address, coin, block, CAST(f[1] AS DOUBLE) AS szi FROM {_CHECK} WHERE len(f) = 1",
+    "series_anchored": sql("series").rstrip() + f""", anc AS (SELECT DISTINCT address, coin FROM {_CHECK} WHERE len(f) = 1), per AS (SELECT coin, address, count(*) AS n, EXISTS (SELECT 1 FROM anc WHERE anc.coin = legs.coin AND anc.address = legs.address) AS a FROM legs GROUP BY 1, 2, 4)
+        SELECT coin, count(*) AS wallets, count(*) FILTER (a) AS anchored_wallets, CAST(coalesce(sum(n) FILTER (a), 0) AS BIGINT) AS anchored_rows, CAST(coalesce(sum(n) FILTER (NOT a), 0) AS BIGINT) AS derived_rows, any_value(prints) AS prints FROM per JOIN (SELECT coin, count(DISTINCT seq) AS prints FROM legs GROUP BY 1) USING (coin) GROUP BY 1""",
     "anchors": sql("series") + f"SELECT address, coin, min(block) AS block, arg_min(CAST(f[1] AS DOUBLE), block) AS szi FROM {_CHECK} WHERE len(f) = 1 GROUP BY 1, 2",
     "drift_audit": sql("series") + f"""SELECT coin, count(*) AS checkpoints, count(*) FILTER (got = want) AS exact FROM (SELECT c.address, c.coin, c.block, any_value(c.f[1]) AS want, coalesce(arg_max(s.szi, s.t_event * 2 + s.leg), 0) AS got
         FROM {_CHECK} c LEFT JOIN series s ON s.address = c.address AND s.coin = c.coin AND s.t_event < c.block WHERE len(c.f) = 1 GROUP BY 1, 2, 3) GROUP BY 1""",
