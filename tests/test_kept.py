@@ -34,6 +34,20 @@ def test_a_repeated_run_writes_the_same_bytes(spark, tmp_path):
     assert told[0] == told[1] and len(told[0]) >= 1
 
 
+def test_a_table_larger_than_any_sample_is_written_as_the_same_files(spark, tmp_path):
+    told, wide = [], rows(spark, 60_000).select("k", F.when(F.col("v") > 0, F.concat(F.lit("w"), F.col("v"))).alias("v"))
+    for k, order in enumerate(("k", "v")):
+        at = str(tmp_path / f"t{k}")
+        sinks.put(wide.orderBy(order).repartition(3 + k), at, "x", ["v", "k"])
+        told.append(sorted(map(tuple, sinks.digests(spark, at).collect())))
+    assert told[0] == told[1] and len(told[0]) > 1
+    got = sinks.get(spark, at, "k long, v string").select("*", F.input_file_name().alias("f"))
+    files = got.groupBy("f").agg(F.min(F.struct("v", "k")).alias("a"), F.max(F.struct("v", "k")).alias("b"), F.count("*").alias("n")).orderBy("f").collect()
+    last = [tuple(x or "" if i == 0 else x for i, x in enumerate(f.a)) + tuple(x or "" if i == 0 else x for i, x in enumerate(f.b)) for f in files]
+    assert sum(f.n for f in files) == 60_000 and all(p[2:] < q[:2] for p, q in zip(last, last[1:], strict=False))
+    assert max(f.n for f in files) < 2 * 60_000 / 4  # no range holds most of it
+
+
 def test_the_narrow_map_outlives_a_wide_one_that_fails(spark, tmp_path):
     at = str(tmp_path)
     narrow = spark.createDataFrame([("a", 1, 2.0)], "coin string, day int, up double")

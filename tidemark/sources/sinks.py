@@ -5,18 +5,24 @@ to its name when all tasks are done: one rename. Until then no reader sees it, a
 that fails takes its staged folder with it. A batch whose name is there already is left
 as it is, so a run that is repeated adds nothing; an empty one is not written.
 
-The sort goes over a key that tells all rows apart, so a repeated run writes the same
-rows to the same files, byte for byte.
+The sort goes over a key that tells all rows apart, and the ranges are cut at keys that a
+hash of the key picks, so they depend on the rows alone: a repeated run writes the same
+rows to the same files, byte for byte. (``repartitionByRange`` cuts at a sample that is
+drawn anew for each job.)
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Keys looked at for each range; a table with fewer rows than all ranges ask for is one file.
+PER_RANGE = 50
+
 
 def _path(spark: SparkSession, at: str):
     """A path and the file system it lies in, as Spark's writers see them."""
@@ -33,6 +39,29 @@ def batches(spark: SparkSession, at: str) -> list[str]:
     return sorted(n for n in names if not n.startswith(("_", ".")))
 
 
+def dealt(df: DataFrame, key: list[str]) -> DataFrame:
+    """``df`` in ranges of ``key``, sorted within them; the same rows always lie in the same range.
+
+    A row's range is found in two steps, among some of the cuts and then between two of them.
+    """
+    spark, by = df.sparkSession, [F.col(c) for c in key]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    picked = df.select(*key).orderBy(F.xxhash64(*by), *by).limit(n * PER_RANGE).orderBy(*by).collect()  # a bounded sample
+    if n == 1 or len(picked) < n * PER_RANGE:
+        return df.repartition(1).sortWithinPartitions(*by)
+    cuts = picked[PER_RANGE::PER_RANGE]
+    size = math.isqrt(len(cuts) - 1) + 1
+    groups = [cuts[i : i + size] for i in range(0, len(cuts), size)]
+    kind = df.select(*key).schema.simpleString()
+    table = spark.createDataFrame([([g[0] for g in groups], groups)], f"__tops array<{kind}>, __groups array<array<{kind}>>")
+    upto = lambda among: F.size(F.filter(among, lambda cut: cut <= F.struct(*by)))
+    placed = df.crossJoin(F.broadcast(table)).withColumn("__group", upto(F.col("__tops")))  # one row
+    inside = upto(F.element_at("__groups", F.col("__group")))
+    at = F.when(F.col("__group") == 0, 0).otherwise((F.col("__group") - 1) * size + inside)
+    placed = placed.withColumn("__range", at.cast("int")).drop("__tops", "__groups", "__group")
+    return placed.repartitionById(n, F.col("__range")).sortWithinPartitions(*by).drop("__range")
+
+
 def put(df: DataFrame, at: str, name: str, key: list[str], replace: bool = False) -> bool:
     """Add ``df`` to the table at ``at`` as batch ``name``, sorted by ``key``; whether it was written.
 
@@ -44,8 +73,7 @@ def put(df: DataFrame, at: str, name: str, key: list[str], replace: bool = False
     staged, files = _path(spark, f"{at}/_staged-{uuid.uuid4().hex}")
     final, _ = _path(spark, f"{at}/{name}")
     try:
-        by = [F.col(c) for c in key]
-        df.repartitionByRange(*by).sortWithinPartitions(*by).write.parquet(staged.toString())
+        dealt(df, key).write.parquet(staged.toString())
         if spark.read.schema(df.schema).parquet(staged.toString()).isEmpty():
             return False
         if replace and files.exists(final):
