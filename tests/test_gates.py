@@ -1,7 +1,7 @@
 import pytest
 
 from tidemark.operators.ordered import DAY, HOUR
-from tidemark.plans import gates
+from tidemark.plans import gates, liquidity
 
 MAP = {"coin": "c", "age_ns": HOUR, "coverage": 0.3, "priced": 10, "exact": 0.5, "numbers": gates.MapNumbers().registered(), "scored": 1000, "side_hits": 700, "z": 9.0, "informative": True, "null_z": 4.0, "mapped_share": 0.7}
 KIND = "coin string, age_ns long, coverage double, priced long, exact double, numbers string, scored long, side_hits long, z double, informative boolean, null_z double, mapped_share double"
@@ -62,3 +62,27 @@ def test_magnet_gate(spark, change, verdict, reason):
 def test_gates_without_subjects(spark):
     assert gates.map_gate(spark.createDataFrame([], KIND)).count() == 0
     assert gates.magnet_gate(spark.createDataFrame([], MAGNET_KIND)).count() == 0
+
+
+def test_the_permutation_null_makes_no_row_a_snapshot_and_replication(spark):
+    import hashlib
+    from statistics import pstdev
+
+    reps, sides = 40, liquidity._SIDES
+    snaps = [("a" if i % 3 else "b", i, [float((i >> j) % 2 * (i % 7 > 0)) for j in range(8)]) for i in range(1, 60)]
+    dists = (0.001, 0.007, 0.015, 0.03, -0.001, -0.007, -0.015, -0.03)  # one a slot
+    hits = [(coin, seq, masses, dists[(seq * 5 + e) % 8], (seq * 5 + e) % 8) for coin, seq, masses in snaps for e in range(1 + seq % 3)]
+    hits.append(("c", 99, [1.0] * 8, 0.001, 0))  # every order is the same
+    found = spark.createDataFrame([(c, q, 10, 5, 1, x, *m) for c, q, m, x, _ in hits], f"coin string, map_seq long, t_event long, map_t long, first_t long, dist double, {', '.join(f'{s} double' for s in sides)}")
+    want = {}
+    for coin in "abc":
+        mine, own = [h for h in hits if h[0] == coin], []
+        for rep in range(reps):
+            order = {q: sorted(range(8), key=lambda i: hashlib.md5(f"7-{rep}-{q}-{i}".encode()).hexdigest()) for q in {h[1] for h in mine}}
+            own.append(sum(m[order[q][slot]] > 0 for _, q, m, _, slot in mine))
+        want[coin] = (sum(m[slot] > 0 for _, _, m, _, slot in mine), round(sum(own) / reps, 6), round(pstdev(own), 6))
+    null = liquidity.null_of(found, reps)
+    got = {r.coin: r for r in null.collect()}
+    assert {c: (r.observed, r.informative) for c, r in got.items()} == {c: (w[0], w[2] > 0) for c, w in want.items()} and not got["c"].informative
+    assert all((got[c].null_mean, got[c].null_sd) == pytest.approx(w[1:], abs=2e-6) for c, w in want.items())
+    assert "Window" not in null._jdf.queryExecution().optimizedPlan().toString()  # nothing is ordered across rows

@@ -312,18 +312,24 @@ def band_null(spark: SparkSession, d: str, reps: int = 1000) -> DataFrame:
 def null_of(found: DataFrame, reps: int = 1000) -> DataFrame:
     """Hits of the tightest band against maps whose eight stored band masses are shuffled, once for each snapshot and replication.
 
-    The permutation is the order of a hash, so other engines reproduce it.
-    Only (snapshot, slot, mass) is multiplied by the replications, whose number is a parameter.
+    The permutation is the order of a hash, so other engines reproduce it. A snapshot is one
+    row with its events by slot and is shuffled within that row, so what is exchanged is a row
+    a coin and replication. Where all masses or none are positive, every order of them gives
+    the same hits, and none is made.
     """
-    m = settle(found.where(_status() == "scored").withColumn("slot", F.when(F.col("dist") >= 0, _slot()).otherwise(_slot() + 4)))
-    hits = m.groupBy("coin", "map_seq", "slot").agg(F.count("*").alias("events"))
-    snaps = m.select("coin", "map_seq", F.array(*_SIDES).alias("masses")).distinct()
-    slots = snaps.select("coin", "map_seq", F.posexplode("masses").alias("from_slot", "mass"))
-    many = slots.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    key = F.md5(F.concat_ws("-", F.lit("7"), F.col("rep").cast("string"), F.col("map_seq").cast("string"), F.col("from_slot").cast("string")))
-    moved = many.withColumn("slot", F.row_number().over(Window.partitionBy("rep", "map_seq").orderBy(key)) - 1)
-    per = moved.join(hits, ["coin", "map_seq", "slot"]).groupBy("coin", "rep").agg(F.sum(F.when(F.col("mass") > 0, F.col("events")).otherwise(0)).alias("hits"))
-    real = slots.withColumnRenamed("from_slot", "slot").join(hits, ["coin", "map_seq", "slot"]).groupBy("coin").agg(F.sum(F.when(F.col("mass") > 0, F.col("events")).otherwise(0)).alias("observed"))
+    m = found.where(_status() == "scored").withColumn("slot", F.when(F.col("dist") >= 0, _slot()).otherwise(_slot() + 4)).where("coin is not null and slot is not null")
+    counts = [F.count_if(F.col("slot") == i) for i in range(8)]
+    full = F.array(*[F.coalesce(F.col(c) > 0, F.lit(False)) for c in _SIDES])
+    snaps = settle(m.groupBy("coin", "map_seq", *_SIDES).agg(F.array(*counts).alias("events")).select("coin", "map_seq", full.alias("full"), "events"))
+    total = lambda where: F.aggregate(F.zip_with("events", where, lambda n, yes: F.when(yes, n).otherwise(0)), F.lit(0).cast("long"), lambda a, n: a + n)
+    real = snaps.groupBy("coin").agg(F.sum(total("full")).alias("observed"))
+    mixed = F.exists("full", lambda yes: yes) & F.exists("full", lambda yes: ~yes)
+    fixed = snaps.groupBy("coin").agg(F.sum(F.when(mixed, 0).otherwise(total("full"))).alias("hits"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")
+    key = lambda i: F.md5(F.concat_ws("-", F.lit("7"), F.col("rep").cast("string"), F.col("map_seq").cast("string"), F.lit(str(i))))
+    order = F.array_sort(F.array(*[F.struct(key(i).alias("key"), F.element_at("full", i + 1).alias("full")) for i in range(8)]))
+    moved = snaps.where(mixed).repartition("map_seq").select("coin", "map_seq", "full", "events", every).select("coin", "rep", total(F.transform(order, lambda x: x["full"])).alias("hits"))
+    per = moved.unionByName(fixed.select("coin", every, "hits")).groupBy("coin", "rep").agg(F.sum("hits").alias("hits"))
     null = per.groupBy("coin").agg(F.round(F.avg("hits"), 6).alias("null_mean"), F.round(F.stddev_pop("hits"), 6).alias("null_sd"))
     told = real.join(null, "coin").withColumn("informative", F.col("null_sd") > 0)
     return told.withColumn("z", F.when(F.col("informative"), F.round((F.col("observed") - F.col("null_mean")) / F.col("null_sd"), 4)))
