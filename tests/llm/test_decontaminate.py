@@ -105,3 +105,11 @@ def test_a_copy_with_a_sentence_put_in_is_bound_from_both_sides(spark):
     copy = item.replace("Joe", "Tim").replace(" 5 ", " 8 ").replace(" 7 ", " 9 ").replace(" 3 ", " 4 ").replace("children then", "children (all of them are small) then")
     got = found(spark, [copy], [item], 2_000_000)
     assert got[0, 0][0] > 0.8 and not got[0, 0][1]
+
+
+def test_a_text_keeps_no_list_of_its_own_words():
+    from tidemark.llm import decontaminate
+
+    cache = decontaminate._Words()
+    words = decontaminate.Words(b"we met Ann in Rome on 12 May", cache)
+    assert words.values is cache.values_ and words.slots(2, 5) == ("3:ann", "3:rome", "1:12")[: len(words.slots(2, 5))]

@@ -130,10 +130,10 @@ def _hashes(codes: np.ndarray, size: int, salt: int, at: np.ndarray | None = Non
 
 
 class Words:
-    """A text's words: their plain codes, template codes, values (empty without slots) and slot kinds,
+    """A text's words: their plain codes, template codes, values (looked up where slots are read) and slot kinds,
     and where words may be names as well: the codes and kinds with these as names."""
 
-    __slots__ = ("plain", "templ", "values", "kind", "maybe", "templ2", "kind2")
+    __slots__ = ("plain", "templ", "values", "ids", "kind", "maybe", "templ2", "kind2")
 
     def __init__(self, text: bytes | None, cache: _Words):
         ids = cache.look(_TOKEN.findall(text or b""))
@@ -150,8 +150,7 @@ class Words:
         self.kind = kind = np.where(number, _NUM, np.where(unit, _UNIT, np.where(capital & ~opens, _NAME, 0)))
         self.maybe = (kind == 0) & (capital | (flags & _ALL_CAPITAL > 0))
         slots, unsure = kind.any(), self.maybe.any()
-        values = cache.values_
-        self.values = [values[i] for i in ids] if slots or unsure else []
+        self.values, self.ids = cache.values_ if slots or unsure else [], ids
         if slots:
             self.templ = np.where(kind > 0, kind.astype(np.uint64), plain)
         self.templ2, self.kind2 = (np.where(self.maybe, np.uint64(_NAME), self.templ), np.where(self.maybe, _NAME, kind)) if unsure else (self.templ, kind)
@@ -168,7 +167,7 @@ class Words:
 
     def slots(self, i: int, n: int, second: bool = False) -> tuple:
         kind = self.kind2 if second else self.kind
-        return tuple(f"{kind[k]}:{self.values[k]}" for k in range(i, i + n) if kind[k]) if self.values else ()
+        return tuple(f"{kind[k]}:{self.values[self.ids[k]]}" for k in range(i, i + n) if kind[k]) if self.values else ()
 
 
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
