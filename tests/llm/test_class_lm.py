@@ -127,3 +127,19 @@ def test_empty_table(spark):
     assert op.score(op.fit(df), df).count() == 0
     one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert op.score(op.fit(df), one).count() == 1
+
+
+def test_units_keep_no_word_that_is_not_listed():
+    units = op._Units([b"a", b"b"])
+    others = [f"w{i}".encode() for i in range(1000)]
+    assert [units[w] for w in others] == [2 + op.shape(w) for w in others]
+    assert (units[b"a"], units[b"b"], units[op.END], len(units)) == (0, 1, 2 + op.SHAPES, 3)
+
+
+def test_pairs_of_units_are_counted_as_one_number(spark):
+    texts = spark.createDataFrame([("a b a b zz",), ("",), (None,), ("zz A",)], "text string")
+    pairs = op._pairs(texts, [b"a", b"b"])
+    zz, end = 2 + op.shape(b"zz"), 2 + op.SHAPES
+    expected = {(end, 0): 1, (0, 1): 2, (1, 0): 1, (1, zz): 1, (zz, end): 1, (end, end): 2, (end, zz): 1, (zz, 0): 1, (0, end): 1}
+    assert {(r.a, r.b): r.n for r in pairs.collect()} == expected
+    assert "hashpartitioning(code" in pairs._jdf.queryExecution().executedPlan().toString()

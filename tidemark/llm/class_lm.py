@@ -35,12 +35,12 @@ whatever their names, are ignored.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, id_bucket, raw_texts, words
@@ -97,21 +97,15 @@ def count_tokens(texts: DataFrame) -> DataFrame:
 
 
 class _Units(dict):
-    """token -> unit: a clustered word's place, or behind these its shape class, then the end."""
+    """token -> unit: its place in a list of words, or behind these its shape class, then the end; no other word is kept."""
 
-    def __init__(self, clustered: list[bytes], more: int = 500_000):
-        super().__init__({w: i for i, w in enumerate(clustered)})
-        self.clustered, self.more = clustered, more
-        self[END] = len(clustered) + SHAPES
+    def __init__(self, listed: list[bytes]):
+        super().__init__(zip(listed, range(len(listed)), strict=True))
+        self.others = len(listed)
+        self[END] = self.others + SHAPES
 
     def __missing__(self, token: bytes) -> int:
-        found = self[token] = len(self.clustered) + shape(token)
-        return found
-
-    def bound(self) -> None:
-        if len(self) > len(self.clustered) + self.more:
-            self.clear()
-            self.__init__(self.clustered, self.more)
+        return self.others + shape(token)
 
 
 def _pairs(texts: DataFrame, clustered: list[bytes]) -> DataFrame:
@@ -126,13 +120,12 @@ def _pairs(texts: DataFrame, clustered: list[bytes]) -> DataFrame:
         def rows() -> pa.RecordBatch:
             code, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(code // m, pa.int32()), pa.array(code % m, pa.int32()), pa.array(n, pa.int64())], ["a", "b", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(n, pa.int64())], ["code", "n"])
 
         size = 0
         for batch in batches:
             for raw in raw_texts(batch.column(0)):
                 tokens = words(raw)
-                units.bound()
                 ids = np.concatenate([end, np.fromiter(map(units.__getitem__, tokens), np.int64, len(tokens)), end])
                 held.append(ids[:-1] * m + ids[1:])
                 size += len(ids)
@@ -141,7 +134,8 @@ def _pairs(texts: DataFrame, clustered: list[bytes]) -> DataFrame:
                     size = 0
         yield rows()
 
-    return texts.mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    counts = texts.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))  # one number is a shorter key to shuffle
+    return counts.select(F.expr(f"code div {m}").cast("int").alias("a"), (F.col("code") % m).cast("int").alias("b"), "n")
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -190,28 +184,64 @@ def best_class(matrix: np.ndarray, own: int, left: np.ndarray, right: np.ndarray
     return best, float(total[best] - total[mine])
 
 
-def _class_table(spark: SparkSession, of: np.ndarray, unit: str, name: str) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(pa.table({unit: pa.array(np.arange(len(of)), pa.int32()), name: pa.array(of, pa.int32())})))
+def _summed(pairs: DataFrame, codes: Callable[[np.ndarray, np.ndarray], list[tuple[np.ndarray, np.ndarray]]], dense: int | None = None) -> DataFrame:
+    """``(code, n)``: the counts of ``pairs (a, b, n)`` summed by whole numbers.
+
+    ``codes`` gives for arrays of ``a`` and ``b`` places in them and their codes. A task sums
+    before the shuffle: in one array if the codes lie below ``dense``, else by sorting.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def rows() -> pa.RecordBatch:
+            code, n = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            held.clear()
+            if dense:
+                sums = np.bincount(code, n, dense).astype(np.int64)
+                code = np.flatnonzero(sums)
+                sums = sums[code]
+            else:
+                order = np.argsort(code)
+                code, n = code[order], n[order]
+                first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]][: len(code)])
+                code, sums = code[first], np.add.reduceat(n, first) if len(first) else n
+            return pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(sums, pa.int64())], ["code", "n"])
+
+        size = 0
+        for batch in batches:
+            a, b, n = (batch.column(i).to_numpy() for i in range(3))
+            for at, code in codes(a, b):
+                held.append((code, n[at]))
+                size += len(code)
+            if size > 2_000_000:
+                found = rows()
+                size = 0
+                yield found
+        yield rows()
+
+    return pairs.select("a", "b", "n").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def class_bigrams(pairs: DataFrame, of: np.ndarray, k: int) -> np.ndarray:
     """The ``k`` x ``k`` counts of class bigrams of ``pairs (a, b, n)``."""
-    spark = pairs.sparkSession
-    joined = pairs.join(_class_table(spark, of, "a", "ca"), "a").join(_class_table(spark, of, "b", "cb"), "b")
-    out = np.zeros((k, k), np.int64)
-    found = joined.groupBy("ca", "cb").agg(F.sum("n").alias("n")).toArrow()  # at most k * k rows
-    out[found["ca"].to_numpy(), found["cb"].to_numpy()] = found["n"].to_numpy()
-    return out
+    out = np.zeros(k * k, np.int64)
+    found = _summed(pairs, lambda a, b: [(slice(None), of[a] * k + of[b])], k * k).toArrow()  # at most k * k rows
+    out[found["code"].to_numpy()] = found["n"].to_numpy()
+    return out.reshape(k, k)
 
 
 def _sides(pairs: DataFrame, of: np.ndarray, first: int, stop: int) -> DataFrame:
     """``(u, left, right, alone)`` of the units from ``first`` to ``stop``: counts of their neighbours by ``o``, unit or class."""
-    spark = pairs.sparkSession
-    inside = lambda c: (F.col(c) >= first) & (F.col(c) < stop)
-    left = pairs.where(inside("b")).join(_class_table(spark, of, "a", "o"), "a").select(F.col("b").alias("u"), F.lit(0).alias("side"), "o", "n")
-    right = pairs.where(inside("a")).join(_class_table(spark, of, "b", "o"), "b").select(F.col("a").alias("u"), F.lit(1).alias("side"), "o", "n")
-    alone = pairs.where(inside("a") & (F.col("a") == F.col("b"))).select(F.col("a").alias("u"), F.lit(2).alias("side"), F.lit(0).alias("o"), "n")
-    counts = left.unionByName(right).unionByName(alone).groupBy("u", "side", "o").agg(F.sum("n").alias("n"))
+    k = int(of.max()) + 1
+
+    def codes(a: np.ndarray, b: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        left, right = np.flatnonzero((b >= first) & (b < stop)), np.flatnonzero((a >= first) & (a < stop))
+        alone = right[a[right] == b[right]]
+        code = lambda u, side, o: (u.astype(np.int64) * 3 + side) * k + o
+        return [(left, code(b[left], 0, of[a[left]])), (right, code(a[right], 1, of[b[right]])), (alone, code(a[alone], 2, 0))]
+
+    counts = _summed(pairs, codes).select(F.expr(f"code div {3 * k}").cast("int").alias("u"), F.expr(f"code div {k} % 3").alias("side"), (F.col("code") % k).cast("int").alias("o"), "n")
     pick = lambda side: F.collect_list(F.when(F.col("side") == side, F.struct("o", "n")))
     return counts.groupBy("u").agg(pick(0).alias("left"), pick(1).alias("right"), F.coalesce(F.sum(F.when(F.col("side") == 2, F.col("n"))), F.lit(0)).alias("alone"))
 
@@ -269,8 +299,9 @@ def exchange(pairs: DataFrame, shapes: np.ndarray, n_first: int, classes: int =
         return lumps, class_bigrams(pairs, lumps, k), []
     # The frequent words' neighbours: themselves, and all others by their shapes.
     small_of = np.r_[np.arange(n_first), n_first + lumps[n_first:] - classes]
-    small = pairs.join(_class_table(pairs.sparkSession, small_of, "a", "x"), "a").join(_class_table(pairs.sparkSession, small_of, "b", "y"), "b")
-    small = cut(small.groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("n").alias("n")))
+    m = int(small_of.max()) + 1
+    small = _summed(pairs, lambda a, b: [(slice(None), small_of[a] * m + small_of[b])])
+    small = cut(small.select(F.expr(f"code div {m}").cast("int").alias("a"), (F.col("code") % m).cast("int").alias("b"), "n"))
     of = np.r_[np.arange(n_first) % classes, classes + np.arange(SHAPES + 1)].astype(np.int64)
     matrix = class_bigrams(small, of, k)
     trace = [likelihood(matrix)]
@@ -339,64 +370,43 @@ def fit(
 
 def score(model: ClassModel, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of every row."""
-    spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(model.known)
     clustered, of, transition, class_size, v = model.clustered, model.of, model.transition, model.class_size, model.types
     n_words, tokens = len(clustered), model.tokens
-    end = len(of) - 1
     base_under = float(np.log10(tokens + DELTA * (model.vocabulary + 1)))
     under = np.log10(class_size[of[n_words:]] + DELTA * (v[of[n_words:]] + 1))  # of the shapes' emissions
     under[-1] = 0.0
+    # Places: the words whose counts are at hand, the shapes of all others, the end.
+    at_hand = [w for w in model.known if w != END]
+    n_known, end_count = len(at_hand), model.known.get(END, 0)
+    unit = np.r_[np.fromiter(map(_Units(clustered).__getitem__, at_hand), np.int64, n_known), n_words + np.arange(SHAPES + 1)]
+    counts = np.r_[np.fromiter((model.known[w] for w in at_hand), np.float64, n_known), np.zeros(SHAPES), end_count]
+    shaped = unit >= n_words
+    emissions = np.where(counts > 0, np.log10(counts + DELTA), 0.0)
+    emissions[shaped] -= under[unit[shaped] - n_words]
+    emissions[~shaped] = np.log10(counts[~shaped] / class_size[of[unit[~shaped]]])
+    emissions[-1] = 0.0
+    bases = np.log10(counts + DELTA)
+    bases[n_known:-1] = 0.0  # these counts are joined
+    end = n_known + SHAPES
+    tables = docs.sparkSession.sparkContext.broadcast((at_hand, of[unit], emissions, bases))
     schema = "row long, doc_id long, n_tokens long, n_known long, base double, score double, token binary, n long"
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = known.value
-
-        class Rows(dict):
-            """token -> a place in the arrays of classes, log10 emissions and log10 base counts; NaN where the count isn't at hand."""
-
-            def __init__(self):
-                self.unit, self.emit, self.base = [end], [0.0], [np.log10(count.get(END, 0) + DELTA)]
-                self[END] = 0
-
-            def __missing__(self, token: bytes) -> int:
-                n = count.get(token)
-                u = units[token]
-                self.unit.append(u)
-                self.base.append(np.log10(n + DELTA) if n else np.nan)
-                self.emit.append(np.log10(n / class_size[of[u]]) if u < n_words else np.log10((n or 0) + DELTA) - under[u - n_words] if n else -under[u - n_words])
-                self[token] = len(self.unit) - 1
-                return len(self.unit) - 1
-
-        units, place, arrays = _Units(clustered), Rows(), None
+        words_at_hand, classes, emit, base = tables.value
+        place = _Units(words_at_hand)
         for batch in batches:
             parts: list[list] = [[] for _ in kinds]
             for row, doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw_texts(batch.column(2)), strict=True):
-                if len(place) > 400_000:
-                    place, arrays = Rows(), None
-                    units = _Units(clustered)
                 own = words(raw)
-                at = np.zeros(len(own) + 1, np.int64)
+                at = np.full(len(own) + 1, end, np.int64)
                 at[:-1] = np.fromiter(map(place.__getitem__, own), np.int64, len(own))
-                if arrays is None or len(place.unit) > len(arrays[0]):
-                    size = len(arrays[0]) if arrays else 0
-                    more = max(len(place.unit), 2 * size)
-                    grown = (np.zeros(more, np.int64), np.zeros(more), np.zeros(more))
-                    for new, old in zip(grown, arrays or grown, strict=True):
-                        new[:size] = old[:size]
-                    arrays, filled = grown, size and filled
-                if len(place.unit) > filled:
-                    for new, source in zip(arrays, (place.unit, place.emit, place.base), strict=True):
-                        new[filled : len(place.unit)] = source[filled:]
-                    filled = len(place.unit)
-                cls = of[arrays[0][at]]
-                base = arrays[2][at]
-                rare = np.isnan(base)
-                moved = transition[np.r_[of[end], cls[:-1]], cls].sum() + arrays[1][at].sum()
-                found = Counter(own[i] for i in np.flatnonzero(rare).tolist())
+                cls = classes[at]
+                rare = np.flatnonzero((at >= n_known) & (at < end))
+                moved = transition[np.r_[classes[end], cls[:-1]], cls].sum() + emit[at].sum()
+                found = Counter([own[i] for i in rare.tolist()])
                 parts[0] += [row] * (1 + len(found))
-                for j, value in ((1, doc), (2, len(at)), (3, int((~rare).sum()) - (END not in count)), (4, float(np.nansum(base) - base_under * len(at))), (5, float(moved))):
+                for j, value in ((1, doc), (2, len(at)), (3, len(at) - len(rare) - (not end_count)), (4, float(base[at].sum() - base_under * len(at))), (5, float(moved))):
                     parts[j] += [value] + [None] * len(found)
                 parts[6] += [END + str(row).encode(), *found]  # no word, and one of its own for each row
                 parts[7] += [0, *found.values()]
