@@ -55,3 +55,26 @@ def test_trees_as_arrays_score_like_the_fitted_ones(spark):
     assert np.allclose(got, list(want.values()), atol=1e-9) and len(set(want.values())) > 1
     kept = sorted(r.doc_id for r in model.drop_toxic(df).collect())
     assert kept == sorted(i for i, s in want.items() if s < op.THRESHOLD)
+
+
+def test_plain_words_are_described_without_searches_and_as_a_slow_version_does(monkeypatch):
+    lexicon = {"idiot": 3.0, "stup*": 4.0, "fool*": 2.6, "foolish": 5.0, "ab": 2.5}
+    plain = "you You idiot, IDIOT!! stupid foolish? fools, ab abc STRASSE straße été?! Ǆx ʼn 日本. (word) _x_ @b".split()
+    odd = "f00l i.d.i.o.t İstanbul x² ²x ½ ١a a!b $$$ 12 b-c İ".split()
+
+    def slow(word: str) -> tuple:
+        core = op._core(word)
+        letters, upper = sum(map(str.isalpha, word)), sum(map(str.isupper, word))
+        z = max((lexicon.get(g, 0.0) for g in op.grams(core)), default=0.0) if core else 0.0
+        marks = len(word) - letters - sum(map(str.isdigit, word))
+        return (z, core in op.SECOND_PERSON, letters, upper, letters > 2 and upper == letters, marks, word.count("!") + word.count("?"), bool(op._INNER.search(word)), len(word))
+
+    expected = [slow(w) for w in plain + odd + plain]
+    searched, core = [], op._core
+    monkeypatch.setattr(op, "_core", lambda word: searched.append(word) or core(word))
+    known = op._Words(lexicon, most=10)
+    found = known.described([w.encode() for w in plain + odd + plain])
+    assert [tuple(r) for r in found] == [tuple(map(float, r)) for r in expected]
+    assert set(searched) == set(odd)
+    known.described([b"next"])  # beyond its bound it starts anew
+    assert len(known) == 1 and len(known.rows) == known.WIDTH

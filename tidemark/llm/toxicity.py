@@ -24,6 +24,8 @@ chunks. Extra columns, whatever their names, are ignored by scores and kept by
 from __future__ import annotations
 
 import re
+import string
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -84,6 +86,50 @@ def _known(cache: dict, word: bytes, make) -> object:
     return found
 
 
+class _Words(dict):
+    """token -> the place of its row among the distinct ``rows`` of numbers that describe words.
+
+    A row: the highest z of the lexicon's entries for it, second person, letters, capitals,
+    shouted, marks, marks that exclaim or ask, disguised, length.
+    """
+
+    WIDTH = 9
+
+    def __init__(self, lexicon: dict[str, float], most: int = 300_000):
+        super().__init__()
+        self.lexicon, self.most = lexicon, most
+        self.heads = {g.rstrip("*")[:4] for g in lexicon}  # how every word begins that the lexicon knows
+        self.places: dict[tuple, int] = {}
+        self.rows = array("d")
+
+    def __missing__(self, token: bytes) -> int:
+        word = token.decode("utf-8", "replace")
+        bare = word.strip(string.punctuation)
+        core, n = bare.lower(), len(word)
+        if bare.isalpha() and core.isalpha():  # most words: letters in one piece, with ASCII marks around them at most
+            letters, digits, inner = len(bare), 0, 0.0
+        else:
+            core, letters, digits, inner = _core(word), sum(map(str.isalpha, word)), sum(map(str.isdigit, word)), float(bool(_INNER.search(word)))
+        upper = 0 if bare.islower() else letters if bare.isupper() and not inner and letters == len(bare) and bare.isascii() else sum(map(str.isupper, word))
+        z = max((self.lexicon.get(g, 0.0) for g in grams(core)), default=0.0) if core and core[:4] in self.heads else 0.0
+        asks = word.count("!") + word.count("?") if letters < n else 0
+        row = (z, core in SECOND_PERSON, letters, upper, letters > 2 and upper == letters, n - letters - digits, asks, inner, n)
+        found = self.places.get(row)
+        if found is None:
+            found = self.places[row] = len(self.places)
+            self.rows.extend(row)
+        self[token] = found
+        return found
+
+    def described(self, tokens: list[bytes]) -> np.ndarray:
+        """A row for each of ``tokens``; the words are forgotten before they grow beyond ``most``."""
+        if len(self) > self.most or len(self.places) > self.most:
+            self.clear()
+            self.places, self.rows = {}, array("d")
+        at = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        return np.frombuffer(self.rows).reshape(-1, self.WIDTH)[at]
+
+
 def learn_lexicon(train: DataFrame, min_z: float = 2.5, min_odds: float = 1.4) -> list[dict[str, float]]:
     """Lexicons ``gram -> z`` from ``train (text, toxic, fold)``: one without each fold, then one of all."""
 
@@ -130,27 +176,15 @@ def features(docs: DataFrame, lexicons: list[dict[str, float]], id_col: str = "d
     """
     strong_of = [float(np.quantile(list(x.values()), STRONG)) if x else 0.0 for x in lexicons]
 
-    def describe(lexicon: dict[str, float]):
-        def make(raw: bytes) -> tuple:
-            word = raw.decode("utf-8", "replace")
-            core = _core(word)
-            z = max((lexicon.get(g, 0.0) for g in grams(core)), default=0.0) if core else 0.0
-            letters = sum(map(str.isalpha, word))
-            upper = sum(map(str.isupper, word))
-            marks = len(word) - letters - sum(map(str.isdigit, word))
-            return (z, core in SECOND_PERSON, letters, upper, float(letters > 2 and upper == letters), marks, word.count("!") + word.count("?"), float(bool(_INNER.search(word))), len(word))
-
-        return make
-
-    def vector(raw: bytes | None, cache: dict, make, strong_z: float) -> list[float]:
+    def vector(raw: bytes | None, known: _Words, strong_z: float) -> list[float]:
         tokens = (raw or b"").split()
         if not tokens:
             return [0.0] * len(FEATURES)
-        m = np.zeros(9)
+        m = np.zeros(_Words.WIDTH)
         n, hits, persons, strong, weak, z_sum, kinds = len(tokens), [], [], 0, 0, 0.0, set()
         for start in range(0, n, 1 << 16):  # bounds what a very long text holds at once
             part = tokens[start : start + (1 << 16)]
-            rows = np.array([_known(cache, w, make) for w in part], np.float64)
+            rows = known.described(part)
             m += rows.sum(axis=0)
             at = np.flatnonzero(rows[:, 0])
             z = rows[at, 0]
@@ -173,7 +207,7 @@ def features(docs: DataFrame, lexicons: list[dict[str, float]], id_col: str = "d
         ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        makers = [(dict(), describe(x), z) for x, z in zip(lexicons, strong_of, strict=True)]
+        makers = [(_Words(x), z) for x, z in zip(lexicons, strong_of, strict=True)]
         for batch in batches:
             folds = [len(makers) - 1] * batch.num_rows if keep else batch.column(2).to_pylist()
             x = [vector(t, *makers[f]) for t, f in zip(raw_texts(batch.column(text_at)), folds, strict=True)]
