@@ -2,12 +2,15 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline as op
 from test_mixture import slow_targets
 from test_simhash import slow_components, slow_fingerprint
 
+from tidemark.llm import decontaminate, simhash_dedup, toxicity
+
 ITEM = "than and onesen erblest it hein ti inenan eranenes whan ou therouou thon the heoron eratsh"
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, `__keep` int, row string"
 
@@ -93,3 +96,24 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     assert op.run(spark, d).count() == 0
+
+
+def test_batches_of_long_texts_are_bounded_in_every_stage(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(3000, numPartitions=1).selectExpr("id AS doc_id", "repeat('word ', 2000) AS text")  # 30 MB in one task
+    none = spark.createDataFrame([], "item_id long, text string")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    for stage in (lambda: toxicity.features(docs, [{}]), lambda: simhash_dedup.fingerprints(docs), lambda: decontaminate.decontaminate(docs, none)):
+        spark.conf.unset(key)
+        stage()
+        assert docs.mapInArrow(sizes, "n long").agg({"n": "max"}).first()[0] < 6_000_000
+    spark.conf.set(key, "1234567")
+    try:
+        toxicity.features(docs, [{}])
+        assert spark.conf.get(key) == "1234567"  # a session's own bound stays
+    finally:
+        spark.conf.unset(key)

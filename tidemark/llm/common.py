@@ -32,6 +32,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of a batch on its way to Python, where the session sets no bound of its own (Spark's is 64 MB).
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches are of BATCH_BYTES at most: a task holds several copies of one, and worker and JVM keep that room."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def words(raw: bytes | None) -> list[bytes]:
     """The words of a UTF-8 text with A-Z lower-cased.
 

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tidemark.llm.common import cut, fits, free_name, raw_texts
+from tidemark.llm.common import bounded_batches, cut, fits, free_name, raw_texts
 
 WINDOW = 5
 SIMILARITY = 0.8
@@ -80,7 +80,7 @@ _REAL, _IS_NUMBER, _CAPITAL, _ENDS, _UNIT_WORD, _SIGNED, _ALL_CAPITAL = 1, 2, 4,
 class _Words(dict):
     """Each token's canonical form, as flags and a hash in arrays that the dict's values index; emptied when full."""
 
-    def __init__(self, at_most: int = 400_000):
+    def __init__(self, at_most: int = 250_000):
         self.at_most = at_most
         self.values_: list[str] = []
         self.flags = np.zeros(1 << 12, np.uint8)
@@ -328,6 +328,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 def _windows(items: DataFrame, size: int) -> tuple[DataFrame, list[int]]:
     """The items' windows, and their different lengths, longest first: at most ``size`` numbers."""
+    bounded_batches(items.sparkSession)
     table = cut(item_windows(items, size=size))
     return table, sorted((r.n for r in table.select("n").distinct().collect()), reverse=True)
 

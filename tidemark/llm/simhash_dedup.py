@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, fits, free_name, raw_texts, small, words
+from tidemark.llm.common import bounded_batches, cut, fits, free_name, raw_texts, small, words
 from tidemark.llm.components import components
 
 SHINGLE = 3
@@ -83,6 +83,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             values = np.fromiter((fingerprint(words(t)) for t in raw_texts(batch.column(1))), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["id", "fp"])
 
+    bounded_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return slim.mapInArrow(run, "id long, fp long")
 

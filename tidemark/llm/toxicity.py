@@ -37,7 +37,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, id_bucket, raw_texts, unit_hash
+from tidemark.llm.common import bounded_batches, cut, id_bucket, raw_texts, unit_hash
 
 #: Documented bound on the labelled rows that training reads.
 MAX_TRAIN = 20_000
@@ -80,7 +80,7 @@ def _known(cache: dict, word: bytes, make) -> object:
     """``cache[word]``, made if missing; the cache is emptied before it grows beyond its bound."""
     found = cache.get(word)
     if found is None:
-        if len(cache) > 150_000:
+        if len(cache) > 60_000:
             cache.clear()
         found = cache[word] = make(word)
     return found
@@ -95,7 +95,7 @@ class _Words(dict):
 
     WIDTH = 9
 
-    def __init__(self, lexicon: dict[str, float], most: int = 300_000):
+    def __init__(self, lexicon: dict[str, float], most: int = 150_000):
         super().__init__()
         self.lexicon, self.most = lexicon, most
         self.heads = {g.rstrip("*")[:4] for g in lexicon}  # how every word begins that the lexicon knows
@@ -137,8 +137,8 @@ def learn_lexicon(train: DataFrame, min_z: float = 2.5, min_odds: float = 1.4) -
         cores: dict[bytes, list[str]] = {}
 
         def rows(counts: Counter) -> pa.RecordBatch:
-            g, f, y = zip(*counts, strict=True) if counts else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(g, pa.string()), pa.array(f, pa.int32()), pa.array(y, pa.int32()), pa.array(list(counts.values()), pa.int64())], ["gram", "fold", "toxic", "n"])
+            g, f, y = (pa.array((key[i] for key in counts), kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.int32())))
+            return pa.RecordBatch.from_arrays([g, f, y, pa.array(counts.values(), pa.int64())], ["gram", "fold", "toxic", "n"])
 
         counts: Counter = Counter()
         for batch in batches:
@@ -148,7 +148,7 @@ def learn_lexicon(train: DataFrame, min_z: float = 2.5, min_odds: float = 1.4) -
                     found.update(_known(cores, word, lambda w: grams(_core(w.decode("utf-8", "replace")))))
                 found.discard("")
                 counts.update((g, fold, toxic) for g in found)
-                if len(counts) > 500_000:
+                if len(counts) > 100_000:
                     yield rows(counts)
                     counts.clear()
         yield rows(counts)
@@ -216,6 +216,7 @@ def features(docs: DataFrame, lexicons: list[dict[str, float]], id_col: str = "d
             else:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["id", "x"])
 
+    bounded_batches(docs.sparkSession)
     text_at = docs.columns.index(text_col) if keep else 1
     if keep:
         return docs.mapInArrow(run, docs.schema)
@@ -286,6 +287,7 @@ class ToxicityModel:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN, seed: int = 7) -> ToxicityModel:
     """Fit on the labelled rows of ``docs`` outside the held-out ids (crc32 of the id mod 4 is 2)."""
+    bounded_batches(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.where(id_bucket("doc_id", HELD_OUT[0]) != HELD_OUT[1]).withColumn("u", unit_hash("doc_id", seed=seed))
     total = known.count()
