@@ -143,3 +143,22 @@ def test_pairs_of_units_are_counted_as_one_number(spark):
     expected = {(end, 0): 1, (0, 1): 2, (1, 0): 1, (1, zz): 1, (zz, end): 1, (end, end): 2, (end, zz): 1, (zz, 0): 1, (0, end): 1}
     assert {(r.a, r.b): r.n for r in pairs.collect()} == expected
     assert "hashpartitioning(code" in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_tables_are_kept_by_column_and_distinct_codes_summed_once(spark):
+    df = spark.createDataFrame(corpus(60), "doc_id long, text string")
+    assert op.fit(df, min_count=2, sweeps=0).counts.inputFiles()  # files of columns, not a checkpoint's rows
+    plan = op._pairs(df.select("text"), [b"the"])._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan[plan.index("Exchange") :]
+
+
+def test_rows_scored_in_one_piece_keep_their_own_sums(spark):
+    rows = [(i, t) for i, (_, t) in enumerate(corpus(80, seed=9))] + [(500, ""), (501, None), (502, "the zzz zzz yyy"), (503, "the " * 210_000), (504, "zzz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    model = op.fit(df, cluster_share=1e-2, known_share=0.05, first_share=5e-2, min_count=2, classes=6, sweeps=1)
+    together = {r.doc_id: r for r in op.score(model, df).collect()}
+    alone = {r.doc_id: r for r in op.score(model, df.repartition(len(rows) * 2)).collect()}
+    assert len(together) == len(rows)
+    for i, r in together.items():
+        assert (r.n_tokens, r.n_known) == (alone[i].n_tokens, alone[i].n_known)
+        assert r.score == pytest.approx(alone[i].score, abs=1e-6) and r.base_score == pytest.approx(alone[i].base_score, abs=1e-6)

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, id_bucket, raw_texts, words
+from tidemark.llm.common import bounded_batches, cut, id_bucket, raw_texts, stored, words
 
 HELD_OUT = (10, 0)
 DELTA = 0.1
@@ -134,7 +134,8 @@ def _pairs(texts: DataFrame, clustered: list[bytes]) -> DataFrame:
                     size = 0
         yield rows()
 
-    counts = texts.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))  # one number is a shorter key to shuffle
+    # One number is a shorter key to shuffle; a task's codes are distinct, so they are dealt out before they are summed.
+    counts = texts.mapInArrow(run, "code long, n long").repartition("code").groupBy("code").agg(F.sum("n").alias("n"))
     return counts.select(F.expr(f"code div {m}").cast("int").alias("a"), (F.col("code") % m).cast("int").alias("b"), "n")
 
 
@@ -220,7 +221,8 @@ def _summed(pairs: DataFrame, codes: Callable[[np.ndarray, np.ndarray], list[tup
                 yield found
         yield rows()
 
-    return pairs.select("a", "b", "n").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    found = pairs.select("a", "b", "n").mapInArrow(run, "code long, n long")
+    return (found if dense else found.repartition("code")).groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def class_bigrams(pairs: DataFrame, of: np.ndarray, k: int) -> np.ndarray:
@@ -301,7 +303,7 @@ def exchange(pairs: DataFrame, shapes: np.ndarray, n_first: int, classes: int =
     small_of = np.r_[np.arange(n_first), n_first + lumps[n_first:] - classes]
     m = int(small_of.max()) + 1
     small = _summed(pairs, lambda a, b: [(slice(None), small_of[a] * m + small_of[b])])
-    small = cut(small.select(F.expr(f"code div {m}").cast("int").alias("a"), (F.col("code") % m).cast("int").alias("b"), "n"))
+    small = stored(small.select(F.expr(f"code div {m}").cast("int").alias("a"), (F.col("code") % m).cast("int").alias("b"), "n"))
     of = np.r_[np.arange(n_first) % classes, classes + np.arange(SHAPES + 1)].astype(np.int64)
     matrix = class_bigrams(small, of, k)
     trace = [likelihood(matrix)]
@@ -342,14 +344,15 @@ def fit(
 ) -> ClassModel:
     """Learn from the rows of ``docs`` that are not held out."""
     texts = docs.where(id_bucket(id_col, HELD_OUT[0]) != HELD_OUT[1]).select(F.col(text_col).cast("string").alias("text"))
-    counts = cut(count_tokens(texts))
+    bounded_batches(docs.sparkSession)
+    counts = stored(count_tokens(texts))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     least = max(float(min_count), total.n * cluster_share)
     frequent = counts.where((F.col("n") >= min(least, max(1.0, total.n * known_share))) | (F.col("token") == F.lit(END))).toArrow()  # at most 1 / known_share rows
     known = dict(zip(frequent["token"].to_pylist(), frequent["n"].to_pylist(), strict=True))
     clustered = sorted((w for w, n in known.items() if n >= least and w != END), key=lambda w: (-known[w], w))
     n_first = sum(known[w] >= total.n * first_share for w in clustered)
-    pairs = cut(_pairs(texts, clustered))
+    pairs = stored(_pairs(texts, clustered))
     of, bigrams, trace = exchange(pairs, np.array([shape(w) for w in clustered], np.int64), n_first, classes, sweeps)
     # Words that no class gains by stay words of their shape, with its smoothing.
     settled = [i for i in range(len(clustered)) if of[i] < classes]
@@ -391,27 +394,47 @@ def score(model: ClassModel, docs: DataFrame, id_col: str = "doc_id", text_col:
     tables = docs.sparkSession.sparkContext.broadcast((at_hand, of[unit], emissions, bases))
     schema = "row long, doc_id long, n_tokens long, n_known long, base double, score double, token binary, n long"
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64()]
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_at_hand, classes, emit, base = tables.value
         place = _Units(words_at_hand)
-        for batch in batches:
-            parts: list[list] = [[] for _ in kinds]
-            for row, doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw_texts(batch.column(2)), strict=True):
-                own = words(raw)
-                at = np.full(len(own) + 1, end, np.int64)
-                at[:-1] = np.fromiter(map(place.__getitem__, own), np.int64, len(own))
-                cls = classes[at]
-                rare = np.flatnonzero((at >= n_known) & (at < end))
-                moved = transition[np.r_[classes[end], cls[:-1]], cls].sum() + emit[at].sum()
-                found = Counter([own[i] for i in rare.tolist()])
-                parts[0] += [row] * (1 + len(found))
-                for j, value in ((1, doc), (2, len(at)), (3, len(at) - len(rare) - (not end_count)), (4, float(base[at].sum() - base_under * len(at))), (5, float(moved))):
-                    parts[j] += [value] + [None] * len(found)
-                parts[6] += [END + str(row).encode(), *found]  # no word, and one of its own for each row
-                parts[7] += [0, *found.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(p, t) for p, t in zip(parts, kinds, strict=True)], [c.split()[0] for c in schema.split(", ")])
 
+        def scored(rows: np.ndarray, docs_: pa.Array, tokens: list[bytes], lengths: list[int]) -> Iterator[pa.RecordBatch]:
+            """Of rows whose ``tokens``, an end behind each row's, stand one after another: a record a row, and one for each of its rarer words."""
+            lengths = np.array(lengths, np.int64)
+            starts = np.cumsum(lengths) - lengths
+            at = np.fromiter(map(place.__getitem__, tokens), np.int64, len(tokens))
+            cls = classes[at]
+            moved = transition[np.r_[classes[end], cls[:-1]], cls] + emit[at]  # the row before ends at the end, where each begins
+            rare = np.flatnonzero((at >= n_known) & (at < end))
+            owner = np.searchsorted(starts, rare, "right") - 1
+            known = lengths - np.bincount(owner, minlength=len(lengths)) - (not end_count)
+            sums = [np.add.reduceat(x, starts) for x in (base[at] - base_under, moved)]
+            ends = [END + str(row).encode() for row in rows.tolist()]  # no word, and one of its own for each row
+            yield record(rows, docs_, lengths, known, *sums, ends, np.zeros(len(rows), np.int64))
+            found = Counter(zip(owner.tolist(), map(tokens.__getitem__, rare.tolist()), strict=True))
+            nulls = [pa.nulls(len(found), t) for t in kinds[1:6]]
+            yield record(rows[np.fromiter((i for i, _ in found), np.int64, len(found))], *nulls, [w for _, w in found], list(found.values()))
+
+        def record(*columns) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+        for batch in batches:
+            rows, ids = batch.column(0).to_numpy(), batch.column(1)
+            tokens: list[bytes] = []
+            lengths: list[int] = []
+            first = 0
+            for i, raw in enumerate(raw_texts(batch.column(2)), 1):
+                before = len(tokens)
+                tokens += words(raw)
+                tokens.append(END)
+                lengths.append(len(tokens) - before)
+                if len(tokens) > 200_000 or i == batch.num_rows:
+                    yield from scored(rows[first:i], ids[first:i], tokens, lengths)
+                    first, tokens, lengths = i, [], []
+
+    bounded_batches(docs.sparkSession)
     slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     flat = slim.mapInArrow(run, schema)
     rare = model.counts.select(F.col("token").alias("t"), F.col("n").alias("c"))
