@@ -113,3 +113,43 @@ def test_a_text_keeps_no_list_of_its_own_words():
     cache = decontaminate._Words()
     words = decontaminate.Words(b"we met Ann in Rome on 12 May", cache)
     assert words.values is cache.values_ and words.slots(2, 5) == ("3:ann", "3:rome", "1:12")[: len(words.slots(2, 5))]
+
+
+def test_plain_words_are_not_taken_one_by_one():
+    cache = op._Words()
+    words = op.Words(" ".join(f"word{chr(97 + k % 26)}x{k} Said{k}, (and{k})." for k in range(5000)).encode(), cache)
+    assert len(words.plain) == 15_000 == len(set(words.plain.tolist())) and len(cache) == 0
+    assert words.value(4) == "said1" and words.kind[4] == 3
+
+
+MANY = [
+    b"He ran 5", b"km to Rome. Twenty-one men\n\n saw: Ann (ANN) and U.S. troops -- \"The end.\" $5 km 7,000 min. Forty m/s",
+    None, b"", b" ", b"-", b"- - Max ran", "Äpfel «the» É naïve Éa 漢字 the Straße".encode(), b"\xff\xfe The a\xc3", b"_a_ a_b \x1cx\x00 " + b"!" * 20 + b" Then",
+    b"abcdefgh abcdefghi abcdefghijklmnop Abcdefghijklmnopq ABCDEFGHi " + b"(" * 9 + b"b" + b"*" * 9 + b".  Bob", b"dozen DOZEN Dozen in In IN. 1st a1 \t\x0b\x0cx.",
+]
+
+
+def test_words_taken_at_once_equal_each_text_alone_and_each_word_alone():
+    cache = op._Words()
+    many = op.Words(MANY, cache)
+    for k, text in enumerate(MANY):
+        alone, at = op.Words(text, cache), slice(many.first[k], many.first[k + 1])
+        for name in ("plain", "templ", "templ2", "kind", "kind2", "maybe"):
+            assert getattr(many, name)[at].tolist() == getattr(alone, name).tolist(), (text, name)
+        tokens = [t for t in (text or b"").split() if op._EDGE.sub("", t.decode("utf-8", "replace"))]
+        one = cache.look(tokens)
+        assert alone.plain.tolist() == cache.codes[one].tolist() and [alone.value(i) for i in range(len(tokens))] == [cache.values_[i] for i in one]
+        assert ((alone.kind == 1) == (cache.flags[one] & op._IS_NUMBER > 0)).all()
+    assert many.kind[many.first[1]] == 0  # km behind the 5 of another text is no unit
+
+
+def test_windows_do_not_reach_into_the_next_text():
+    found = op._found(op.Words([b"a b c", b"d e f g h", None, b"i j k l m n"], op._Words()), [5])
+    assert {k: sorted(j for at in of.values() for js in at.values() for j in js) for k, of in found.items()} == {1: [0, 0], 3: [0, 0, 1, 1]}
+
+
+def test_values_that_were_read_do_not_pile_up():
+    cache = op._Words(at_most=3)
+    for k in range(10):
+        words = op.Words(f"we met Ann{chr(97 + k)} and Bob{chr(97 + k)} there".encode(), cache)
+        assert words.slots(0, 6) == (f"3:ann{chr(97 + k)}", f"3:bob{chr(97 + k)}") and len(cache) <= 5
