@@ -5,10 +5,11 @@ to its name when all tasks are done: one rename. Until then no reader sees it, a
 that fails takes its staged folder with it. A batch whose name is there already is left
 as it is, so a run that is repeated adds nothing; an empty one is not written.
 
-The sort goes over a key that tells all rows apart, and the ranges are cut at keys that a
-hash of the key picks, so they depend on the rows alone: a repeated run writes the same
-rows to the same files, byte for byte. (``repartitionByRange`` cuts at a sample that is
-drawn anew for each job.)
+The sort goes over a key and, where it ties, over the other columns, and the ranges are cut
+at keys that a hash of the key picks, so they depend on the rows alone: a repeated run writes
+the same rows to the same files, byte for byte. (``repartitionByRange`` cuts at a sample that
+is drawn anew for each job.) So that the bytes do not depend on the executor either, a column
+has one encoding: a footer names several in an order that each JVM has for itself.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 
 #: Keys looked at for each range; a table with fewer rows than all ranges ask for is one file.
 PER_RANGE = 50
+#: Pages of the second version without a dictionary have one encoding a column.
+ONE_ENCODING = {"parquet.writer.version": "v2", "parquet.enable.dictionary": "false"}
 
 
 def _path(spark: SparkSession, at: str):
@@ -40,15 +43,16 @@ def batches(spark: SparkSession, at: str) -> list[str]:
 
 
 def dealt(df: DataFrame, key: list[str]) -> DataFrame:
-    """``df`` in ranges of ``key``, sorted within them; the same rows always lie in the same range.
+    """``df`` in ranges of ``key``, sorted within them, by the other columns where it ties; the same rows always lie in the same range and order.
 
     A row's range is found in two steps, among some of the cuts and then between two of them.
     """
     spark, by = df.sparkSession, [F.col(c) for c in key]
+    order = [*by, *[F.col(c) for c in df.columns if c not in key]]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     picked = df.select(*key).orderBy(F.xxhash64(*by), *by).limit(n * PER_RANGE).orderBy(*by).collect()  # a bounded sample
     if n == 1 or len(picked) < n * PER_RANGE:
-        return df.repartition(1).sortWithinPartitions(*by)
+        return df.repartition(1).sortWithinPartitions(*order)
     cuts = picked[PER_RANGE::PER_RANGE]
     size = math.isqrt(len(cuts) - 1) + 1
     groups = [cuts[i : i + size] for i in range(0, len(cuts), size)]
@@ -59,7 +63,7 @@ def dealt(df: DataFrame, key: list[str]) -> DataFrame:
     inside = upto(F.element_at("__groups", F.col("__group")))
     at = F.when(F.col("__group") == 0, 0).otherwise((F.col("__group") - 1) * size + inside)
     placed = placed.withColumn("__range", at.cast("int")).drop("__tops", "__groups", "__group")
-    return placed.repartitionById(n, F.col("__range")).sortWithinPartitions(*by).drop("__range")
+    return placed.repartitionById(n, F.col("__range")).sortWithinPartitions(*order).drop("__range")
 
 
 def put(df: DataFrame, at: str, name: str, key: list[str], replace: bool = False) -> bool:
@@ -73,7 +77,7 @@ def put(df: DataFrame, at: str, name: str, key: list[str], replace: bool = False
     staged, files = _path(spark, f"{at}/_staged-{uuid.uuid4().hex}")
     final, _ = _path(spark, f"{at}/{name}")
     try:
-        dealt(df, key).write.parquet(staged.toString())
+        dealt(df, key).write.options(**ONE_ENCODING).parquet(staged.toString())
         if spark.read.schema(df.schema).parquet(staged.toString()).isEmpty():
             return False
         if replace and files.exists(final):
